@@ -9,8 +9,10 @@ or of the metadata columns touches only their pages.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import per_text, small_join
+from millrace.llm.common import slices, small_join
 from millrace.session import shared_dir
 
 #: Documents in one range; bytes of a row group and of a page.
@@ -32,19 +34,27 @@ CACHE = 1 << 19
 
 #: In Latin-1 without control characters, normal form, lower-casing and white space are plain; there this
 #: pattern finds the tokenizer's own matches (contractions, letters, single digits, other runs).
-_ODD = re.compile("[^\t\n\r -~\u00a1-\u00ff]")
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 _MATCH = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
     "|[!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7]+"
 )
 
 
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class MatchEncoder:
     """The tokenizers library behind a cache of matches.
 
     The tokenizer drops white space, so a text's ids are those of its matches in turn. In texts of Latin-1
     each new match goes to the library's model once; other texts go through the whole library, cut at
-    spaces and line feeds, in a batch. ``whole`` sends every text there uncut.
+    spaces and line feeds, in a batch. ``whole`` sends every text there uncut. Ids are packed in little-
+    endian integers of ``width`` bytes: two where the vocabulary allows, else four.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -54,12 +64,19 @@ class MatchEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.bytes_of = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.whole = whole
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
+    def pack(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _plain(self, text: str) -> bytes:
         found = _MATCH.findall(text.lower())
@@ -67,21 +84,20 @@ class MatchEncoder:
         try:
             return b"".join([known[m] for m in found])
         except KeyError:
-            for m in found:
-                if m not in known:
-                    as_bytes = m if m.isascii() else self.bytes_of.pre_tokenize_str(m)[0][0]
-                    known[m] = np.array([t.id for t in self.model.tokenize(as_bytes)], "<u4").tobytes()
+            for m in set(found).difference(known):
+                as_bytes = m if m.isascii() else self.bytes_of.pre_tokenize_str(m)[0][0]
+                known[m] = self.pack([t.id for t in self.model.tokenize(as_bytes)])
             return b"".join([known[m] for m in found])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers; null has none."""
+        """Packed ids; null has none."""
         if self.whole:
             return self._raw([t or "" for t in texts])
         if len(self.known) > CACHE:
             self.known.clear()
         if len(self.chunks) > CACHE:
             self.chunks = {"": b""}
-        odd = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if t and _ODD.search(t)}
+        odd = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if t and not is_plain(t)}
         new = list(set(chain.from_iterable(odd.values())) - self.chunks.keys())
         self.chunks.update(zip(new, self._raw(new), strict=True))
         return [
@@ -114,15 +130,10 @@ def write_tokens(
         cuts = sorted(set(at or []))
     bounds = np.array(cuts, np.int64)
 
-    def make(texts):
-        got = load_encoder(tokenizer).encode(texts)
-        end = np.array([end_id], "<u4").tobytes()
-        return [[x + end for x in got]]
-
-    encoded = per_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "raw binary", make, 2 << 20).drop("text")
-    narrow = encoded.mapInArrow(_narrow(bounds), "range int, doc_id long, n_tokens long, wide boolean, raw binary")
-    dealt = narrow.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), "n_tokens", "raw"
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    packed = texts.mapInArrow(_pack(bounds, tokenizer, end_id), "range int, doc_id long, width int, raw binary")
+    dealt = packed.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(
+        F.asc_nulls_first("doc_id"), F.octet_length("raw"), "raw"
     )
     (
         dealt.mapInArrow(_unpack, "range int, doc_id long, local_start long, n_tokens long, ids array<int>")
@@ -138,22 +149,19 @@ def write_tokens(
     )
 
 
-def _narrow(bounds: np.ndarray):
-    """Adds each row's range and packs ids into two bytes where all of the row's fit."""
+def _pack(bounds: np.ndarray, tokenizer: str, end_id: int):
+    """Each row's range and packed ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        encoder = load_encoder(tokenizer)
+        end = encoder.pack([end_id])
+        for b in slices(batches, "text", 2 << 20):
             ids = b.column("doc_id")
             at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
-            raw, n, wide = [], [], []
-            for x in b.column("raw").to_pylist():
-                a = np.frombuffer(x, "<u4")
-                big = bool(len(a)) and int(a.max()) >= 1 << 16
-                raw.append(x if big else a.astype("<u2").tobytes())
-                n.append(len(a)), wide.append(big)
+            raw = [x + end for x in encoder.encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at), ids, pa.array(n, pa.int64()), pa.array(wide), pa.array(raw, pa.binary())],
-                ["range", "doc_id", "n_tokens", "wide", "raw"],
+                [pa.array(at), ids, pa.array(np.full(len(at), encoder.width, np.int32)), pa.array(raw, pa.binary())],
+                ["range", "doc_id", "width", "raw"],
             )
 
     return run
@@ -165,17 +173,17 @@ def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 512):
             b = whole.slice(a, 512)
-            at, n = b.column("range").to_pylist(), b.column("n_tokens").to_pylist()
+            at, width, raw = (b.column(c).to_pylist() for c in ("range", "width", "raw"))
+            n = [len(x) // w for x, w in zip(raw, width, strict=True)]
             first = []
             for r, k in zip(at, n, strict=True):
                 first.append(start.get(r, 0))
                 start[r] = first[-1] + k
-            wide, raw = b.column("wide").to_pylist(), b.column("raw").to_pylist()
-            flat = [np.frombuffer(x, "<u4" if w else "<u2").astype(np.int32) for x, w in zip(raw, wide, strict=True)]
+            flat = [np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(raw, width, strict=True)]
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("range"), b.column("doc_id"), pa.array(first, pa.int64()), b.column("n_tokens"), lists],
+                [b.column("range"), b.column("doc_id"), pa.array(first, pa.int64()), pa.array(n, pa.int64()), lists],
                 ["range", "doc_id", "local_start", "n_tokens", "ids"],
             )
 
