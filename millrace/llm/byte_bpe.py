@@ -72,7 +72,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
     return per_text(encoded, ids, "decoded binary", make)
 
 
-def _public() -> tuple[str, str]:
+def public_files() -> tuple[str, str]:
     import public_tokenizers as P
 
     return P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
@@ -86,7 +86,7 @@ def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encode and decode again: ``docs`` without its text, with n_tokens, ids and decoded."""
-    path, own = _public()
+    path, own = public_files()
     args = (rank_file or path, pattern or own)
     return decode_documents(encode_documents(docs, *args).drop("text"), *args)
 
