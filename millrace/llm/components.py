@@ -33,3 +33,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "comp")
         if stepped.where("moved").isEmpty():
             return labels
+
+
+def merged_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of the edges so far, given as ``comps``, and of ``links`` together."""
+    label = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))
+    ends = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
+        F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")
+    )
+    joined = connected_components(ends).withColumnsRenamed({"node": "was", "comp": "now"})
+    # Single nodes that the links add have no label yet; joined has all of them and the labels that changed.
+    kept = comps.join(joined, comps["comp"] == joined["was"], "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    added = joined.select(F.col("was").alias("node"), F.col("now").alias("comp")).join(comps, "node", "left_anti")
+    return materialize(kept.union(added), "labels")

@@ -24,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import per_text, slices, small_join, words
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, merged_components
 from millrace.session import materialize
 
-#: Words in a shingle; least similarity; bands and samples in each; leaders of a bucket in one further round.
-SHINGLE, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 14, 4, 16
+#: Words in a shingle; least similarity; bands and samples in each; leaders of a bucket in the first further round.
+SHINGLE, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 16, 4, 8
+#: Sums of weights, by a hash of the shingle, that bound a pair's similarity from above.
+BINS = 128
 #: Cells of the table of word frequencies (a fixed 2 MB); rows of the table of random variates.
 CELLS, VARIATES = 1 << 18, 1 << 16
+#: Bytes of text handled at once in a task.
+BATCH = 2 << 20
 _LOW44 = np.uint64((1 << 44) - 1)
 
 
@@ -55,7 +59,7 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(CELLS + 1, np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BATCH):
             h, n = _hashed(part.column("text").to_pylist())
             cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
@@ -146,6 +150,16 @@ def band_hashes(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int
     return out.view(np.int64)
 
 
+def weight_bins(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """A row of BINS sums of weights for each text.
+
+    Sums of two texts differ by no more, in all, than the weights themselves do, so their differences bound
+    the weighted symmetric difference from below.
+    """
+    at = doc * BINS + (ids % np.uint64(BINS)).astype(np.int64)
+    return np.bincount(at, weight.astype(np.float64), texts * BINS).reshape(texts, BINS).astype(np.float32)
+
+
 def similarities(left: list[str | None], right: list[str | None], idf: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The weighted Jaccard similarity of each pair of texts: sum of least by sum of greatest weights."""
     n = len(left)
@@ -158,39 +172,52 @@ def similarities(left: list[str | None], right: list[str | None], idf: np.ndarra
     return np.divide(both, every, out=np.zeros(n), where=every > 0)
 
 
-def _hash_unit(m: DataFrame) -> DataFrame:
-    return m.withColumn("u", F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) / (1 << 30))
+def _members(nodes: DataFrame) -> DataFrame:
+    """bucket, node, total and lead (the bucket's node of most copies, then of least hash), of shared buckets."""
+    spread = nodes.select("node", "total", "n", F.posexplode("bands").alias("band", "h")).select(
+        F.xxhash64("band", "h").alias("bucket"), "node", "total", "n"
+    )
+    first = F.struct((-F.col("n")).alias("copies"), F.xxhash64("node").alias("h"), "node", "total")
+    leads = materialize(
+        spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.min(first).alias("lead")).where("all > 1")
+        .select("bucket", F.struct("lead.node", "lead.total").alias("lead")),
+        "leads",
+    )
+    return small_join(spread.drop("n"), leads, leads.count(), "bucket")
+
 
+def _near_totals(a: str, b: str):
+    """Whether total weights allow enough similarity."""
+    return F.least(a, b) >= (LEAST - 1e-5) * F.greatest(a, b)
 
-def _pairs(members: DataFrame, leaders: DataFrame, later) -> DataFrame:
-    """Leader by member of another component in the same bucket, where total weights allow enough similarity."""
-    m, lead = members.alias("m"), leaders.alias("l")
-    return (
-        m.join(lead, F.col("m.bucket") == F.col("l.bucket"))
-        .where(later & (F.col("m.comp") != F.col("l.comp")))
-        .where(F.least("m.total", "l.total") >= (LEAST - 1e-6) * F.greatest("m.total", "l.total"))
-        .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b"))
-        .distinct()
-    )
+
+def _near_bins(a: str, b: str, total):
+    """Whether the sums of weights allow enough similarity: |A - B| is at most (1 - J) / (1 + J) of |A| + |B|."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return apart <= ((1 - LEAST) / (1 + LEAST) + 1e-4) * total
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """Each bucket's member of least hash against all others."""
-    m = _hash_unit(members.withColumn("comp", F.col("node")))
-    least = m.groupBy("bucket").agg(F.min("u").alias("to"))
-    return _pairs(m, m.join(least, "bucket").where("u <= to"), F.lit(True))
+    """Each bucket's lead against all others."""
+    return (
+        members.where((F.col("node") != F.col("lead.node")) & _near_totals("total", "lead.total"))
+        .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        .distinct()
+    )
 
 
-def _more_pairs(members: DataFrame, comps: DataFrame, progress: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs still to compare in buckets of several components, and those buckets' progress.
+def _more_pairs(
+    members: DataFrame, comps: DataFrame, progress: DataFrame | None, leaders: int, bins: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs still to compare in buckets of several components, those buckets' members and their progress.
 
     A bucket's anchor is the component with most members when its turn first comes. Only members outside
-    it lead, LEADERS or so at a time in order of their hash, against the anchor's members and those of
-    other components behind them. As components only merge, every pair of different components is compared
-    once the last slice has led.
+    it lead, ``leaders`` or so at a time in order of their hash (so that the same lead in all buckets),
+    against the anchor's members and those of other components behind them. As components only merge,
+    every pair of different components has been compared once the last slice has led.
     """
-    m = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    m = _hash_unit(materialize(m, "labelled"))
+    m = members.select("bucket", "node", "total").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    m = materialize(m, "labelled")
     sizes = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     if progress is None:
         anchors = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("t")).select(
@@ -204,34 +231,45 @@ def _more_pairs(members: DataFrame, comps: DataFrame, progress: DataFrame | None
         .where("comp <> top")
         .groupBy("bucket", "from", "anchor", "top")
         .agg(F.sum("n").alias("rest"))
-        .withColumn("to", F.col("from") + LEADERS / F.col("rest"))
+        .withColumn("to", F.col("from") + leaders / F.col("rest"))
     )
     rest = materialize(rest, "progress")
-    leaders = m.join(rest, "bucket").where("comp <> top and u >= `from` and u < `to`")
-    pairs = _pairs(m, leaders, (F.col("m.comp") == F.col("l.top")) | (F.col("m.u") > F.col("l.u")))
-    return pairs, rest.select("bucket", F.col("to").alias("from"), "anchor")
+    m = m.withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30))
+    active = small_join(m, rest, rest.count(), "bucket")
+    kept = active.select("bucket", "node", "total")
+    active = materialize(active.join(bins, "node"), "active")
+    lead = active.where("comp <> top and u >= `from` and u < `to`").alias("l")
+    other = active.select("bucket", "node", "total", "bins", "comp", "u").alias("m")
+    behind = (F.col("m.comp") == F.col("l.top")) | (F.col("m.u") > F.col("l.u"))
+    pairs = (
+        other.join(lead, F.col("m.bucket") == F.col("l.bucket"))
+        .where(behind & (F.col("m.comp") != F.col("l.comp")) & _near_totals("m.total", "l.total"))
+        .where(_near_bins("m.bins", "l.bins", F.col("m.total") + F.col("l.total")))
+        .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b"))
+        .distinct()
+    )
+    return pairs, kept, rest.select("bucket", F.col("to").alias("from"), "anchor")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """The pairs whose texts are similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_a", 4 << 20):
+        for part in slices(batches, "text_a", BATCH // 2):
             s = similarities(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), idf.value)
             yield part.select(["a", "b"]).filter(pa.array(s >= least - 1e-6))
 
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
-    """(key, text) of the pairs' nodes, read from one row of each."""
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    asked = materialize(asked.join(nodes.select("key", F.col("least.doc_id").alias("who")), "key"), "asked")
-    same = (F.col("k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("who"))
-    found = small_join(base.withColumnRenamed("key", "k"), asked, asked.count(), same)
-    return materialize(found.select("key", "text").dropDuplicates(["key"]), "texts")
+def _texts_of(asked: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, text) of the asked nodes, read from one row of each."""
+    who = nodes.join(asked, "node", "left_semi")
+    who = materialize(who.select("node", F.col("key").alias("k"), F.col("least.doc_id").alias("who")), "asked")
+    found = small_join(base, who, who.count(), F.col("doc_id").eqNullSafe(F.col("who"))).where("k = key")
+    return materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def near_duplicates(
@@ -259,34 +297,37 @@ def near_duplicates(
         bands = band_hashes(doc, ids, weight, len(texts), BANDS, ROWS)
         return [n.tolist(), np.bincount(doc, weight.astype(np.float64), len(texts)).tolist(), list(bands)]
 
-    rows = materialize(per_text(base, "text", "n_words long, total double, bands array<long>", sign).drop("text"), "signed")
+    rows = materialize(per_text(base, "text", "n_words long, total float, bands array<long>", sign, BATCH).drop("text"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     nodes = materialize(
         rows.where("n_words > 0")
         .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), F.first("total").alias("total"), F.first("bands").alias("bands")),
+        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    spread = nodes.select(F.col("key").alias("node"), "total", F.posexplode("bands").alias("band", "h")).select(
-        F.xxhash64("band", "h").alias("bucket"), "node", "total"
-    )
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(spread.join(shared, "bucket"), "members")
-    pairs, progress = _first_pairs(members), None
-    tried = edges = None
+    members = materialize(_members(nodes), "members")
+    texts = _texts_of(members.select("node").distinct(), nodes, base)
+
+    def sums(rows):
+        doc, ids, weight, _ = weighted_shingles(rows, idf.value)
+        return [list(weight_bins(doc, ids, weight, len(rows)))]
+
+    bins = materialize(per_text(texts, "text", "bins array<float>", sums, BATCH).drop("text"), "bins")
+    pairs, progress, tried, comps, leaders = _first_pairs(members), None, None, None, LEADERS
     while True:
         pairs = materialize(pairs, "pairs")
-        links = materialize(_verify(pairs, _texts_of(pairs, nodes, base), idf, least), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        edges = links if edges is None else edges.union(links)
-        comps = connected_components(edges)
-        pairs, progress = _more_pairs(members, comps, progress)
+        links = materialize(_verify(pairs, texts, idf, least), "links")
+        if comps is None:
+            comps = connected_components(links)
+        elif not links.isEmpty():
+            comps = merged_components(comps, links)
+        pairs, members, progress = _more_pairs(members, comps, progress, leaders, bins)
         if progress.isEmpty():
             break
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    classes = nodes.select("key", "n", "least").join(
-        comps.select(F.col("node").alias("key"), "comp"), "key", "left"
-    ).withColumn("comp", F.coalesce("comp", "key"))
+        pairs, leaders = pairs.join(tried, ["a", "b"], "left_anti"), 8 * leaders
+    classes = nodes.select("node", "key", "n", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = classes.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min("least").alias("head"))
     by_key = materialize(classes.select("key", "comp").join(whole, "comp").select("key", "class_size", "head"), "classes")
     joined = rows.select("doc_id", "key", "n_words").join(by_key, "key", "left")

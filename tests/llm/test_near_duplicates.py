@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import near_duplicates as N
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, merged_components
 
 
 def shingles(text, idf_of):
@@ -123,6 +123,18 @@ def test_vectors_equal_plain_similarity():
     assert np.allclose(got, want, atol=1e-5)
 
 
+def test_bins_bound_the_difference():
+    rng = random.Random(4)
+    idf = np.random.default_rng(4).uniform(1, 9, N.CELLS).astype(np.float32)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=rng.randrange(1, 300))) for _ in range(40)]
+    doc, ids, weight, _ = N.weighted_shingles(texts, idf)
+    bins = N.weight_bins(doc, ids, weight, len(texts))
+    total = bins.sum(1)
+    s = N.similarities(texts[:-1], texts[1:], idf)
+    apart = np.abs(bins[1:] - bins[:-1]).sum(1)
+    assert (apart <= (1 - s) / (1 + s) * (total[1:] + total[:-1]) + 1e-2).all()
+
+
 def test_samples_agree_as_often_as_weights():
     rng = np.random.default_rng(3)
     n = 4000
@@ -141,6 +153,9 @@ def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(1, 90)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(7, 7)]
     got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    parts = merged_components(connected_components(frame(edges[::2])), frame(edges[1::2]))
+    assert {r.node: r.comp for r in parts.collect() if r.node in got} == got
     head = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:
