@@ -1,0 +1,137 @@
+"""Comparison of tables regardless of row order, partial similarity and costs."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.model import Table, quoted
+
+
+@dataclass(frozen=True)
+class MatchOptions:
+    """``tolerance``: the grid of numbers; ``names``: whether columns must bear the same names."""
+
+    tolerance: float = 1e-6
+    names: bool = True
+
+
+#: Text that is a number: no leading zeros, no separators.
+_NUMBER = r"^[+-]?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
+def normal(c: Column, kind: T.DataType, tolerance: float = 1e-6) -> Column:
+    """A cell as text in which equal values are equal: numbers on a grid, numeric text as numbers."""
+
+    def grid(x: Column) -> Column:
+        x = x.cast("double")
+        whole = F.when(F.abs(x) < 1e12, F.round(x / tolerance).cast("bigint").cast("string")).otherwise(x.cast("string"))
+        return (
+            F.when(F.isnan(x), F.lit(None).cast("string"))
+            .when(x == float("inf"), "n:inf").when(x == float("-inf"), "n:-inf").otherwise(F.concat(F.lit("n:"), whole))
+        )
+
+    if isinstance(kind, T.BooleanType):
+        return F.concat(F.lit("b:"), c.cast("string"))
+    if isinstance(kind, T.NumericType):
+        return grid(c)
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("l:"), F.to_json(F.transform(c, lambda x: F.coalesce(normal(x, kind.elementType, tolerance), F.lit("")))))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.concat(F.lit("s:"), F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"))
+    s = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.when(s.rlike(_NUMBER), grid(s.try_cast("double"))).otherwise(F.concat(F.lit("s:"), s))
+
+
+def _rows(df: DataFrame, columns: list[str], options: MatchOptions) -> DataFrame:
+    """Distinct normalized rows (as c0, c1, ...) with their counts."""
+    cells = [normal(quoted(c), df.schema[c].dataType, options.tolerance).alias(f"c{i}") for i, c in enumerate(columns)]
+    shown = df.select(*cells)
+    return shown.groupBy(*shown.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _frame(t: Table | DataFrame) -> DataFrame:
+    return t.visible if isinstance(t, Table) else t
+
+
+def table_match(pred: Table | DataFrame, gold: Table | DataFrame, options: MatchOptions | None = None) -> bool:
+    """Whether both have the same columns and the same multiset of rows."""
+    options = options or MatchOptions()
+    a, b = _frame(pred), _frame(gold)
+    if len(a.columns) != len(b.columns) or len(set(a.columns)) != len(a.columns):
+        return False
+    if not b.columns:
+        return a.count() == b.count()
+    if set(a.columns) == set(b.columns):
+        pairs = [(c, c) for c in b.columns]
+    elif options.names:
+        return False
+    elif (found := _bijection(a, b, options)) is None:
+        return False
+    else:
+        pairs = found
+    x = _rows(a, [p for p, _ in pairs], options)
+    y = _rows(b, [g for _, g in pairs], options)
+    cells = [c for c in x.columns if c != "n"]
+    both = x.select(*cells, F.col("n").alias("d")).union(y.select(*cells, (-F.col("n")).alias("d")))
+    return both.groupBy(*cells).agg(F.sum("d").alias("d")).where("d <> 0").isEmpty()
+
+
+def _bijection(a: DataFrame, b: DataFrame, options: MatchOptions, steps: int = 200_000) -> list[tuple[str, str]] | None:
+    """Columns paired by their multisets of values; the search over equal ones is checked by the caller's rows."""
+
+    def digests(df: DataFrame) -> dict[str, tuple]:
+        h = [F.xxhash64(normal(quoted(c), df.schema[c].dataType, options.tolerance)) for c in df.columns]
+        out = df.agg(*[F.struct(F.count(x), F.bit_xor(x), F.sum(F.pmod(x, F.lit(1 << 31)))).alias(str(i)) for i, x in enumerate(h)]).head()
+        return {c: tuple(out[i]) for i, c in enumerate(df.columns)}
+
+    left, right = digests(a), digests(b)
+    if sorted(map(str, left.values())) != sorted(map(str, right.values())):
+        return None
+    pairs, used = [], set()
+    for g, d in right.items():
+        same = [p for p in left if left[p] == d and p not in used]
+        p = g if g in same else same[0]
+        used.add(p)
+        pairs.append((p, g))
+    return pairs
+
+
+def partial_similarity(pred: Table | DataFrame, gold: Table | DataFrame, options: MatchOptions | None = None) -> float:
+    """Mean of the columns' Jaccard similarity, exp(-|difference of row counts| / rows), and equal cells by sorted position."""
+    options = options or MatchOptions()
+    a, b = _frame(pred), _frame(gold)
+    every = set(a.columns) | set(b.columns)
+    shared = [c for c in b.columns if c in a.columns]
+    columns = len(shared) / len(every) if every else 1.0
+    n, m = a.count(), b.count()
+    shape = math.exp(-abs(n - m) / max(1, m))
+    if not shared or not max(n, m):
+        content = 1.0 if not max(n, m) and shared else 0.0
+    else:
+        cells = lambda df: df.select(*[normal(quoted(c), df.schema[c].dataType, options.tolerance).alias(f"c{i}") for i, c in enumerate(shared)])
+        ranked = lambda df, s: df.withColumn("at", F.row_number().over(W.orderBy(*df.columns))).select("at", *[F.col(c).alias(f"{c}{s}") for c in df.columns])
+        x, y = ranked(cells(a), "p"), ranked(cells(b), "g")
+        equal = sum(F.col(f"c{i}p").eqNullSafe(F.col(f"c{i}g")).cast("int") for i in range(len(shared)))
+        same = x.join(y, "at").agg(F.sum(equal)).head()[0] or 0
+        content = same / (max(n, m) * len(shared))
+    return (columns + shape + content) / 3
+
+
+#: Fixed value: dollars an hour of a GPU.
+GPU_PRICE = 0.91
+
+
+def gpu_cost(seconds: float, price: float = GPU_PRICE) -> float:
+    return price * seconds / 3600
+
+
+def api_cost(prompt: int, completion: int, price_in: float, price_out: float, cached: int = 0, price_cached: float | None = None) -> float:
+    """Dollars, by prices of a million tokens; cached prompt tokens may be cheaper."""
+    fresh = prompt - cached
+    return (fresh * price_in + cached * (price_in if price_cached is None else price_cached) + completion * price_out) / 1e6

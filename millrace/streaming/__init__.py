@@ -1,0 +1,25 @@
+"""Pipelines over streams: the operators that look at one row at a time run on a streaming DataFrame unchanged."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from millrace.errors import OperatorError
+from millrace.model import Table, TableSet
+from millrace.plans.dsl import parse_pipeline
+
+#: Operators without state, order or a look at the whole table.
+ROW_WISE = {
+    "DropNA", "ErrorDetection", "ValueTransform", "StandardizeDatetime", "RenameColumn", "AddNewColumn", "DropColumn", "SplitColumn",
+    "Concatenate", "SelectColumn", "Subtitle", "Filter", "Terminate",
+}
+
+
+def run_on_stream(stream: DataFrame, name: str, pipeline: str) -> DataFrame:
+    """The pipeline's result as a streaming DataFrame; other operators than ROW_WISE are refused."""
+    state = TableSet([Table(name, stream)])
+    for call in parse_pipeline(pipeline):
+        if call.op.NAME not in ROW_WISE:
+            raise OperatorError(f"{call.op.NAME} needs the whole table and doesn't run on a stream")
+        state = call.execute(state)
+    return state[state.answer or name].visible
