@@ -214,7 +214,9 @@ def shard_documents(
         .select("doc_id", "size", "text_crc32", "shard")
         .withColumn("row", F.monotonically_increasing_id()),
         "shard-placed",
-    ).withColumn("part", F.shiftright("row", 33))
+    )
+    parts = max(64, -(-rows.count() // CELL))  # numbers go by cells of a shard's rows, however many it has
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     firsts = counts.withColumn(
         "first", F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")
