@@ -92,11 +92,11 @@ class Environment:
 
         def stop() -> None:
             late.set()
-            spark.interruptTag(tag)
+            spark.sparkContext.cancelJobsWithTag(tag)
 
         timer = threading.Timer(self.limits.timeout, stop)
         timer.daemon = True
-        spark.addTag(tag)
+        spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
             new = call.execute(state)
@@ -111,7 +111,7 @@ class Environment:
             raise OperatorError(f"{call.op.NAME}: {type(e).__name__}: {str(e).strip().splitlines()[0] if str(e) else ''}") from e
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)
         if late.is_set():
             raise OperatorError(f"Timeout: {call.op.NAME} took over {self.limits.timeout:g} s")
         return new
