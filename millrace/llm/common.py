@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,7 +25,15 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system, so that an idle worker process holds little."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         values = batch.column(column)
@@ -37,10 +47,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch, values
+        release()
 
 
 def per_text(
-    df: DataFrame, column: str, fields: str, make: Callable[[list], list[list]], most: int = 8 << 20
+    df: DataFrame, column: str, fields: str, make: Callable[[list], list[list]], most: int = 2 << 20
 ) -> DataFrame:
     """Append the columns of the DDL string ``fields``: ``make(texts)`` gives a list of values for each.
 

@@ -32,9 +32,9 @@ SHINGLE, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 16, 4, 8
 #: Sums of weights, by a hash of the shingle, that bound a pair's similarity from above.
 BINS = 128
 #: Cells of the table of word frequencies (a fixed 2 MB); rows of the table of random variates.
-CELLS, VARIATES = 1 << 18, 1 << 16
+CELLS, VARIATES = 1 << 18, 1 << 15
 #: Bytes of text handled at once in a task.
-BATCH = 2 << 20
+BATCH = 1 << 20
 _LOW44 = np.uint64((1 << 44) - 1)
 
 

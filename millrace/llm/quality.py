@@ -19,13 +19,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, small_join, words
 
 #: Rows of the labelled sample and of the unlabelled pool; co-training rounds; pseudo-labels a round and class.
-LABELLED, POOL, ROUNDS, PICKS = 6000, 4000, 4, 150
+LABELLED, POOL, ROUNDS, PICKS = 5000, 3000, 3, 150
 #: Hashed words; bins of a metadata number; hash cells of languages and sources; least confidence to pass on.
 WORDS, BINS, NAMES, SURE = 1 << 16, 12, 64, 0.95
 #: Share of the labelled sample that calibrates.
@@ -86,7 +87,7 @@ class Linear:
         return self.bias + total / np.sqrt(np.maximum(n, 1))
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, cells: int, steps: int = 120, l2: float = 1e-4, rate: float = 1.0) -> Linear:
+def fit_linear(rows: list[np.ndarray], y: np.ndarray, cells: int, steps: int = 80, l2: float = 1e-4, rate: float = 1.0) -> Linear:
     """Full-batch gradient descent with steps scaled by each cell's past gradients."""
     model = Linear(np.zeros(cells))
     n = np.array([len(r) for r in rows])
@@ -156,6 +157,12 @@ def meta_features(numbers: np.ndarray, lang: list, source: list, edges: np.ndarr
 META = len(LAYOUT) * BINS + 2 * NAMES
 
 
+def frequent(rows: list[np.ndarray], least: int = 3) -> list[np.ndarray]:
+    """The rows without cells that fewer than ``least`` of them have: nothing general is learned from those."""
+    count = np.bincount(np.concatenate(rows), minlength=WORDS) if rows else np.zeros(WORDS, int)
+    return [r[count[r] >= least] for r in rows]
+
+
 def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, n_labelled: int, edges: np.ndarray) -> CoTrained:
     """Fit both views: rows before ``n_labelled`` have labels ``y``, the rest are the pool."""
     y = y.astype(float)
@@ -166,6 +173,7 @@ def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, n_la
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     known = np.flatnonzero(~held)
+    text = frequent(text)
     pool = list(range(n_labelled, len(text)))
     views = {0: (text, WORDS), 1: (meta, META)}
     got: dict[int, dict[int, float]] = {0: {}, 1: {}}
@@ -214,12 +222,24 @@ def _gather(rows: DataFrame) -> tuple[list, list[np.ndarray], np.ndarray, list,
             )
 
     got = rows.mapInArrow(run, "doc_id long, cells array<int>, numbers array<double>, lang string, source string")
-    t = got.toArrow().to_pylist()
-    t = list({r["doc_id"]: r for r in sorted(t, key=lambda r: (r["doc_id"], str(r["cells"])))}.values())
-    numbers = np.array([r["numbers"] for r in t]).reshape(len(t), len(LAYOUT))
+    t = got.toArrow().combine_chunks()
+    ids = t["doc_id"].to_pylist()
+    if not ids:
+        return [], [], np.zeros((0, len(LAYOUT))), [], []
+    cells, numbers = t["cells"].combine_chunks(), t["numbers"].combine_chunks()
+    flat, ends = cells.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(cells).to_numpy())])
+    numbers = numbers.flatten().to_numpy().reshape(len(ids), len(LAYOUT))
+    # One row for each id: of several, that of most cells (and then of the greatest numbers).
+    best: dict[int, int] = {}
+    for i, d in enumerate(ids):
+        j = best.get(d)
+        if j is None or (ends[i + 1] - ends[i], *numbers[i]) > (ends[j + 1] - ends[j], *numbers[j]):
+            best[d] = i
+    at = [best[d] for d in sorted(best)]
+    lang, source = t["lang"].to_pylist(), t["source"].to_pylist()
     return (
-        [r["doc_id"] for r in t], [np.array(r["cells"], np.int64) for r in t], numbers,
-        [r["lang"] for r in t], [r["source"] for r in t],
+        [ids[i] for i in at], [flat[ends[i] : ends[i + 1]].copy() for i in at], numbers[at],
+        [lang[i] for i in at], [source[i] for i in at],
     )
 
 
@@ -281,14 +301,15 @@ def score_documents(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
     return kept.mapInArrow(run, StructType([*fields, *[StructField(n, DoubleType()) for n in names]]))
 
 
-#: Rejected: low quality, or toxic, by the labels' columns.
+#: The labels' columns that are learned; a document is rejected only where one of them is fairly sure.
 LABELS = ["quality", "toxic"]
+LEAST_QUALITY, MOST_TOXIC = 0.35, 0.7
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Append p_quality, p_toxic and keep: probably of quality 1 and toxic 0."""
+    """Append p_quality, p_toxic and keep: not of too low a quality, nor too toxic."""
     scored = score_documents(docs, train(docs, labels, LABELS))
-    return scored.withColumn("keep", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+    return scored.withColumn("keep", (F.col("p_quality") >= LEAST_QUALITY) & (F.col("p_toxic") < MOST_TOXIC))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
