@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.byte_bpe import op5_byte_bpe
-from millrace.llm.decontamination import op2_decontamination
+from millrace.llm.decontamination import OP2_SQL, op2_decontamination
 from millrace.llm.licenses import op4_licenses
 from millrace.llm.near_duplicates import op3_near_duplicates
 from millrace.llm.pseudonyms import op7_pseudonyms
@@ -20,4 +20,4 @@ QUERIES = {
         op7_pseudonyms, op8_url_filter, op9_top_k, op10_token_store,
     )
 }
-ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op9_top_k": OP9_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_top_k": OP9_SQL}
