@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, small_join
-from millrace.session import shared_dir
+from millrace.session import materialize, shared_dir
 
 #: Documents in one range; bytes of a row group and of a page.
 RANGE, ROW_GROUP, PAGE = 20_000, 16 << 20, 256 << 10
@@ -196,7 +196,8 @@ def read_tokens(spark, path: str) -> DataFrame:
     totals = rows.groupBy("range").agg(F.sum("n_tokens").alias("n"))
     # One row for each file, RANGE documents or more: their running sum is a window over that short table.
     firsts = totals.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("first"))
-    return small_join(rows, firsts, 0, "range").select(
+    firsts = materialize(firsts, "ranges")
+    return small_join(rows, firsts, firsts.count(), "range").select(
         "doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids"
     )
 
