@@ -22,6 +22,8 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return None
+        if type(v).__name__ in ("bool", "bool_"):
+            return str(bool(v))
         return round(float(v), 5) if hasattr(v, "__float__") and not isinstance(v, (str, bool)) else str(v)
 
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
