@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import per_text, slices, small_join, words
 from millrace.llm.components import connected_components, merged_components
-from millrace.session import materialize
+from millrace.session import BROADCAST_BYTES, materialize
 
 #: Words in a shingle; least similarity; bands and samples in each; leaders of a bucket in the first further round.
 SHINGLE, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 16, 4, 8
@@ -33,6 +33,8 @@ SHINGLE, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 16, 4, 8
 BINS = 128
 #: Cells of the table of word frequencies (a fixed 2 MB); rows of the table of random variates.
 CELLS, VARIATES = 1 << 18, 1 << 15
+#: Pairs of id and key (64 bytes each in a hash table) that may be broadcast; more are joined by shuffle.
+PAIRS = BROADCAST_BYTES // 64
 #: Bytes of text handled at once in a task.
 BATCH = 1 << 20
 _LOW44 = np.uint64((1 << 44) - 1)
@@ -346,17 +348,21 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Of rows that repeat both id and text one stays; texts without words all stay.
     """
-    classes = near_duplicates(docs, text, doc_id)
-    kept = materialize(
-        classes.where("first").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("class_size") > 1)).alias("many")),
-        "kept",
-    )
+    classes = materialize(near_duplicates(docs, text, doc_id), "classed")
+    pair = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"))
+    gone = materialize(pair(classes.where("not first")).distinct(), "gone")
+    often = classes.where("first and class_size > 1").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    often = materialize(pair(often.where("n > 1")), "often")
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+
+    def met(df: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(pairs) if pairs.count() <= PAIRS else pairs, same, how)
+
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    k = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "n", "many").alias("k")
-    out = keyed.join(k, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    if not kept.where("n > 1 and many").isEmpty():
-        once = out.where("n > 1 and many").dropDuplicates([doc_id, "_key"])
-        out = out.where("not (n > 1 and many)").unionByName(once)
+    out = met(keyed, gone, "left_anti")
+    if not often.isEmpty():
+        once = met(out, often, "left_semi").dropDuplicates([doc_id, "_key"])
+        out = met(out, often, "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
