@@ -63,7 +63,9 @@ class MatchEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.bytes_of = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, as_bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        #: What the library writes for the bytes of each character beyond ASCII.
+        self.bytes_of = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.whole = whole
         self.known: dict[str, bytes] = {}
@@ -85,7 +87,7 @@ class MatchEncoder:
             return b"".join([known[m] for m in found])
         except KeyError:
             for m in set(found).difference(known):
-                as_bytes = m if m.isascii() else self.bytes_of.pre_tokenize_str(m)[0][0]
+                as_bytes = m if m.isascii() else m.translate(self.bytes_of)
                 known[m] = self.pack([t.id for t in self.model.tokenize(as_bytes)])
             return b"".join([known[m] for m in found])
 
