@@ -3,7 +3,8 @@
 Two views of a document: its words (hashed), and its page metadata (language, source, sizes and
 layout counts, in quantile bins). A logistic regression of each view starts from the labelled rows; over
 some rounds each labels unlabelled documents that it is confident about for the other. Both are then
-calibrated on held-out labelled rows, and the combined log-odds are calibrated again.
+calibrated on held-out labelled rows, and the combined log-odds are calibrated again, together with the
+strongest words' weights: a few insults say the same in a long text as in a short one.
 
 Fitting uses samples of fixed size, drawn by a hash of doc_id: LABELLED rows and POOL unlabelled ones, of
 which only features reach the driver. Every document is scored whole, by a broadcast of fixed size.
@@ -31,6 +32,8 @@ LABELLED, POOL, ROUNDS, PICKS = 5000, 3000, 3, 150
 WORDS, BINS, NAMES, SURE = 1 << 16, 12, 64, 0.95
 #: Share of the labelled sample that calibrates.
 HELD = 0.3
+#: Strongest words that count undivided by the text's length.
+STRONGEST = 3
 _SIGNS = re.compile(r"[^\w\s]{2,}")
 _UPPER, _DIGIT, _SPACE, _MARK = (
     bytes(b for b in range(256) if chr(b).isupper() and b < 128), b"0123456789", b" \t\r\n",
@@ -88,6 +91,10 @@ class Linear:
         total = np.bincount(at, self.weight[np.concatenate(rows)], len(rows))
         return self.bias + total / np.sqrt(np.maximum(n, 1))
 
+    def strongest(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The sum of each row's STRONGEST greatest weights, which other cells don't divide away."""
+        return np.array([np.sort(np.maximum(self.weight[r], 0))[-STRONGEST:].sum() for r in rows], float)
+
 
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, cells: int, steps: int = 80, l2: float = 1e-3, rate: float = 1.0) -> Linear:
     """Full-batch gradient descent with steps scaled by each cell's past gradients."""
@@ -133,7 +140,9 @@ class CoTrained:
     edges: np.ndarray
     text_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
     meta_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
-    both: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0]))
+    both: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0, 0.0]))
+    #: From this probability on a document is said to bear the label, see ``cut_off``; None without held-out rows.
+    cut: float | None = None
     #: Given where the labels are of one class only, or missing.
     constant: float | None = None
 
@@ -143,7 +152,7 @@ class CoTrained:
             return np.full(len(text), self.constant)
         a = self.text.log_odds(text) * self.text_scale[0] + self.text_scale[1]
         b = self.meta.log_odds(meta) * self.meta_scale[0] + self.meta_scale[1]
-        z = np.column_stack([np.clip(a, -12, 12), np.clip(b, -12, 12), np.ones(len(a))]) @ self.both
+        z = np.column_stack([np.clip(a, -12, 12), np.clip(b, -12, 12), self.text.strongest(text), np.ones(len(a))]) @ self.both
         return 1 / (1 + np.exp(-z))
 
 
@@ -165,6 +174,12 @@ def frequent(rows: list[np.ndarray], least: int = 3) -> list[np.ndarray]:
     return [r[count[r] >= least] for r in rows]
 
 
+def cut_off(p: np.ndarray, y: np.ndarray, lost: float) -> float:
+    """The least probability that at most a share of ``lost`` of the rows without the label (y = 0) reaches."""
+    without = np.sort(p[y == 0])[::-1]
+    return float(np.nextafter(without[int(lost * len(without))], 2))
+
+
 def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, n_labelled: int, edges: np.ndarray) -> CoTrained:
     """Fit both views: rows before ``n_labelled`` have labels ``y``, the rest are the pool."""
     y = y.astype(float)
@@ -207,7 +222,10 @@ def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, n_la
     a, b = (models[v].log_odds([views[v][0][i] for i in cal]) for v in views)
     made.text_scale, made.meta_scale = fit_logistic(a[:, None], y[cal]), fit_logistic(b[:, None], y[cal])
     a, b = a * made.text_scale[0] + made.text_scale[1], b * made.meta_scale[0] + made.meta_scale[1]
-    made.both = fit_logistic(np.clip(np.column_stack([a, b]), -12, 12), y[cal])
+    strong = models[0].strongest([text[i] for i in cal])
+    made.both = fit_logistic(np.column_stack([np.clip(a, -12, 12), np.clip(b, -12, 12), strong]), y[cal])
+    if held.any():
+        made.cut = cut_off(made.score([text[i] for i in cal], [meta[i] for i in cal]), y[cal], LOST)
     return made
 
 
@@ -303,15 +321,20 @@ def score_documents(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
     return kept.mapInArrow(run, StructType([*fields, *[StructField(n, DoubleType()) for n in names]]))
 
 
-#: The labels' columns that are learned; a document is rejected only where one of them is fairly sure.
+#: The labels' columns that are learned.
 LABELS = ["quality", "toxic"]
-LEAST_QUALITY, MOST_TOXIC = 0.35, 0.7
+#: Documents of a lower quality are rejected.
+LEAST_QUALITY = 0.35
+#: Share of the held-out documents that aren't toxic that may be rejected as such; the cut-off where none are held out.
+LOST, MOST_TOXIC = 0.005, 0.5
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Append p_quality, p_toxic and keep: not of too low a quality, nor too toxic."""
-    scored = score_documents(docs, train(docs, labels, LABELS))
-    return scored.withColumn("keep", (F.col("p_quality") >= LEAST_QUALITY) & (F.col("p_toxic") < MOST_TOXIC))
+    models = train(docs, labels, LABELS)
+    cut = models["toxic"].cut
+    scored = score_documents(docs, models)
+    return scored.withColumn("keep", (F.col("p_quality") >= LEAST_QUALITY) & (F.col("p_toxic") < (MOST_TOXIC if cut is None else cut)))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

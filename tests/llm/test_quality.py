@@ -57,3 +57,24 @@ def test_odd_rows_and_labels(spark, odd_docs, no_docs):
 def test_features():
     assert Q.text_features(None).tolist() == [] and len(Q.layout(None)) == len(Q.LAYOUT) == len(Q.layout("A b. C!\nA b."))
     assert set(Q.text_features("a b a")) == set(Q.text_features("B, a b")) | set(Q.text_features("a b a"))
+
+
+def test_toxic_recall(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = Q.judge(docs, labels.where("doc_id % 3 > 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").toPandas()
+    toxic, clean = held.toxic == 1, (held.toxic == 0) & (held.quality == 1)
+    assert toxic.sum() > 100 and held[clean].keep.mean() > 0.97
+    assert held[toxic].keep.mean() < 0.38
+    insult = docs.where("lower(text) rlike '\\\\b(trash|idiot|scum|moron|loser)\\\\b'").select("doc_id").toPandas().doc_id
+    assert held[toxic & held.doc_id.isin(insult)].keep.mean() < 0.05
+
+
+def test_strong_words_count_in_long_texts_and_the_cut_off_bounds_the_loss():
+    weight = np.zeros(Q.WORDS)
+    weight[:4], weight[10:2000] = [3, 2, 1, 0.5], -0.1
+    model = Q.Linear(weight)
+    short, long = np.arange(4), np.concatenate([np.arange(4), np.arange(10, 2000)])
+    assert model.strongest([short, long, np.zeros(0, np.int64)]).tolist() == [6, 6, 0]
+    p, y = np.linspace(0, 1, 1000), np.zeros(1000)
+    assert (p >= Q.cut_off(p, y, 0.01)).mean() == 0.01 and (p >= Q.cut_off(p, y, 0.0)).sum() == 0
