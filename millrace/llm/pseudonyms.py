@@ -85,17 +85,36 @@ def card(text: str, key: bytes) -> str | None:
     return _refill(text, body + luhn_digit(body))
 
 
+#: Country codes of one and of two digits (ITU-T E.164); the others have three.
+_ONE, _TWO = "17", frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(text: str, key: bytes) -> str | None:
-    """A North American number: area and exchange start with 2 to 9 and don't end in 11."""
+    """A North American number, or one of another country behind its + and code, which stay.
+
+    Of ten digits in the North American form those in the ranges in use (area and exchange start with 2 to
+    9, the area doesn't end in 11) are permuted among themselves, and so are the others.
+    """
+    if text[0] == "+" and "(0)" in text:
+        # The digit to dial within the country isn't one of the number's own.
+        before, _, after = text.partition("(0)")
+        new = phone(before + after, key)
+        return new and f"{new[: len(before)]}(0){new[len(before) :]}"
     d = _only_digits(text)
+    if text[0] == "+" and d[0] != "1":
+        n = 1 if d[0] in _ONE else 2 if d[:2] in _TWO else 3
+        if not 8 <= len(d) <= 15:
+            return None
+        return _refill(text, d[:n] + _permute_digits(d[n:], key, b"phone+%s|%d" % (d[:n].encode(), len(d))))
     lead, local = d[:-10], d[-10:]
 
-    def fits(x: str) -> bool:
+    def in_use(x: str) -> bool:
         return x[0] > "1" and x[3] > "1" and x[1:3] != "11"
 
-    if lead not in ("", "1") or len(local) != 10 or not fits(local):
+    if lead not in ("", "1") or len(local) != 10:
         return None
-    return _refill(text, lead + _permute_digits(local, key, b"phone", fits))
+    used = in_use(local)
+    return _refill(text, lead + _permute_digits(local, key, b"phone", lambda x: in_use(x) == used))
 
 
 def social(text: str, key: bytes) -> str | None:
@@ -201,7 +220,7 @@ _KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("address", r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("social", r"\d{3}-\d\d-\d{4}(?![\d-])", social),
     ("card", r"\d(?:[ -]?\d){12,18}(?![\d])", card),
-    ("phone", r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+1\d{10}(?!\d)", phone),
+    ("phone", r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+[1-9]\d{0,14}(?:[ .-]?\(\d{1,5}\)[ .-]?\d{0,12}|(?:\.|[ -](?!\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)))\d{1,12}){0,7}(?<=\d\d)(?!\d)", phone),
 ]
 _FIND = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{n}>{p})" for n, p, _ in _KINDS) + ")", re.ASCII)
 _MAY = re.compile(r"[0-9@]|(?:sk|ghp|gho|pk)[_-]|(?:password|passwd|secret|api[_-]?key|token)\s*[=:]", re.I)

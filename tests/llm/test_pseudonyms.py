@@ -86,3 +86,24 @@ def test_query(spark, sf):
     assert {r.doc_id for r in rows} == set(texts) and sum(r.n_replaced for r in rows) > 5
     for r in rows:
         assert r.text == P.pseudonymize(texts[r.doc_id])[0]
+
+
+PHONES = ["+1 (017) 555-7713", "+1 (136) 555-7479", "186-555-3733", "+44 20 7946 0958", "+49 (30) 1234567", "+33 1 42 68 53 00", "+442079460958",
+          "+44 (0)20 7946 0958", "+1 386 5553733", "+353-1-234-5678"]
+
+
+@pytest.mark.parametrize("value", PHONES)
+def test_phone_numbers_of_all_ranges_and_countries(value):
+    new, [(a, b, kind)] = P.pseudonymize(f"call {value}, please")
+    assert kind == "phone" and new[:5] == "call " and new[b:] == ", please" and new[a:b] != value
+    assert re.sub(r"\d", "9", new[a:b]) == re.sub(r"\d", "9", value) and new[a : a + 2] == value[:2] or value[0] != "+"
+    assert [x[2] for x in P.pseudonymize(new)[1]] == ["phone"]
+
+
+def test_phone_numbers_stay_linked_and_apart():
+    digits = lambda t: re.sub(r"\D", "", P.pseudonymize(t)[0].replace("(0)", ""))
+    assert digits("+44 20 7946 0958") == digits("+442079460958") == digits("+44 (0)20 7946 0958") != "442079460958"
+    assert digits("+1 (017) 555-7713")[1:] == digits("017-555-7713")
+    many = [f"+1 ({a:03d}) 555-7713" for a in range(1000)]
+    assert len({P.pseudonymize(v)[0] for v in many}) == 1000
+    assert P.pseudonymize("up +12 34 to +5 % and 2+2")[1] == []
