@@ -258,14 +258,23 @@ def pseudonymize(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None
 
 
 _PATTERNS = {n: re.compile(p, re.ASCII) for n, p, _ in _KINDS}
+#: Kinds of which a match may hold what follows the value.
+_SHORTER = {n: _PATTERNS[n] for n in ("iban", "card", "phone")}
 _RUN = re.compile(r"[A-Za-z0-9]+", re.ASCII)
 
 
+_BREAK = re.compile(r"[ .-]")
+
+
 def _other(text: str, m: re.Match, key: bytes) -> tuple[str | None, str, int]:
     kinds = [n for n, _, _ in _KINDS]
-    for kind in kinds[kinds.index(m.lastgroup) + 1 :]:
-        if (o := _PATTERNS[kind].match(text, m.start())) and (new := _pseudonym(kind, o[0], key)) is not None:
-            return new, kind, o.end()
+    kinds = kinds[kinds.index(m.lastgroup) :]
+    found = [(k, o[0]) for k in kinds if (o := _PATTERNS[k].match(text, m.start()))]
+    # The longest matches first; then what may have a word or number behind it, up to an earlier separator.
+    shorter = [(k, t[: x.start()]) for k, t in found if k in _SHORTER for x in reversed([*_BREAK.finditer(t)])]
+    for kind, t in [*found[1:], *(c for c in shorter if _SHORTER[c[0]].fullmatch(c[1]))]:
+        if (new := _pseudonym(kind, t, key)) is not None:
+            return new, kind, m.start() + len(t)
     run = _RUN.match(text, m.start())
     return None, "", run.end() if run else m.start() + 1
 

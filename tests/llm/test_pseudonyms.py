@@ -107,3 +107,23 @@ def test_phone_numbers_stay_linked_and_apart():
     many = [f"+1 ({a:03d}) 555-7713" for a in range(1000)]
     assert len({P.pseudonymize(v)[0] for v in many}) == 1000
     assert P.pseudonymize("up +12 34 to +5 % and 2+2")[1] == []
+
+
+BEHIND = [
+    ("card", "4111 1111 1111 1111", " 12/25"), ("card", "4111-1111-1111-1111", " 123"), ("card", "4111111111111111", " 737 x"),
+    ("card", "4111 1111 1111 1111", "-1"), ("iban", "ES91 2100 0418 4502 0005 1332", " EUR"), ("iban", "ES9121000418450200051332", " EUR"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", " PAID NOW"), ("phone", "+44 20 7946 0958", " 2021 12"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value", "more"), BEHIND)
+def test_what_follows_a_value_does_not_hide_it(kind, value, more):
+    new, [(a, b, k)] = P.pseudonymize(f"pay {value}{more}")
+    assert (a, b, k) == (4, 4 + len(value), kind) and new[b:] == more
+    assert new[a:b] == P.pseudonymize(value)[0] != value
+
+
+def test_an_address_behind_a_card():
+    new, spans = P.pseudonymize("4111111111111111 190.137.223.204")
+    assert [s[2] for s in spans] == ["card", "address"] and not re.search("4111111111111111|190.137.223.204", new)
+    assert P.pseudonymize("1234 5678 9012 3456 12/25")[1] == []
