@@ -53,8 +53,9 @@ class MatchEncoder:
 
     The tokenizer drops white space, so a text's ids are those of its matches in turn. In texts of Latin-1
     each new match goes to the library's model once; other texts go through the whole library, cut at
-    spaces and line feeds, in a batch. ``whole`` sends every text there uncut. Ids are packed in little-
-    endian integers of ``width`` bytes: two where the vocabulary allows, else four.
+    spaces and line feeds, in a batch. A text that holds one of the file's added tokens goes there uncut;
+    ``whole``, or an added token that matches normalized text, sends every text there. Ids are packed in
+    little-endian integers of ``width`` bytes: two where the vocabulary allows, else four.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -62,12 +63,13 @@ class MatchEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, as_bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
         #: What the library writes for the bytes of each character beyond ASCII.
         self.bytes_of = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.whole = whole
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
+        self.whole = whole or any(t.normalized for t in added)
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
@@ -99,11 +101,14 @@ class MatchEncoder:
             self.known.clear()
         if len(self.chunks) > CACHE:
             self.chunks = {"": b""}
-        odd = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if t and not is_plain(t)}
+        held = [i for i, t in enumerate(texts) if t and self.added.search(t)]
+        uncut = dict(zip(held, self._raw([texts[i] for i in held]), strict=True))
+        odd = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if t and i not in uncut and not is_plain(t)}
         new = list(set(chain.from_iterable(odd.values())) - self.chunks.keys())
         self.chunks.update(zip(new, self._raw(new), strict=True))
         return [
-            b"".join([self.chunks[c] for c in odd[i]]) if i in odd else self._plain(t) if t else b""
+            uncut[i] if i in uncut
+            else b"".join([self.chunks[c] for c in odd[i]]) if i in odd else self._plain(t) if t else b""
             for i, t in enumerate(texts)
         ]
 

@@ -117,3 +117,18 @@ def test_query(spark, sf):
     rows = S.op10_token_store(spark, sf).orderBy("doc_id").collect()
     assert list(map(tuple, rows)) == expected(docs)
     assert B.op5_byte_bpe(spark, sf).count() == len(docs)
+
+
+def test_added_tokens_as_in_the_unmodified_library(spark, odd_docs, tmp_path):
+    t = Tokenizer.from_file(WORDS)
+    ids = lambda x: t.encode(x or "", add_special_tokens=False).ids
+    marked = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>", "é <|startoftext|>\n<|endoftext|> 你 b", "<|ENDOFTEXT|>",
+              "<|endof text|>", "<|endoftext|"]
+    texts = [*marked, *[r.text for r in odd_docs.collect()], *random_texts()]
+    assert S.MatchEncoder(WORDS).encode(texts) == [np.array(ids(x), "<u2").tobytes() for x in texts]
+    assert 49407 in ids(marked[0])
+    docs = spark.createDataFrame(list(enumerate(marked)), "doc_id long, text string")
+    S.write_tokens(docs, str(tmp_path / "t"), WORDS)
+    rows = S.read_tokens(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [r.ids for r in rows] == [[*ids(x), 1] for x in marked]
+    assert [r.start for r in rows] == [sum(len(ids(x)) + 1 for x in marked[:i]) for i in range(len(marked))]
