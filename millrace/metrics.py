@@ -68,13 +68,11 @@ def table_match(pred: Table | DataFrame, gold: Table | DataFrame, options: Match
     if not b.columns:
         return a.count() == b.count()
     if set(a.columns) == set(b.columns):
-        pairs = [(c, c) for c in b.columns]
-    elif options.names:
-        return False
-    elif (found := _bijection(a, b, options)) is None:
-        return False
-    else:
-        pairs = found
+        return _same_rows(a, b, [(c, c) for c in b.columns], options)
+    return not options.names and _bijection(a, b, options) is not None
+
+
+def _same_rows(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]], options: MatchOptions) -> bool:
     x = _rows(a, [p for p, _ in pairs], options)
     y = _rows(b, [g for _, g in pairs], options)
     cells = [c for c in x.columns if c != "n"]
@@ -82,24 +80,64 @@ def table_match(pred: Table | DataFrame, gold: Table | DataFrame, options: Match
     return both.groupBy(*cells).agg(F.sum("d").alias("d")).where("d <> 0").isEmpty()
 
 
-def _bijection(a: DataFrame, b: DataFrame, options: MatchOptions, steps: int = 200_000) -> list[tuple[str, str]] | None:
-    """Columns paired by their multisets of values; the search over equal ones is checked by the caller's rows."""
+#: Pairs of columns of which one job makes the digests.
+_AT_ONCE = 64
 
-    def digests(df: DataFrame) -> dict[str, tuple]:
-        h = [F.xxhash64(normal(quoted(c), df.schema[c].dataType, options.tolerance)) for c in df.columns]
-        out = df.agg(*[F.struct(F.count(x), F.bit_xor(x), F.sum(F.pmod(x, F.lit(1 << 31)))).alias(str(i)) for i, x in enumerate(h)]).head()
-        return {c: tuple(out[i]) for i, c in enumerate(df.columns)}
 
-    left, right = digests(a), digests(b)
+def _digests(df: DataFrame, pairs: list[tuple[str, str]], options: MatchOptions) -> dict[tuple[str, str], tuple]:
+    """Of each pair of columns the multiset of its pairs of values, as numbers, and whether both are equal in every row."""
+    h = {c: F.xxhash64(normal(quoted(c), df.schema[c].dataType, options.tolerance)) for c in df.columns}
+    out = {}
+    for i in range(0, len(pairs), _AT_ONCE):
+        some = pairs[i : i + _AT_ONCE]
+        x = {p: F.xxhash64(h[p[0]], h[p[1]]) for p in some}
+        sums = [F.struct(F.count(x[p]), F.bit_xor(x[p]), F.sum(F.pmod(x[p], F.lit(1 << 31))), F.bool_and(h[p[0]] == h[p[1]])) for p in some]
+        row = df.agg(*[c.alias(str(k)) for k, c in enumerate(sums)]).head()
+        out |= {p: tuple(row[k]) for k, p in enumerate(some)}
+    return out
+
+
+def _bijection(a: DataFrame, b: DataFrame, options: MatchOptions, steps: int = 200_000) -> list[tuple[str, str]] | None:
+    """Columns paired so that both have the same rows, by a search of at most ``steps`` steps, or None.
+
+    Columns are paired within equal multisets of values, and so that any two of them have equal multisets of
+    pairs of values; the rows of a whole pairing are compared. Of equal columns one is tried.
+    """
+    alone = lambda df: {c: d for (c, _), d in _digests(df, [(c, c) for c in df.columns], options).items()}
+    left, right = alone(a), alone(b)
     if sorted(map(str, left.values())) != sorted(map(str, right.values())):
         return None
-    pairs, used = [], set()
-    for g, d in right.items():
-        same = [p for p in left if left[p] == d and p not in used]
-        p = g if g in same else same[0]
-        used.add(p)
-        pairs.append((p, g))
-    return pairs
+    same = {g: sorted((p for p in left if left[p] == d), key=lambda p: p != g) for g, d in right.items()}
+    order = sorted(same, key=lambda g: len(same[g]))
+    # Columns that may be paired in one way only need no digests among each other.
+    open_left, open_right = ({c for c in df if sum(d == df[c] for d in df.values()) > 1} for df in (left, right))
+    several = lambda df, some: [(x, y) for x in df for y in df if x != y and (x in some or y in some)]
+    of_left, of_right = _digests(a, several(left, open_left), options), _digests(b, several(right, open_right), options)
+    chosen: dict[str, str] = {}
+    left_steps = steps
+
+    def fits(p: str, g: str) -> bool:
+        return all(of_left.get((q, p)) == of_right.get((h, g)) for h, q in chosen.items())
+
+    def search(k: int) -> bool:
+        nonlocal left_steps
+        left_steps -= 1
+        if left_steps < 0:
+            return False
+        if k == len(order):
+            return _same_rows(a, b, [(chosen[g], g) for g in right], options)
+        tried: list[str] = []
+        for p in same[order[k]]:
+            if p in chosen.values() or any(of_left[q, p][3] for q in tried) or not fits(p, order[k]):
+                continue
+            tried.append(p)
+            chosen[order[k]] = p
+            if search(k + 1):
+                return True
+            del chosen[order[k]]
+        return False
+
+    return [(chosen[g], g) for g in right] if search(0) else None
 
 
 def partial_similarity(pred: Table | DataFrame, gold: Table | DataFrame, options: MatchOptions | None = None) -> float:

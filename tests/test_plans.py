@@ -148,6 +148,23 @@ def test_table_match(spark):
     assert table_match(f([(float("nan"),), (float("inf"),)], "a double"), f([(None,), (float("inf"),)], "a double"))
 
 
+def test_table_match_tries_pairings_of_equal_columns(spark):
+    f = lambda data, ddl: spark.createDataFrame(data, ddl)
+    free = MatchOptions(names=False)
+    gold = f([(1, 2, 5), (2, 1, 6)], "a int, b int, c int")
+    assert table_match(f([(2, 1, 5), (1, 2, 6)], "x int, y int, c int"), gold, free)
+    assert table_match(f([(5, 2, 1), (6, 1, 2)], "p int, q int, r int"), gold, free)
+    assert not table_match(f([(1, 1, 5), (2, 2, 6)], "x int, y int, c int"), gold, free)
+    # Any two columns have the same pairs of values, all three don't.
+    even = [(x, y, x ^ y) for x in (0, 1) for y in (0, 1)]
+    odd = [(x, y, 1 - (x ^ y)) for x in (0, 1) for y in (0, 1)]
+    assert not table_match(f(odd, "x int, y int, z int"), f(even, "a int, b int, c int"), free)
+    assert table_match(f(odd, "x int, y int, z int"), f(odd[::-1], "a int, b int, c int"), free)
+    equal = "x0 int, x1 int, x2 int, x3 int, x4 int, x5 int, x6 int"
+    assert table_match(f([(None,) * 7, (1,) * 7], equal), f([(1,) * 7, (None,) * 7], equal.replace("x", "y")), free)
+    assert not table_match(f([(None,) * 7, (1,) * 7], equal), f([(1,) * 6 + (None,), (None,) * 6 + (1,)], equal.replace("x", "y")), free)
+
+
 def test_similarity_and_costs(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
     assert partial_similarity(a, a) == 1.0
