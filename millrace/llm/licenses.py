@@ -1,13 +1,15 @@
 """License scans by a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line. Its words and pairs of neighbouring words are hashed into CELLS cells of a
+A paragraph is a line, or a block of lines up to an empty one that holds a template of which no line alone
+has enough (a wrapped text). Its words and pairs of neighbouring words are hashed into CELLS cells of a
 multinomial logistic regression over licence families, an unknown class and an ordinary one, held as an
 array literal. A temperature calibrates the probabilities. A family that is predicted must be confirmed:
 enough of the word pairs of one of the family's templates must occur in the paragraph; a licence-like
 paragraph that isn't confirmed, or that no family explains well enough, is ``unknown``.
 
-Only lines with one of the templates' anchor words are scored: a line without any can't be confirmed and
-isn't licence-like. Training takes the few fixed paragraphs below and plain Python on the driver.
+Only lines with an anchor word, or with a word that each template needs to be confirmed, are scored: a line
+without any can't be confirmed and isn't licence-like. One without an anchor word counts only where a
+template is confirmed. Training takes the few fixed paragraphs below and plain Python on the driver.
 """
 
 from __future__ import annotations
@@ -94,15 +96,15 @@ ORDINARY = [
     "Fishing license fees rose again this year.", "This is a confidential matter.", "The permission of the owner is needed.",
 ]
 CLASSES = [*TEMPLATES, "unknown", "ordinary"]
-#: A line must hold one of these to be scored; every template and every licence-like paragraph does.
+#: Every licence-like paragraph that no template confirms holds one of these.
 ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|redistribut|permission|spdx|confidential|\bcc0\b"
 
 
 def _grams(line: Column) -> Column:
     """Words and pairs of neighbouring words; A-Z lower-cased, signs between words dropped."""
-    w = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}.]+|\.(?=\s|$)|\.$", -1), lambda x: x != "")
-    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-    return F.array_distinct(F.concat(w, pairs))
+    words = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}.]+|\.(?=\s|$)|\.$", -1), lambda x: x != "")
+    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+    return _let(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
 
 
 def _cells(grams: Column) -> Column:
@@ -204,32 +206,83 @@ def _scores(model: ParagraphModel, grams: Column) -> Column:
     return _let(z, lambda z: _let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), normal))
 
 
+def needed_words(templates: list[dict]) -> list[str]:
+    """Words of which a text that confirms any of the templates holds one at least.
+
+    Of each template words are taken, the one in most of its word pairs first, until what is left without them
+    can't reach CONFIRM.
+    """
+    out: set[str] = set()
+    for t in templates:
+        rest = [g.split(" ") for g in t["g"]]
+        while len(rest) >= CONFIRM * len(t["g"]):
+            words = {w for g in rest for w in g}
+            taken = max(words, key=lambda w: (w in out, len(w) > 3 or w == "cc", sum(w in g for g in rest), len(w), w))
+            out.add(taken)
+            rest = [g for g in rest if taken not in g]
+    return sorted(out)
+
+
+def _blocks(lines: Column) -> Column:
+    """array<struct<start, lines>>: the runs of lines that aren't empty."""
+    n = F.size(lines)
+    empty = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(r"^\s*$"))
+    cuts = F.concat(F.array(F.lit(-1)), empty, F.array(n))
+
+    def between(cuts: Column) -> Column:
+        made = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, k: F.struct(
+            (c + 1).alias("start"), F.slice(lines, c + 2, F.get(cuts, k + 1) - c - 1).alias("lines"),
+        ))
+        return F.filter(made, lambda x: F.size(x["lines"]) > 0)
+
+    return _let(cuts, between)
+
+
 def scan_paragraphs(docs: DataFrame, model: ParagraphModel | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each licence paragraph: doc_id, line (from 0), paragraph, family, probability.
 
     ``family`` is a confirmed family or ``unknown``; the probability is that of the family, or of being a
-    licence at all. Null and empty texts have no paragraphs; repeated rows give repeated rows. Whole texts
-    are read. Other columns are ignored.
+    licence at all. A family that only the lines of a block together confirm has a row of the block's first
+    line and all its text, besides those of its lines. Null and empty texts have no paragraphs; repeated rows
+    give repeated rows. Whole texts are read. Other columns are ignored.
     """
     model = model or train(docs.sparkSession)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = ids.where(F.col("text").rlike(ANCHORS)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    scored = lines.where(F.col("paragraph").rlike(ANCHORS)).select(
+    words = "|".join(w.replace(".", r"\.") for w in needed_words(model.templates))
+    worth = rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+    templates = _fixed(model.templates, "array<struct<f:string,g:array<string>>>")
+    share = lambda grams, t: F.size(F.array_intersect(grams, t["g"])) / F.size(t["g"])
+    confirmed = lambda grams: F.filter(templates, lambda t: share(grams, t) >= CONFIRM)
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(worth))
+
+    lines = ids.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    scored = lines.where(F.col("paragraph").rlike(worth)).select(
         "doc_id", "line", "paragraph",
         _let(_grams(F.col("paragraph")), lambda g: F.struct(g.alias("grams"), _scores(model, g).alias("s"))).alias("x"),
     )
-    templates = _fixed(model.templates, "array<struct<f:string,g:array<string>>>")
-    confirmed = F.exists(
-        templates,
-        lambda t: (t["f"] == F.col("x.s.best"))
-        & (F.size(F.array_intersect(F.col("x.grams"), t["g"])) >= CONFIRM * F.size(t["g"])),
-    )
-    sure = confirmed & (F.col("x.s.p") >= SURE)
-    return scored.where(F.col("x.s.best") != "ordinary").select(
+    scored = scored.where(F.col("x.s.best") != "ordinary").withColumn("fits", confirmed(F.col("x.grams"))["f"])
+    scored = scored.where(F.col("paragraph").rlike(ANCHORS) | (F.size("fits") > 0))
+    sure = F.array_contains("fits", F.col("x.s.best")) & (F.col("x.s.p") >= SURE)
+    of_lines = scored.select(
         "doc_id", "line", "paragraph", F.when(sure, F.col("x.s.best")).otherwise("unknown").alias("family"),
         F.when(sure, F.col("x.s.p")).otherwise(1 - F.col("x.s.ordinary")).alias("probability"),
     )
 
+    # The template that fits a block best, of families that none of its lines confirms; what both share is scored.
+    known = _fixed(sorted({g for t in model.templates for g in t["g"]}), "array<string>")
+    held = lambda x: F.array_intersect(_grams(x), known)
+    blocks = ids.select("doc_id", F.explode(_let(F.split("text", "\n"), _blocks)).alias("b")).where(F.size("b.lines") > 1)
+    blocks = blocks.select("doc_id", "b", F.concat_ws("\n", "b.lines").alias("paragraph")).where(F.col("paragraph").rlike(worth))
+    blocks = blocks.withColumn("held", held(F.col("paragraph"))).withColumn("fits", confirmed(F.col("held"))).where(F.size("fits") > 0)
+    by_line = F.flatten(F.transform("b.lines", lambda x: confirmed(held(x))["f"]))
+    blocks = blocks.withColumn("by_line", by_line)
+    free = F.filter("fits", lambda t: ~F.array_contains("by_line", t["f"]))
+    best = F.array_max(F.transform(free, lambda t: F.struct(share(F.col("held"), t), F.size(t["g"]), t["f"].alias("f"), F.array_intersect("held", t["g"]).alias("g"))))
+    blocks = blocks.withColumn("best", best).where("best is not null").withColumn("s", _scores(model, F.col("best.g")))
+    of_blocks = blocks.where((F.col("s.best") == F.col("best.f")) & (F.col("s.p") >= SURE)).select(
+        "doc_id", F.col("b.start").alias("line"), "paragraph", F.col("best.f").alias("family"), F.col("s.p").alias("probability")
+    )
+    return of_lines.unionByName(of_blocks)
+
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
     """Every licence paragraph of all documents and its family."""

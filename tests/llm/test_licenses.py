@@ -54,3 +54,24 @@ def test_probabilities_equal_plain_arithmetic(spark, model):
     for r in L.scan_paragraphs(df, model).collect():
         p = model.probabilities(cells[r.doc_id])
         assert L.CLASSES[p.index(max(p))] == r.family and abs(max(p) - r.probability) < 1e-9
+
+
+def test_lines_without_an_anchor_word(spark, model):
+    want = ["CC-BY", "CC-BY-SA", "CC-BY-NC"]
+    got = families(spark, model, ["Available under CC BY 4.0.", "Distributed under CC BY-SA 4.0.", "Offered under CC BY-NC 4.0.",
+                                  "The software and the program were modified.", "A cc of the letter went by post."])
+    assert got == dict(enumerate(want))
+    # No text without the needed words can be confirmed.
+    words = set(L.needed_words(model.templates))
+    for t in model.templates:
+        assert sum(not words & set(g.split(" ")) for g in t["g"]) < L.CONFIRM * len(t["g"])
+
+
+def test_wrapped_templates(spark, model):
+    mit = ["Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated", "documentation files"]
+    gpl = ["This program is free software: you can redistribute it", "and/or modify it under the terms of the GNU General", "Public License"]
+    pad = "pad words here. " * 50
+    text = "\n".join([pad, "", pad, *mit, pad, " ", *gpl, "", "All rights reserved.", pad])
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted((r.line, r.family, r.paragraph) for r in L.scan_paragraphs(df, model).collect() if r.family != "unknown")
+    assert rows == [(2, "MIT", "\n".join([pad, *mit, pad])), (8, "GPL", "\n".join(gpl)), (12, "proprietary", "All rights reserved.")]
