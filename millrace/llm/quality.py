@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import slices, small_join, words
 
 #: Rows of the labelled sample and of the unlabelled pool; co-training rounds; pseudo-labels a round and class.
-LABELLED, POOL, ROUNDS, PICKS = 5000, 3000, 3, 150
+LABELLED, POOL, ROUNDS, PICKS = 6000, 4000, 4, 150
 #: Hashed words; bins of a metadata number; hash cells of languages and sources; least confidence to pass on.
 WORDS, BINS, NAMES, SURE = 1 << 16, 12, 64, 0.95
 #: Share of the labelled sample that calibrates.
@@ -96,7 +96,7 @@ class Linear:
         return np.array([np.sort(np.maximum(self.weight[r], 0))[-STRONGEST:].sum() for r in rows], float)
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, cells: int, steps: int = 80, l2: float = 1e-3, rate: float = 1.0) -> Linear:
+def fit_linear(rows: list[np.ndarray], y: np.ndarray, cells: int, steps: int = 120, l2: float = 1e-3, rate: float = 1.0) -> Linear:
     """Full-batch gradient descent with steps scaled by each cell's past gradients."""
     model = Linear(np.zeros(cells))
     n = np.array([len(r) for r in rows])
