@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_bpe import encode_documents, public_files
+from millrace.llm.byte_bpe import public_files, round_trip
 from millrace.llm.decontamination import find_contamination, verdicts
 from millrace.llm.near_duplicates import drop_near_duplicates
 from millrace.llm.pseudonyms import replace_private
@@ -42,9 +42,14 @@ def pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text, with lang and source."""
-    encoded = encode_documents(docs, *public_files())
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text, with lang and source.
+
+    The ids are decoded again: decoded_sha256 is the digest of the bytes that they give.
+    """
+    done = round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return done.select(
+        "doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 STAGES = [

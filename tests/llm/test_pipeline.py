@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline as P
 from millrace.llm.byte_bpe import encode_text, load_encoding, public_files
 
@@ -27,3 +29,9 @@ def test_odd_and_no_rows(spark, odd_docs, no_docs, sf):
             out = stage(spark, docs, sf)
             assert out.columns == docs.columns and out.count() <= docs.count(), name
     assert P.tokens(spark, odd_docs, sf).count() == odd_docs.count()
+
+
+def test_tokens_are_decoded_again(spark, odd_docs):
+    rows = P.tokens(spark, odd_docs, "").collect()
+    texts = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd_docs.collect())
+    assert sorted(r.decoded_sha256 for r in rows) == texts
