@@ -251,15 +251,18 @@ def scan_paragraphs(docs: DataFrame, model: ParagraphModel | None = None, doc_id
     worth = rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
     templates = _fixed(model.templates, "array<struct<f:string,g:array<string>>>")
     share = lambda grams, t: F.size(F.array_intersect(grams, t["g"])) / F.size(t["g"])
-    confirmed = lambda grams: F.filter(templates, lambda t: share(grams, t) >= CONFIRM)
+    known = _fixed(sorted({g for t in model.templates for g in t["g"]}), "array<string>")
+    confirmed = lambda held: F.filter(templates, lambda t: share(held, t) >= CONFIRM)
+    held = lambda grams: F.array_intersect(grams, known)
+    # One value or none as an exploded array: a filter behind a projection would compute the value again.
+    only = lambda value, test: F.explode(_let(value, lambda v: F.filter(F.array(v), test)))
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(worth))
 
     lines = ids.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    scored = lines.where(F.col("paragraph").rlike(worth)).select(
-        "doc_id", "line", "paragraph",
-        _let(_grams(F.col("paragraph")), lambda g: F.struct(g.alias("grams"), _scores(model, g).alias("s"))).alias("x"),
-    )
-    scored = scored.where(F.col("x.s.best") != "ordinary").withColumn("fits", confirmed(F.col("x.grams"))["f"])
+    score = _let(_grams(F.col("paragraph")), lambda g: F.struct(held(g).alias("held"), _scores(model, g).alias("s")))
+    scored = lines.where(F.col("paragraph").rlike(worth)).select("doc_id", "line", "paragraph", only(score, lambda x: x["s"]["best"] != "ordinary").alias("x"))
+    fits = F.transform(confirmed(F.col("x.held")), lambda t: t["f"])
+    scored = scored.select("doc_id", "line", "paragraph", "x", F.explode(F.array(fits)).alias("fits"))
     scored = scored.where(F.col("paragraph").rlike(ANCHORS) | (F.size("fits") > 0))
     sure = F.array_contains("fits", F.col("x.s.best")) & (F.col("x.s.p") >= SURE)
     of_lines = scored.select(
@@ -268,16 +271,15 @@ def scan_paragraphs(docs: DataFrame, model: ParagraphModel | None = None, doc_id
     )
 
     # The template that fits a block best, of families that none of its lines confirms; what both share is scored.
-    known = _fixed(sorted({g for t in model.templates for g in t["g"]}), "array<string>")
-    held = lambda x: F.array_intersect(_grams(x), known)
     blocks = ids.select("doc_id", F.explode(_let(F.split("text", "\n"), _blocks)).alias("b")).where(F.size("b.lines") > 1)
-    blocks = blocks.select("doc_id", "b", F.concat_ws("\n", "b.lines").alias("paragraph")).where(F.col("paragraph").rlike(worth))
-    blocks = blocks.withColumn("held", held(F.col("paragraph"))).withColumn("fits", confirmed(F.col("held"))).where(F.size("fits") > 0)
-    by_line = F.flatten(F.transform("b.lines", lambda x: confirmed(held(x))["f"]))
-    blocks = blocks.withColumn("by_line", by_line)
-    free = F.filter("fits", lambda t: ~F.array_contains("by_line", t["f"]))
-    best = F.array_max(F.transform(free, lambda t: F.struct(share(F.col("held"), t), F.size(t["g"]), t["f"].alias("f"), F.array_intersect("held", t["g"]).alias("g"))))
-    blocks = blocks.withColumn("best", best).where("best is not null").withColumn("s", _scores(model, F.col("best.g")))
+    blocks = blocks.select("doc_id", "b", F.explode(F.array(F.concat_ws("\n", "b.lines"))).alias("paragraph")).where(F.col("paragraph").rlike(worth))
+    fit = _let(held(_grams(F.col("paragraph"))), lambda h: F.struct(h.alias("held"), confirmed(h).alias("fits")))
+    blocks = blocks.select("doc_id", "b", "paragraph", only(fit, lambda x: F.size(x["fits"]) > 0).alias("x"))
+    by_line = F.flatten(F.transform("b.lines", lambda x: _let(held(_grams(x)), lambda h: F.transform(confirmed(h), lambda t: t["f"]))))
+    blocks = blocks.select("*", F.explode(F.array(by_line)).alias("by_line"))
+    free = F.filter("x.fits", lambda t: ~F.array_contains("by_line", t["f"]))
+    best = F.array_max(F.transform(free, lambda t: F.struct(share(F.col("x.held"), t), F.size(t["g"]), t["f"].alias("f"), F.array_intersect("x.held", t["g"]).alias("g"))))
+    blocks = blocks.select("*", only(best, lambda t: t.isNotNull()).alias("best")).select("*", F.explode(F.array(_scores(model, F.col("best.g")))).alias("s"))
     of_blocks = blocks.where((F.col("s.best") == F.col("best.f")) & (F.col("s.p") >= SURE)).select(
         "doc_id", F.col("b.start").alias("line"), "paragraph", F.col("best.f").alias("family"), F.col("s.p").alias("probability")
     )
