@@ -14,6 +14,7 @@ import re
 import statistics
 
 import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +22,14 @@ from pyspark.sql import types as T
 from millrace.errors import OperatorError
 
 _allowed: bool | None = None
-#: Rows from which a result's type is taken.
-SAMPLE = 100
 #: Builtins that user code may use, and modules that it may import.
 BUILTINS = (
-    "abs all any bool chr dict divmod enumerate filter float format frozenset hash hex int isinstance iter len list map max "
-    "min next oct ord pow print range repr reversed round set slice sorted str sum tuple type zip Exception ValueError "
-    "TypeError KeyError IndexError ZeroDivisionError AttributeError True False None"
-).split()
+    "abs", "all", "any", "bool", "chr", "dict", "divmod", "enumerate", "filter", "float", "format", "frozenset",
+    "hash", "hex", "int", "isinstance", "iter", "len", "list", "map", "max", "min", "next", "oct", "ord", "pow",
+    "print", "range", "repr", "reversed", "round", "set", "slice", "sorted", "str", "sum", "tuple", "type", "zip",
+    "Exception", "ValueError", "TypeError", "KeyError", "IndexError", "ZeroDivisionError", "AttributeError", "True",
+    "False", "None",
+)
 MODULES = ("pandas", "numpy", "re", "math", "statistics", "datetime", "json", "collections", "itertools", "functools", "string", "decimal")
 _BANNED = {"eval", "exec", "compile", "open", "input", "globals", "locals", "vars", "delattr", "setattr", "getattr", "breakpoint"}
 
@@ -92,17 +93,40 @@ def load(source: str):
     return made
 
 
-def result_type(values: list) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None and v == v}
-    if kinds and kinds <= {bool}:
+def kind_of(v) -> str | None:
+    """What a Python value is: bool, int, float, list, text; None where it is missing."""
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+        return None
+    name = type(v).__name__
+    if name in ("bool", "bool_"):
+        return "bool"
+    if isinstance(v, int) or name.startswith(("int", "uint")):
+        return "int"
+    if isinstance(v, float) or name.startswith("float"):
+        return "float"
+    return "list" if isinstance(v, (list, tuple)) else "text"
+
+
+def type_of_kinds(kinds: list[str | None]) -> T.DataType:
+    """The type that holds values of these kinds."""
+    some = {k for k in kinds if k}
+    if some == {"bool"}:
         return T.BooleanType()
-    if kinds and all(issubclass(k, int) or "int" in k.__name__ for k in kinds) and bool not in kinds:
+    if some == {"int"}:
         return T.LongType()
-    if kinds and all(k is not bool and (issubclass(k, (int, float)) or "float" in k.__name__ or "int" in k.__name__) for k in kinds):
+    if some and some <= {"int", "float"}:
         return T.DoubleType()
-    if kinds and kinds <= {list, tuple}:
-        return T.ArrayType(T.StringType())
-    return T.StringType()
+    return T.ArrayType(T.StringType()) if some == {"list"} else T.StringType()
+
+
+def result_type(values: list) -> T.DataType:
+    return type_of_kinds([kind_of(v) for v in values])
+
+
+def annotated(fn) -> T.DataType | None:
+    """The type that a def names as its result: ``def f(x) -> float``."""
+    named = getattr(fn, "__annotations__", {}).get("return")
+    return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), list: T.ArrayType(T.StringType())}.get(named)
 
 
 def _fit(v, t: T.DataType):
@@ -116,7 +140,11 @@ def _fit(v, t: T.DataType):
 
 
 def python_column(df: DataFrame, source: str, columns: list[str], how: str, returns: T.DataType | None = None) -> Column:
-    """A pandas UDF over ``columns``; ``how``: the callable takes a ``cell``, ``cells``, or a ``row``."""
+    """A pandas UDF over ``columns``; ``how``: the callable takes a ``cell``, ``cells``, or a ``row``.
+
+    Its type is ``returns``, else what the callable's def is annotated with, else the one that holds the
+    results of all rows: a pass of its own.
+    """
     fn = load(source)
 
     def one(*values):
@@ -126,17 +154,31 @@ def python_column(df: DataFrame, source: str, columns: list[str], how: str, retu
             return fn(*values)
         return fn(dict(zip(columns, values, strict=True)))
 
-    picked = [F.col(f"`{c}`") for c in columns]
+    def results(frame: pd.DataFrame):
+        rows = zip(*(frame[c].astype(object).where(frame[c].notna(), None) if frame[c].dtype != object else frame[c] for c in frame), strict=True)
+        return (one(*r) for r in rows)
+
+    picked = F.struct(*[F.col(f"`{c}`") for c in columns])
+    returns = returns or annotated(fn)
     if returns is None:
-        sample = df.select(*picked).limit(SAMPLE).collect()
+
+        @F.pandas_udf("string")
+        def kinds(frame: pd.DataFrame) -> pd.Series:
+            return pd.Series([kind_of(v) for v in results(frame)], dtype=object)
+
         try:
-            returns = result_type([one(*r) for r in sample])
-        except Exception as e:
-            raise OperatorError(f"{type(e).__name__}: {e}") from e
+            returns = type_of_kinds([r[0] for r in df.select(kinds(picked).alias("kind")).distinct().collect()])
+        except PythonException as e:
+            raise OperatorError(_last_line(e)) from e
 
     @F.pandas_udf(returns)
     def run(frame: pd.DataFrame) -> pd.Series:
-        rows = zip(*(frame[c].astype(object).where(frame[c].notna(), None) if frame[c].dtype != object else frame[c] for c in frame), strict=True)
-        return pd.Series([_fit(one(*r), returns) for r in rows], dtype=object)
+        return pd.Series([_fit(v, returns) for v in results(frame)], dtype=object)
+
+    return run(picked)
+
 
-    return run(F.struct(*picked))
+def _last_line(e: Exception) -> str:
+    """The callable's own error, which ends the traceback that Spark passes on."""
+    lines = [x.strip() for x in str(e).splitlines() if re.match(r"\s*\w*(?:Error|Exception|Iteration)\b.*", x)]
+    return lines[-1] if lines else str(e).strip().splitlines()[0]

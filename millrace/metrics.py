@@ -6,11 +6,11 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.model import Table, quoted
+from millrace.operators.ordering import numbered
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,8 @@ def partial_similarity(pred: Table | DataFrame, gold: Table | DataFrame, options
         content = 1.0 if not max(n, m) and shared else 0.0
     else:
         cells = lambda df: df.select(*[normal(quoted(c), df.schema[c].dataType, options.tolerance).alias(f"c{i}") for i, c in enumerate(shared)])
-        ranked = lambda df, s: df.withColumn("at", F.row_number().over(W.orderBy(*df.columns))).select("at", *[F.col(c).alias(f"{c}{s}") for c in df.columns])
+        ordered = lambda df: Table("cells", df, "", tuple((c, True) for c in df.columns))
+        ranked = lambda df, s: numbered(ordered(df), "at").select("at", *[F.col(c).alias(f"{c}{s}") for c in df.columns])
         x, y = ranked(cells(a), "p"), ranked(cells(b), "g")
         equal = sum(F.col(f"c{i}p").eqNullSafe(F.col(f"c{i}g")).cast("int") for i in range(len(shared)))
         same = x.join(y, "at").agg(F.sum(equal)).head()[0] or 0

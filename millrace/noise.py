@@ -7,7 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +14,7 @@ from millrace.functions.dates import pattern
 from millrace.model import Table, TableSet, hidden_name, quoted
 from millrace.operators.cleaning import with_column
 from millrace.operators.combination import stacked
+from millrace.operators.ordering import before, numbered
 from millrace.plans.dsl import parse_call
 
 
@@ -108,10 +108,12 @@ def null_ffill(t: Table, c: str, rng: random.Random) -> Corruption | None:
     if not got.rows or got.n < got.rows:
         return None
     t = t.positioned()
-    before = F.lag(quoted(c)).over(W.orderBy(*t.sort_keys()))
-    half = F.pmod(F.xxhash64(*[quoted(n).cast("string") for n in t.df.columns], F.lit(rng.randrange(1 << 30))), F.lit(2)) == 0
-    blank = F.coalesce((before == quoted(c)) & half, F.lit(False))
+    above = hidden_name()
+    t = t.with_df(before(t, quoted(c), above))
+    half = F.pmod(F.xxhash64(*[quoted(n).cast("string") for n in t.df.columns if n != above], F.lit(rng.randrange(1 << 30))), F.lit(2)) == 0
+    blank = F.coalesce((quoted(above) == quoted(c)) & half, F.lit(False))
     dirty = with_column(t, c, F.when(~blank, quoted(c)))
+    dirty = dirty.with_df(dirty.df.drop(above))
     if dirty.df.where(quoted(c).isNull()).isEmpty():
         return None
     return Corruption("null_ffill", dirty, [f"MissingValueImputation({t.name}, {c!r}, ffill)"], c)
@@ -208,9 +210,9 @@ _text_change(
 def signature(t: Table) -> tuple:
     """Columns, types and rows in order, as a digest."""
     t = t.positioned()
-    numbered = t.df.select(F.row_number().over(W.orderBy(*t.sort_keys())).alias("at"), *map(quoted, t.columns))
-    h = F.xxhash64("at", *[F.coalesce(quoted(c).cast("string"), F.lit("\x00")) for c in t.columns])
-    return (tuple(t.visible.dtypes), *numbered.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).head())
+    rows = numbered(t, "__at")
+    h = F.xxhash64("__at", *[F.coalesce(quoted(c).cast("string"), F.lit("\x00")) for c in t.columns])
+    return (tuple(t.visible.dtypes), *rows.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).head())
 
 
 def restores(clean: Table, corruption: Corruption) -> bool:

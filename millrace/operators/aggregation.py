@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import OperatorError
 from millrace.functions.expressions import NotCompilable, compile_series, compile_statistic
-from millrace.functions.fallback import _fit, load, result_type
+from millrace.functions.fallback import _fit, annotated, kind_of, load, result_type, type_of_kinds
 from millrace.model import Table, TableSet, hidden_name, quoted
 from millrace.operators.base import Operator, Param, get_table, need_columns, register, strict
 from millrace.operators.cleaning import numeric, one_row
+from millrace.operators.ordering import ascending_order, position
+from millrace.operators.quantiles import group_quantiles
 from millrace.operators.schema_edit import types_of
 
 #: Other names of the aggregates.
@@ -21,13 +23,13 @@ NUMERIC = ("mean", "sum", "median", "std", "var")
 
 
 def aggregate(t: Table, column: str, name: str) -> Column:
-    """One named aggregate of a column; row order counts for first, last, list and unique."""
+    """One named aggregate of a column but the median; row order counts for first, last, list and unique."""
     c = quoted(column)
     if name in NUMERIC:
         x = numeric(t, column)
         if name == "sum":
             return F.coalesce(F.sum(x), F.lit(0))
-        return {"mean": F.avg, "median": F.median, "std": F.stddev_samp, "var": F.var_samp}[name](x)
+        return {"mean": F.avg, "std": F.stddev_samp, "var": F.var_samp}[name](x)
     if name == "count":
         return F.count(c)
     if name == "size":
@@ -36,24 +38,44 @@ def aggregate(t: Table, column: str, name: str) -> Column:
         return F.min(c) if name == "min" else F.max(c)
     if name == "nunique":
         return F.countDistinct(c)
-    keys = F.struct(*[quoted(n) for n, _ in t.order])
     if name in ("first", "last"):
-        at = F.when(c.isNotNull(), keys)  # min_by and max_by skip rows whose key is NULL
+        at = F.when(c.isNotNull(), position(t))  # min_by and max_by skip rows whose key is NULL
         return (F.min_by if name == "first" else F.max_by)(c, at)
-    rows = F.collect_list(F.struct(*[quoted(n) for n, _ in t.order], c.alias("__v")))
-    values = F.transform(F.array_sort(rows), lambda x: x["__v"])
+    rows = F.collect_list(F.struct(position(t).alias("at"), c.alias("v")))
+    values = F.transform(F.array_sort(rows), lambda x: x["v"])
     return values if name == "list" else F.array_distinct(values)
 
 
-def ascending_order(t: Table) -> Table:
-    """A table whose order keys all ascend; others are replaced by one row number."""
-    t = t.positioned()
-    if all(up for _, up in t.order):
-        return t
-    from pyspark.sql import Window as W
-
-    name = hidden_name()
-    return t.with_df(t.df.withColumn(name, F.row_number().over(W.orderBy(*t.sort_keys()))), ((name, True),))
+def grouped(t: Table, by: list[str], specs: list[tuple[str, str, str]]) -> DataFrame:
+    """A row for each group of the ``by`` columns with an aggregate for each (column, function, alias).
+
+    Medians, callables, and distinct counts where there are several, are planned by themselves and joined: they
+    would multiply the rows of the others, or hold a group's values in one task.
+    """
+    several = len({c for c, s, _ in specs if s == "nunique"}) > 1 or any(s == "median" for _, s, _ in specs)
+    together, apart = [], []
+    for c, s, alias in specs:
+        if s == "median":
+            apart.append((group_quantiles(t.df, by, numeric(t, c), [0.5], [alias]), alias))
+        elif s == "nunique" and several:
+            one = t.df.select(*map(quoted, by), quoted(c).alias("__v")).groupBy(*map(quoted, by), "__v").agg(F.lit(1).alias("__n"))
+            apart.append((one.groupBy(*map(quoted, by)).agg(F.count("__v").alias(alias)), alias))
+        elif s in NAMES:
+            together.append(aggregate(t, c, s).alias(alias))
+        else:
+            try:
+                together.append(compile_series(s, quoted(c), t.type_of(c)).alias(alias))
+            except NotCompilable:
+                apart.append((t.df.groupBy(*map(quoted, by)).agg(python_aggregate(t, by, c, s).alias(alias)), alias))
+    df = t.df.groupBy(*map(quoted, by)).agg(*(together or [F.count(F.lit(1)).alias("__n")]))
+    for extra, alias in apart:
+        keys = [(k, hidden_name()) for k in by]
+        extra = extra.select(*[quoted(k).alias(n) for k, n in keys], quoted(alias))
+        same = F.lit(True)
+        for k, n in keys:
+            same = same & quoted(k).eqNullSafe(F.col(n))
+        df = df.join(extra, same, "left").drop(*[n for _, n in keys])
+    return df.select(*map(quoted, by), *[quoted(a) for _, _, a in specs])
 
 
 @register
@@ -80,25 +102,7 @@ class GroupBy(Operator):
             t = ascending_order(t)
         if strict():
             self._check(t, specs)
-        out, python = [], []
-        for c, s, alias in specs:
-            if s in NAMES:
-                out.append(aggregate(t, c, s).alias(alias))
-                continue
-            try:
-                out.append(compile_series(s, quoted(c), t.type_of(c)).alias(alias))
-            except NotCompilable:
-                python.append((c, s, alias))
-        df = t.df.groupBy(*map(quoted, by)).agg(*(out or [F.count(F.lit(1)).alias("__n")]))
-        for c, s, alias in python:
-            extra = t.df.groupBy(*map(quoted, by)).agg(_python_aggregate(t, c, s).alias(alias))
-            keys = [(quoted(k), hidden_name()) for k in by]
-            extra = extra.select(*[k.alias(n) for k, n in keys], quoted(alias))
-            same = F.lit(True)
-            for k, n in keys:
-                same = same & k.eqNullSafe(F.col(n))
-            df = df.join(extra, same).drop(*[n for _, n in keys])
-        df = df.select(*map(quoted, by), *[quoted(a) for _, _, a in specs])
+        df = grouped(t, by, specs)
         names = {c: str((rename or {}).get(c, c)) for c in df.columns}
         keys = [hidden_name() for _ in by]
         df = df.select(*[quoted(c).alias(n) for c, n in names.items()], *[quoted(c).alias(k) for c, k in zip(by, keys, strict=True)])
@@ -114,12 +118,20 @@ class GroupBy(Operator):
                     raise OperatorError(f"column {c!r} is not numeric; convert it with CastType first")
 
 
-def _python_aggregate(t: Table, column: str, source: str) -> Column:
+def python_aggregate(t: Table, by: list[str], column: str, source: str) -> Column:
+    """A callable of a group's values; its type is annotated, else that of the results of all groups."""
     import pandas as pd
 
     fn = load(source)
-    sample = t.df.select(quoted(column)).limit(100).toPandas()[column]
-    returns = result_type([fn(sample)])
+    returns = annotated(fn)
+    if returns is None:
+
+        def kind(values: pd.Series) -> str:
+            return kind_of(fn(values))
+
+        kind.__annotations__ = {"values": pd.Series, "return": str}
+        told = t.df.groupBy(*map(quoted, by)).agg(F.pandas_udf(kind, "string")(quoted(column)).alias("kind"))
+        returns = type_of_kinds([r[0] for r in told.select("kind").distinct().collect()])
 
     def run(values: pd.Series) -> object:
         return _fit(fn(values), returns)
@@ -145,18 +157,18 @@ class CalculateStatistic(Operator):
     """A new table <table>_<stat> of one cell: func(frame), such as lambda df: df['x'].mean()."""
 
     NAME, CATEGORY = "CalculateStatistic", "aggregation"
-    PARAMS = (Param("table"), Param("stat"), Param("func"), Param("target", None))
     #: Rows that may be brought to the driver for a function that can't be compiled.
     LIMIT = 1_000_000
+    PARAMS = (Param("table"), Param("stat"), Param("func"), Param("target", None), Param("limit", LIMIT))
 
-    def apply(self, tables: TableSet, /, table, stat, func, target=None) -> TableSet:
+    def apply(self, tables: TableSet, /, table, stat, func, target=None, limit=LIMIT) -> TableSet:
         t = get_table(tables, table)
         try:
             df = t.df.agg(compile_statistic(func, types_of(t)).alias(stat))
         except NotCompilable:
             fn = load(func)
-            if t.df.limit(self.LIMIT + 1).count() > self.LIMIT:
-                raise OperatorError(f"StateTooLarge: func can't be compiled and the table has over {self.LIMIT} rows") from None
+            if t.df.limit(limit + 1).count() > limit:
+                raise OperatorError(f"StateTooLarge: func can't be compiled and the table has over {limit} rows; raise 'limit' if the driver can hold them") from None
             value = fn(t.ordered().toPandas())
             if hasattr(value, "shape") and getattr(value, "shape", ()) != ():
                 raise OperatorError("func must give one value, not a column or table") from None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from dataclasses import dataclass
 from typing import Any, ClassVar
 
@@ -89,12 +90,12 @@ def need_columns(table: Table, columns: list[str]) -> None:
             raise missing_column(table.name, c, table.columns)
 
 
-_strict = False
+#: A context's own value: one thread's environment doesn't switch another's checks.
+_strict: ContextVar[bool] = ContextVar("strict", default=False)
 
 
 def strict(on: bool | None = None) -> bool:
     """Whether checks that need a Spark action are made; the environment switches them on while it runs."""
-    global _strict
     if on is not None:
-        _strict = on
-    return _strict
+        _strict.set(on)
+    return _strict.get()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +11,8 @@ from millrace.functions.expressions import NotCompilable, compile_cell
 from millrace.functions.fallback import python_column
 from millrace.model import Table, TableSet, quoted
 from millrace.operators.base import Operator, Param, get_table, need_columns, register, strict
+from millrace.operators.ordering import ascending_order, carried, position
+from millrace.operators.quantiles import most_frequent, quantiles
 
 
 def numeric(table: Table, column: str) -> Column:
@@ -64,14 +65,15 @@ class MissingValueImputation(Operator):
         need_columns(t, [column])
         c, kind = quoted(column), t.type_of(column)
         if mode in ("ffill", "bfill"):
-            return tables.replace(self._carry(t, column, mode == "ffill"))
+            t = t.positioned()
+            return tables.replace(t.with_df(carried(t, column, backwards=mode == "bfill")))
         if mode == "mode":
-            fill = one_row(t, F.mode(c, deterministic=True))[0]
+            fill = most_frequent(t.df, c)
             if fill is None and strict():
                 raise OperatorError(f"column {column!r} is entirely missing")
         elif mode in ("mean", "median"):
             x = numeric(t, column)
-            fill = one_row(t, F.avg(x) if mode == "mean" else F.median(x))[0]
+            fill = one_row(t, F.avg(x))[0] if mode == "mean" else (quantiles(t.df, x, [0.5]) or [None])[0]
             if fill is None and strict():
                 raise OperatorError(f"column {column!r} has no numeric values")
         else:
@@ -87,28 +89,6 @@ class MissingValueImputation(Operator):
             filled = F.coalesce(c, lit.cast(kind))
         return tables.replace(with_column(t, column, filled))
 
-    @staticmethod
-    def _carry(t: Table, column: str, forward: bool) -> Table:
-        """The nearest value before (or behind) in row order.
-
-        A table has one order, so a plain window would put all rows in one task. Rows are dealt in blocks
-        by ranges of the order instead, filled within their block, and what a block's last row holds is
-        carried to the blocks behind it.
-        """
-        t = t.positioned()
-        keys, c = t.sort_keys(backwards=not forward), quoted(column)
-        block, filled, carry = "__block", "__filled", "__carry"
-        # Range partitions are blocks in order; a block's last value is carried into the next ones.
-        df = t.df.repartitionByRange(*keys).withColumn(block, F.spark_partition_id())
-        within = W.partitionBy(block).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-        df = df.withColumn(filled, F.last(c, ignorenulls=True).over(within))
-        ends = df.withColumn("__at", F.row_number().over(W.partitionBy(block).orderBy(*t.sort_keys(backwards=forward)))).where("__at = 1")
-        order = W.orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-        carried = ends.select(block, F.last(filled, ignorenulls=True).over(order).alias(carry))
-        df = df.join(F.broadcast(carried), block, "left")  # one row for each partition
-        value = F.coalesce(filled, carry)
-        return t.with_df(df.select(*[value.alias(n) if n == column else quoted(n) for n in t.df.columns]))
-
 
 @register
 class Deduplicate(Operator):
@@ -121,20 +101,14 @@ class Deduplicate(Operator):
         t = get_table(tables, table).positioned()
         subset = subset or t.columns
         need_columns(t, subset)
-        if all(up for _, up in t.order):
-            # One aggregate with map-side combine: hot keys never meet in one task unreduced.
-            rest = [c for c in t.df.columns if c not in subset]
-            first = F.struct(*[quoted(n) for n, _ in t.order], *[quoted(c) for c in rest if c not in {n for n, _ in t.order}])
-            agg = (F.min if keep == "first" else F.max)(F.struct(*[quoted(n) for n, _ in t.order])).alias("__k")
-            if len(rest) == len(t.order):
-                got = t.df.groupBy(*map(quoted, subset)).agg(agg)
-                return tables.replace(t.with_df(got.select(*[quoted(c) if c in subset else F.col("__k")[c].alias(c) for c in t.df.columns])))
-            pick = F.min_by if keep == "first" else F.max_by
-            got = t.df.groupBy(*map(quoted, subset)).agg(pick(first, F.struct(*[quoted(n) for n, _ in t.order])).alias("__k"))
-            return tables.replace(t.with_df(got.select(*[quoted(c) if c in subset else F.col("__k")[c].alias(c) for c in t.df.columns])))
-        w = W.partitionBy(*map(quoted, subset)).orderBy(*t.sort_keys(backwards=keep == "last"))
-        df = t.df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-        return tables.replace(t.with_df(df))
+        # One aggregate with map-side combine: hot keys never meet in one task unreduced.
+        t = ascending_order(t)
+        rest = [c for c in t.df.columns if c not in subset]
+        pick = F.min_by if keep == "first" else F.max_by
+        row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)])
+        got = t.df.groupBy(*map(quoted, subset)).agg(pick(row, position(t)).alias("__row"))
+        place = {c: i for i, c in enumerate(rest)}
+        return tables.replace(t.with_df(got.select(*[quoted(c) if c in subset else F.col("__row")[f"c{place[c]}"].alias(c) for c in t.df.columns])))
 
 
 @register
@@ -174,8 +148,8 @@ class OutlierDetection(Operator):
         x = numeric(t, column).cast("double")
         if method == "iqr":
             k = 1.5 if threshold is None else float(threshold)
-            q = one_row(t, F.percentile(x, [0.25, 0.75]))[0]
-            low, high = (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if q and q[0] is not None else (None, None)
+            q = quantiles(t.df, x, [0.25, 0.75])
+            low, high = (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if q else (None, None)
         else:
             k = 3.0 if threshold is None else float(threshold)
             mean, sd = one_row(t, F.avg(x), F.stddev_pop(x))

@@ -20,20 +20,20 @@ class ExeCode(Operator):
     """Run a program over the named tables that makes the table target: a SQL query, or Python with each table as a pandas frame."""
 
     NAME, CATEGORY = "ExeCode", "program synthesis"
-    PARAMS = (Param("tables", many=True), Param("target"), Param("func"))
     #: Rows of each table that may be brought to the driver for a Python program.
     LIMIT = 1_000_000
+    PARAMS = (Param("tables", many=True), Param("target"), Param("func"), Param("limit", LIMIT))
 
-    def apply(self, state: TableSet, /, tables, target, func) -> TableSet:
+    def apply(self, state: TableSet, /, tables, target, func, limit=LIMIT) -> TableSet:
         named = [get_table(state, n) for n in tables]
         source = str(func or "").strip()
         if not source:
             raise OperatorError("the program is empty")
         if _SQL.match(source):
             return state.replace(Table(target, without_nan(_run_sql(named, source))))
-        return state.replace(self._python(named, target, source))
+        return state.replace(self._python(named, target, source, limit))
 
-    def _python(self, named: list[Table], target: str, source: str) -> Table:
+    def _python(self, named: list[Table], target: str, source: str, limit: int) -> Table:
         if re.match(r"^\s*lambda\b", source):
             raise OperatorError("the program must be statements that assign the target, not a lambda")
         if not fallback.allowed():
@@ -41,8 +41,8 @@ class ExeCode(Operator):
         fallback.audit(source)
         space = fallback.namespace()
         for t in named:
-            if t.df.limit(self.LIMIT + 1).count() > self.LIMIT:
-                raise OperatorError(f"StateTooLarge: {t.name} has over {self.LIMIT} rows; use a SQL query")
+            if t.df.limit(limit + 1).count() > limit:
+                raise OperatorError(f"StateTooLarge: {t.name} has over {limit} rows; use a SQL query, which runs distributed, or raise 'limit'")
             space[t.name] = t.ordered().toPandas()
         exec(compile(ast.parse(source), "<program>", "exec"), space)  # noqa: S102
         if target not in space:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +12,9 @@ from pyspark.sql import types as T
 from millrace.errors import OperatorError
 from millrace.functions.expressions import strip_text
 from millrace.model import Table, TableSet, hidden_name, quoted
-from millrace.operators.aggregation import ALIASES, aggregate, ascending_order
+from millrace.operators.aggregation import ALIASES, grouped
 from millrace.operators.base import Operator, Param, get_table, need_columns, register, strict
+from millrace.operators.ordering import ascending_order
 
 
 @register
@@ -19,14 +22,14 @@ class Pivot(Operator):
     """Spread the labels of columns into columns, one row for each index, cells aggregated by aggfunc. Rows with a missing index or label are left out."""
 
     NAME, CATEGORY = "Pivot", "table reshaping"
+    #: Labels that may become columns, and levels of the index that dropna=False may add.
+    LIMIT, GRID = 10_000, 10_000_000
     PARAMS = (
         Param("table"), Param("index", many=True), Param("columns", many=True), Param("values", many=True),
-        Param("aggfunc", "first"), Param("dropna", True),
+        Param("aggfunc", "first"), Param("dropna", True), Param("limit", LIMIT),
     )
-    #: Labels that may become columns.
-    LIMIT = 10_000
 
-    def apply(self, tables: TableSet, /, table, index, columns, values, aggfunc="first", dropna=True) -> TableSet:
+    def apply(self, tables: TableSet, /, table, index, columns, values, aggfunc="first", dropna=True, limit=LIMIT) -> TableSet:
         t = get_table(tables, table)
         need_columns(t, [*index, *columns, *values])
         fn = ALIASES.get(str(aggfunc).lower(), str(aggfunc).lower())
@@ -34,11 +37,11 @@ class Pivot(Operator):
             raise OperatorError(f"aggfunc {aggfunc!r} is not known")
         t = ascending_order(t) if fn in ("first", "last") else t
         full = t.with_df(t.df.na.drop("any", subset=[f"`{c}`" for c in [*index, *columns]]))
-        found = full.df.select(*map(quoted, columns)).distinct().orderBy(*map(quoted, columns)).limit(self.LIMIT + 1).collect()
-        if len(found) > self.LIMIT:
-            raise OperatorError(f"StateTooLarge: over {self.LIMIT} labels in {columns}")
+        found = full.df.select(*map(quoted, columns)).distinct().orderBy(*map(quoted, columns)).limit(limit + 1).collect()
+        if len(found) > limit:
+            raise OperatorError(f"StateTooLarge: over {limit} labels in {columns}")
         # Aggregated first, so that absent combinations stay missing and all-missing groups keep their sum of 0.
-        cells = full.df.groupBy(*map(quoted, [*index, *columns])).agg(*[aggregate(full, v, fn).alias(f"__v{i}") for i, v in enumerate(values)])
+        cells = grouped(full, [*index, *columns], [(v, fn, f"__v{i}") for i, v in enumerate(values)])
         out, names = [], []
         for i, v in enumerate(values):
             for row in found:
@@ -59,10 +62,10 @@ class Pivot(Operator):
                 some = df.agg(*[F.count(quoted(n)).alias(n) for n in names]).head()
                 names = [n for n in names if some[n]]
         elif not dropna and len(index) > 1:
-            grid = full.df.select(quoted(index[0])).distinct()
-            for c in index[1:]:
-                grid = grid.crossJoin(full.df.select(quoted(c)).distinct())
-            df = grid.join(df, index, "left")
+            levels = [full.df.select(quoted(c)).distinct() for c in index]
+            if math.prod(x.count() for x in levels) > self.GRID:
+                raise OperatorError(f"StateTooLarge: the levels of {index} have over {self.GRID} combinations")
+            df = reduce(lambda a, b: a.crossJoin(b), levels).join(df, index, "left")
         df = df.select(*map(quoted, [*index, *names]), *[quoted(c).alias(k) for c, k in zip(index, keys, strict=True)])
         return tables.replace(t.with_df(df, [(k, True) for k in keys]))
 
@@ -151,17 +154,17 @@ class Transpose(Operator):
     """Swap rows and columns; the first column, named column, holds the old names, the others are numbered or named by the header column."""
 
     NAME, CATEGORY = "Transpose", "table reshaping"
-    PARAMS = (Param("table"), Param("header", None))
     #: Rows that may become columns.
     LIMIT = 5_000
+    PARAMS = (Param("table"), Param("header", None), Param("limit", LIMIT))
 
-    def apply(self, tables: TableSet, /, table, header=None) -> TableSet:
+    def apply(self, tables: TableSet, /, table, header=None, limit=LIMIT) -> TableSet:
         t = get_table(tables, table)
         if header is not None:
             need_columns(t, [header])
-        rows = t.df.orderBy(*t.sort_keys()).select(*map(quoted, t.columns)).limit(self.LIMIT + 1).collect() if t.order else t.visible.limit(self.LIMIT + 1).collect()
-        if len(rows) > self.LIMIT:
-            raise OperatorError(f"StateTooLarge: over {self.LIMIT} rows can't become columns")
+        rows = t.df.orderBy(*t.sort_keys()).select(*map(quoted, t.columns)).limit(limit + 1).collect() if t.order else t.visible.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise OperatorError(f"StateTooLarge: over {limit} rows can't become columns")
         names = [str(r[header]) for r in rows] if header is not None else [str(i) for i in range(len(rows))]
         body = [c for c in t.columns if c != header]
         kind = common_type([t.type_of(c) for c in body] or [T.StringType()])
