@@ -19,6 +19,7 @@ class Reply:
     text: str
     prompt_tokens: int = 0
     completion_tokens: int = 0
+    cached_tokens: int = 0
 
 
 class Model(Protocol):
@@ -61,7 +62,8 @@ class HttpModel:
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:  # noqa: S310
                     d = json.load(r)
                 use = d.get("usage") or {}
-                return Reply(d["choices"][0]["message"]["content"] or "", use.get("prompt_tokens", 0), use.get("completion_tokens", 0))
+                cached = (use.get("prompt_tokens_details") or {}).get("cached_tokens") or 0
+                return Reply(d["choices"][0]["message"]["content"] or "", use.get("prompt_tokens", 0), use.get("completion_tokens", 0), cached)
             except OSError:
                 if attempt == self.retries:
                     raise
@@ -69,6 +71,32 @@ class HttpModel:
         raise AssertionError
 
 
+class LocalModel:
+    """A causal language model and tokenizer in this process, with the interface of the transformers library."""
+
+    def __init__(self, network, tokenizer, thinking: bool = False):
+        self.network, self.tokenizer, self.thinking = network, tokenizer, thinking
+        self.model = getattr(getattr(network, "config", None), "_name_or_path", "local")
+
+    def prompt(self, messages: list[Message]) -> str:
+        """The chat template's text; templates without a switch for thinking are called without it."""
+        ask = self.tokenizer.apply_chat_template
+        try:
+            return ask(list(messages), tokenize=False, add_generation_prompt=True, enable_thinking=self.thinking)
+        except TypeError:
+            return ask(list(messages), tokenize=False, add_generation_prompt=True)
+
+    def generate(self, messages, temperature=0.01, max_tokens=4096, stop=None) -> Reply:
+        given = self.tokenizer(self.prompt(messages), return_tensors="pt", add_special_tokens=False)
+        end = getattr(self.tokenizer, "pad_token_id", None) or getattr(self.tokenizer, "eos_token_id", None)
+        out = self.network.generate(**given, do_sample=temperature > 0, temperature=max(temperature, 1e-5), max_new_tokens=max_tokens, pad_token_id=end)
+        n = len(given["input_ids"][0])
+        made = out[0][n:]
+        text = self.tokenizer.decode(made, skip_special_tokens=True)
+        ends = [text.find(s) + len(s) for s in stop or [] if s in text]
+        return Reply(text[: min(ends)] if ends else text, n, len(made))
+
+
 @dataclass
 class Turn:
     """A model's turn: its plan, and an expansion (prefix, operators) or an answer."""
@@ -93,6 +121,9 @@ def parse_turn(text: str) -> Turn:
     """Reads <plan>, <prefix>, <expand> and <answer>; an answer wins over an expansion; thoughts are dropped."""
     text = re.sub(r"<think>.*?(?:</think>|\Z)", "", text, flags=re.S) if "<think>" in text else text.rpartition("</think>")[2]
     turn = Turn(_block(text, "plan") or "", _block(text, "prefix") or "", _block(text, "expand"), _block(text, "answer"))
+    if turn.expand is not None and "<ops>" in turn.expand:
+        # The form in which an expansion holds where it starts and its operators.
+        turn.prefix, turn.expand = _block(turn.expand, "from") or turn.prefix, _block(turn.expand, "ops") or ""
     if turn.answer is not None:
         turn.expand = None
         if not turn.answer:
@@ -123,6 +154,8 @@ class Step:
     turn: Turn
     feedback: str = ""
     node: str = ""
+    #: Whether the turn went on from another state than the one before had reached.
+    moved: bool = False
 
 
 @dataclass
@@ -137,6 +170,7 @@ class SolveResult:
     steps: list[Step] = field(default_factory=list)
     prompt_tokens: int = 0
     completion_tokens: int = 0
+    cached_tokens: int = 0
     backtracks: int = 0
     wall_time_s: float = 0.0
 

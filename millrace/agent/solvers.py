@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from millrace.errors import OperatorError
 from millrace.model import Table, TableSet, Task
 from millrace.plans.dsl import parse_pipeline, split_calls
 from millrace.plans.environment import Environment, Node, ReasoningTree, render_feedback
-from millrace.sources.markdown import serialize_task
+from millrace.sources.markdown import serialize_tables, serialize_task
 
 
 def alignment(columns: list[str], wanted: list[str]) -> float:
@@ -49,6 +50,7 @@ class Solver:
         reply: Reply = self.model.generate(messages, self.temperature)
         out.prompt_tokens += reply.prompt_tokens
         out.completion_tokens += reply.completion_tokens
+        out.cached_tokens += reply.cached_tokens
         return reply.text
 
     def run(self, task: Task, source: str, out: SolveResult, at: Node | None = None) -> str:
@@ -96,6 +98,7 @@ class TreeAgent(Solver):
                 parent, warning = tree.resolve(turn.prefix)
                 if last is not None and parent is not last:
                     out.backtracks += 1
+                    step.moved = True
                 result = self.environment.execute(parent.state, turn.expand)
                 made = tree.expand(parent, result, k)
                 last = next((n for n in reversed(made) if n.state is not None), parent)
@@ -183,8 +186,26 @@ class _Visit:
     children: list[_Visit] | None = None
 
 
+def _bound(v: _Visit) -> float:
+    """The upper confidence bound of a child; those never visited come first."""
+    return math.inf if not v.visits else v.value / v.visits + math.sqrt(2 * math.log(max(1, v.parent.visits)) / v.visits)
+
+
+def _parses(call: str) -> bool:
+    try:
+        return bool(parse_pipeline(call))
+    except OperatorError:
+        return False
+
+
 class TreeSearch(Solver):
-    """Monte Carlo tree search over single operators that the model proposes, scored by how well columns fit."""
+    """Monte Carlo tree search over single operators that the model proposes.
+
+    Each iteration goes down by upper confidence bounds, expands a state once, and rolls out from its best
+    child: the model writes the rest of the pipeline and says how sure it is. The reward is half how well the
+    columns of what results fit the target's, half that confidence; what the rollout made is scored and, if
+    it has rows, is an answer to choose from, but doesn't enter the tree.
+    """
 
     def __init__(self, model: Model, environment: Environment | None = None, temperature: float = 0.7, iterations: int = 8, width: int = 3, depth: int = 8):
         super().__init__(model, environment, temperature)
@@ -193,41 +214,73 @@ class TreeSearch(Solver):
     def _solve(self, task: Task, out: SolveResult) -> None:
         tree = ReasoningTree(task.sources)
         root = _Visit(tree.root)
-        best, best_score = root, -1.0
+        best: tuple[float, TableSet | None, list[str]] = (-1.0, None, [])
+        seen = [root]
         for _ in range(self.iterations):
             v = root
             while v.children:
-                v = max(v.children, key=lambda c: math.inf if not c.visits else c.value / c.visits + math.sqrt(2 * math.log(c.parent.visits) / c.visits))
-            if len(v.node.path) < self.depth:
+                v = max(v.children, key=_bound)
+            if v.children is None and len(v.node.path) < self.depth:
                 v.children = self._children(task, tree, v, out)
-                v = v.children[0] if v.children else v
-            score = max((alignment(t.columns, task.target_schema.column_names) for t in v.node.state.values()), default=0.0)
-            if score > best_score:
-                best, best_score = v, score
-            if v.node.state.answer:
-                score = best_score = 2.0
-                best = v
+                seen += v.children
+                v = max(v.children, key=_bound) if v.children else v
+            score, state, operators = self._rollout(task, v, out)
+            if state is not None and score > best[0]:
+                best = (score, state, operators)
             w: _Visit | None = v
             while w:
                 w.visits, w.value, w = w.visits + 1, w.value + score, w.parent
-            if v.node.state.answer:
-                break
-        problem = self.finish(task, best.node.state, best.node.operators, out)
-        out.error = problem or None
+            if v.node.state.answer and not self.finish(task, v.node.state, v.node.operators, out):
+                return
+        if best[1] is None:
+            # No rollout gave rows: the state of the tree whose columns fit best.
+            fit = lambda x: self._fit(task, x.node.state)
+            w = max(seen, key=fit)
+            best = (fit(w), w.node.state, w.node.operators)
+        out.error = self.finish(task, best[1], best[2], out) or None
+
+    @staticmethod
+    def _fit(task: Task, state: TableSet) -> float:
+        table = select_answer(state, task.target_schema.column_names)
+        return alignment(table.columns, task.target_schema.column_names) if table is not None else 0.0
+
+    def _rollout(self, task: Task, v: _Visit, out: SolveResult) -> tuple[float, TableSet | None, list[str]]:
+        """The reward from a state, and the state and operators reached if their table has rows and columns."""
+        ask = f"{self._told(task, v)}\n\nWrite the rest of the pipeline in <answer>, and in <score> from 0 to 1 how sure you are that it gives the target."
+        text = self.ask([{"role": "system", "content": system_prompt()}, {"role": "user", "content": ask}], out)
+        turn = parse_turn(text)
+        out.steps.append(Step(text, turn))
+        m = re.search(r"<score>[^<]*?(\d+(?:\.\d+)?|\.\d+)", text)
+        sure = min(1.0, float(m[1])) if m else 0.5
+        calls = [c for c in split_calls(turn.answer or "") if _parses(c)]
+        blend = lambda fit, sure: 0.5 * fit + 0.5 * sure
+        if not calls:
+            return blend(self._fit(task, v.node.state), sure), None, []
+        result = self.environment.execute(v.node.state, calls)
+        if not result.ok or not result.states:
+            return blend(self._fit(task, v.node.state), 0.5 * sure), None, []
+        state = result.states[-1]
+        table = select_answer(state, task.target_schema.column_names)
+        score = blend(self._fit(task, state), sure)
+        if table is None or not table.columns or table.df.isEmpty():
+            return 0.5 * score, None, []
+        return score, state, [*v.node.operators, *(c.to_source() for c in result.applied)]
+
+    @staticmethod
+    def _told(task: Task, v: _Visit) -> str:
+        done = "\n".join(v.node.operators) or "(nothing)"
+        return f"{serialize_task(task)}\n\nDone so far:\n{done}\n\nPresent state:\n{serialize_tables(v.node.state)}"
 
     def _children(self, task: Task, tree: ReasoningTree, v: _Visit, out: SolveResult) -> list[_Visit]:
-        ask = f"{serialize_task(task)}\n\nDone so far:\n" + "\n".join(v.node.operators) + f"\n\nPropose {self.width} different next operators in <expand>, one a line."
+        ask = f"{self._told(task, v)}\n\nPropose {self.width} different next operators in <expand>, one a line."
         text = self.ask([{"role": "system", "content": system_prompt()}, {"role": "user", "content": ask}], out)
         turn = parse_turn(text)
         out.steps.append(Step(text, turn))
         made = []
         for call in split_calls(turn.expand or turn.answer or "")[: self.width]:
-            try:
-                parse_pipeline(call)
-            except OperatorError:
+            if not _parses(call):
                 continue
             for n in tree.expand(v.node, self.environment.execute(v.node.state, call)):
                 if n.state is not None:
                     made.append(_Visit(n, v))
         return made
-

@@ -170,7 +170,34 @@ def gpu_cost(seconds: float, price: float = GPU_PRICE) -> float:
     return price * seconds / 3600
 
 
-def api_cost(prompt: int, completion: int, price_in: float, price_out: float, cached: int = 0, price_cached: float | None = None) -> float:
-    """Dollars, by prices of a million tokens; cached prompt tokens may be cheaper."""
-    fresh = prompt - cached
-    return (fresh * price_in + cached * (price_in if price_cached is None else price_cached) + completion * price_out) / 1e6
+@dataclass(frozen=True)
+class Price:
+    """Dollars for a million tokens; without ``cached`` cached ones cost what fresh ones do."""
+
+    prompt: float
+    completion: float
+    cached: float | None = None
+
+
+#: List prices by model.
+PRICES = {
+    "gpt-5-mini-2025-08-07": Price(0.25, 2.00, 0.025),
+    "gpt-5-mini": Price(0.25, 2.00, 0.025),
+    "gpt-5": Price(1.25, 10.00, 0.125),
+    "claude-sonnet-4-20250514": Price(3.00, 15.00, 0.30),
+    "claude-sonnet-4-5": Price(3.00, 15.00, 0.30),
+    "gpt-4o": Price(2.50, 10.00, 1.25),
+    "gpt-4o-mini": Price(0.15, 0.60, 0.075),
+    "deepseek-chat": Price(0.27, 1.10, 0.07),
+    "deepseek-reasoner": Price(0.55, 2.19, 0.14),
+}
+
+
+def api_cost(prompt: int, completion: int, price: Price | str | None, cached: int = 0) -> float:
+    """Dollars of a run by a price or a model's name; models without a price cost nothing."""
+    price = PRICES.get(price) if isinstance(price, str) else price
+    if price is None:
+        return 0.0
+    cached = min(cached, prompt)
+    of_cached = price.prompt if price.cached is None else price.cached
+    return ((prompt - cached) * price.prompt + cached * of_cached + completion * price.completion) / 1e6

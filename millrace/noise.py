@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,10 +13,12 @@ from pyspark.sql import types as T
 
 from millrace.functions.dates import pattern
 from millrace.model import Table, TableSet, hidden_name, quoted
+from millrace.operators import get_operator
 from millrace.operators.cleaning import with_column
 from millrace.operators.combination import stacked
 from millrace.operators.ordering import before, numbered
 from millrace.plans.dsl import parse_call
+from millrace.sources.markdown import serialize_table
 
 
 @dataclass
@@ -32,7 +35,7 @@ Family = Callable[[Table, str, random.Random], "Corruption | None"]
 FAMILIES: dict[str, Family] = {}
 ROW_FAMILIES = {"duplicate_rows", "null_rows", "error_sentinel", "outlier_row"}
 #: Fixed values.
-DATE_FORMATS = ["%m/%d/%Y", "%d-%b-%Y", "%B %d, %Y", "%Y/%m/%d", "%d.%m.%Y"]
+DATE_FORMATS = ["%m/%d/%Y", "%d-%b-%Y", "%m/%d/%y", "%B %d, %Y", "%Y/%m/%d"]
 SENTINELS = ["N/A", "n/a", "unknown", "-", "???"]
 PREFIXES = ["$", "#", "~", "* "]
 
@@ -207,6 +210,42 @@ _text_change(
 )
 
 
+#: Operators whose inverse a model may be asked for: those that change cells one by one.
+INVERTIBLE = ("CastType", "MissingValueImputation", "StandardizeDatetime", "ValueTransform")
+
+
+class ModelInverse:
+    """A family whose corruption and cleaner a model writes; the gate judges it like the others.
+
+    The corruption must be a lambda that compiles to a Column, or Python callables must be allowed.
+    """
+
+    def __init__(self, model, values: int = 12):
+        self.model, self.values = model, values
+
+    def __call__(self, t: Table, c: str, rng: random.Random) -> Corruption | None:
+        op = get_operator(rng.choice(INVERTIBLE))
+        some = [r[0] for r in t.ordered().select(quoted(c)).limit(self.values).collect()]
+        ask = f"""Spoil column {c!r} of table {t.name!r} in a way that one call of the operator below undoes exactly, for every value.
+Answer with one JSON object and nothing else:
+{{"kind": "a short name", "corrupt": "lambda x: expression for one cell", "cleaning": "{op.NAME}({t.name}, {c!r}, ...)"}}
+
+{op.manual()}
+
+{serialize_table(t)}
+
+Values: {", ".join(map(repr, some))}"""
+        try:
+            text = self.model.generate([{"role": "user", "content": ask}]).text
+            told = json.loads(text[text.index("{") : text.rindex("}") + 1])
+            spoil, cleaning = str(told["corrupt"]), str(told["cleaning"]).strip()
+            dirty = parse_call(f"ValueTransform({t.name}, {c!r}, {spoil})").execute(TableSet([t]))[t.name]
+            name = parse_call(cleaning).op.NAME
+        except Exception:  # whatever the client or its text is, there is just no proposal
+            return None
+        return Corruption(str(told.get("kind") or f"inverse_{name}"), dirty, [cleaning], c)
+
+
 def signature(t: Table) -> tuple:
     """Columns, types and rows in order, as a digest."""
     t = t.positioned()

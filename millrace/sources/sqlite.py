@@ -159,10 +159,10 @@ def dedupe_names(names: list[str]) -> list[str]:
 
 
 def run_sql(spark: SparkSession, tables: TableSet, query: str) -> DataFrame:
-    """A query over the tables as views, by Spark."""
+    """A query over the tables as views, by Spark; SQLite's TOTAL(x) is a sum that is never missing."""
     for t in tables.values():
         t.visible.createOrReplaceTempView(t.name)
-    df = spark.sql(query.rstrip().rstrip(";"))
+    df = spark.sql(re.sub(r"(?i)\btotal\s*\(([^()]*)\)", r"coalesce(cast(sum(\1) as double), 0.0)", query.rstrip().rstrip(";")))
     return df.toDF(*dedupe_names(df.columns))
 
 

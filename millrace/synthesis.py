@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
 from millrace.metrics import table_match
 from millrace.model import Table, TableSchema, Task, make_table
-from millrace.noise import inject_noise
-from millrace.plans.sql import execute_pipeline, join_keys, search_pipeline
-from millrace.sources.sqlite import Question, connect, database_path, load_sources, referenced_tables, run_sql, table_names
+from millrace.noise import FAMILIES, ModelInverse, inject_noise
+from millrace.plans.sql import execute_pipeline, join_keys, propose_pipelines, search_pipeline, translate, verify_pipeline
+from millrace.sources.sqlite import Question, connect, database_path, load_benchmark, load_sources, referenced_tables, run_sql, table_names
+
+__all__ = [
+    "FAMILIES", "ModelInverse", "Question", "SynthesisConfig", "SynthesisStats", "execute_pipeline", "inject_noise", "join_keys",
+    "load_benchmark", "propose_pipelines", "search_pipeline", "synthesize", "synthesize_task", "translate", "verify_pipeline",
+]
 
 
 @dataclass(frozen=True)
@@ -22,6 +28,8 @@ class SynthesisConfig:
     max_target_rows: int = 2_000
     noise_steps: int = 3
     require_noise: bool = False
+    #: A model that may propose pipelines where translation gives none, and inverse corruptions.
+    model: object = None
 
 
 @dataclass
@@ -60,11 +68,12 @@ def synthesize_task(spark: SparkSession, q: Question, root: str, config: Synthes
         return drop("sql_failed")
     if n == 0 or n > config.max_target_rows:
         return drop("empty_target" if n == 0 else "target_too_large")
-    pipeline = search_pipeline(q.query, sources, gold)
+    pipeline = search_pipeline(q.query, sources, gold, model=config.model)
     if pipeline is None:
         return drop("not_translated")
     target = execute_pipeline(sources, pipeline)
-    noisy = inject_noise(sources, config.seed, config.noise_steps, join_keys(q.query))
+    families = {**FAMILIES, "model_inverse": ModelInverse(config.model)} if config.model is not None else FAMILIES
+    noisy = inject_noise(sources, config.seed, config.noise_steps, join_keys(q.query), families=families)
     if config.require_noise and not noisy.cleaner:
         return drop("no_noise")
     gold_pipeline = [*noisy.cleaner, *pipeline]
@@ -80,11 +89,16 @@ def synthesize_task(spark: SparkSession, q: Question, root: str, config: Synthes
     return Task(f"{q.db_id}_{q.question_id}", noisy.tables, schema, answer, gold_pipeline, about)
 
 
-def synthesize(spark: SparkSession, questions: Iterable[Question], root: str, config: SynthesisConfig | None = None) -> tuple[list[Task], SynthesisStats]:
-    """Tasks of all questions that can be translated and verified."""
+def synthesize(
+    spark: SparkSession, questions: Iterable[Question], root: str, config: SynthesisConfig | None = None, shuffle: bool = False
+) -> tuple[list[Task], SynthesisStats]:
+    """Tasks of all questions that can be translated and verified; ``shuffle``: in an order drawn by the seed."""
     config, stats, out = config or SynthesisConfig(), SynthesisStats(), []
+    questions = list(questions)
+    if shuffle:
+        random.Random(config.seed).shuffle(questions)
     for i, q in enumerate(questions):
-        own = SynthesisConfig(config.seed + i, config.max_source_rows, config.max_target_rows, config.noise_steps, config.require_noise)
+        own = replace(config, seed=config.seed + i)
         if (task := synthesize_task(spark, q, root, own, stats)) is not None:
             out.append(task)
     return out, stats

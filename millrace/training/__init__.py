@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import random
 import re
 from dataclasses import dataclass
@@ -93,27 +94,19 @@ def best_trajectories(candidates: DataFrame, k: int = 1) -> DataFrame:
     return candidates.where("correct").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def process_scores(result: SolveResult) -> dict[str, float]:
-    """Structural scores of a trajectory: planning, valid actions, and progress after failures."""
-    n = max(1, result.turns)
-    planned = sum(bool(s.turn.plan) for s in result.steps) / n
-    valid = sum(s.turn.error is None and "ERROR" not in s.feedback for s in result.steps) / n
-    failed = [i for i, s in enumerate(result.steps) if "ERROR" in s.feedback]
-    recovered = sum(any("ERROR" not in s.feedback for s in result.steps[i + 1 :]) for i in failed) / len(failed) if failed else 1.0
-    return {"plan": planned, "valid": valid, "recovery": recovered}
-
-
 #: Weights of the outcome, partial and process rewards, and the price of a bad turn.
 WEIGHTS = (0.7, 0.3, 0.15, 0.05)
 
 
-def reward(result: SolveResult, task: Task) -> float:
-    """Outcome, partial similarity and process scores, less a share for bad turns."""
+def reward(result: SolveResult, task: Task, judge=None) -> float:
+    """Outcome, partial similarity and the judge's process score, less a share for bad turns."""
+    from millrace.training.judges import StructuralJudge
+
     outcome = partial = 0.0
     if result.table is not None and task.target_table is not None:
         outcome = float(result.completed and table_match(result.table, task.target_table))
         partial = 1.0 if outcome else partial_similarity(result.table, task.target_table)
-    process = sum(process_scores(result).values()) / 3
+    process = (judge or StructuralJudge()).score(task, result).value
     bad = sum(s.turn.error is not None for s in result.steps)
     a, b, c, d = WEIGHTS
     return a * outcome + b * partial + c * process - d * bad / max(1, result.turns)
@@ -138,3 +131,21 @@ def token_mask(spans: list[tuple[list[int], bool]], most: int | None = None) ->
     ids = [i for s, _ in spans for i in s]
     mask = [int(on) for s, on in spans for _ in s]
     return (ids, mask) if most is None else (ids[-most:], mask[-most:])
+
+
+#: What the submodules give, found on first use.
+_LAZY = {
+    "DistillSettings": "distill", "DistillStats": "distill", "distill_tasks": "distill",
+    "ModelJudge": "judges", "ProcessScore": "judges", "StructuralJudge": "judges", "parse_score": "judges",
+    "MaskedTokens": "masks", "mask_conversation": "masks", "only_actions": "masks",
+}
+__all__ = [
+    *_LAZY, "Example", "best_trajectories", "group_advantages", "materialize_states", "operator_examples", "perturb", "reward",
+    "reward_column", "token_mask", "trajectory_example",
+]
+
+
+def __getattr__(name: str) -> object:
+    if name in _LAZY:
+        return getattr(importlib.import_module(f"millrace.training.{_LAZY[name]}"), name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
