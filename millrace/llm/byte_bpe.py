@@ -51,7 +51,9 @@ def encode_text(encoding: tiktoken.Encoding, text: str | None) -> np.ndarray:
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Append ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit) of each whole text.
 
-    Null and empty texts have no ids. Other columns are kept, but for clashing names, which are replaced.
+    Null and empty texts have no ids. Whole texts are encoded, however long, piece by piece. Repeated rows
+    each get their ids, an empty table gives no rows; rows don't depend on each other, so there are no ties.
+    Input columns named like an output (in any case) are replaced by it, all others stay.
     """
 
     def make(texts):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import BROADCAST_ROWS
@@ -51,6 +52,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20)
         release()
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in count() if (n := f"{stem}_{i}").lower() not in taken)
+
+
+def with_outputs(docs: DataFrame, needed: list[str], make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[Column]]:
+    """``make`` applied to ``docs``, and the columns that give back those of ``docs``.
+
+    Columns other than ``needed`` bear names of their own meanwhile, so neither the outputs nor the temporary
+    columns of ``make`` meet them. ``needed`` ones must not be outputs of ``make``.
+    """
+    own = {c: c if c in needed else f"own column {i}" for i, c in enumerate(docs.columns)}
+    made = make(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]))
+    return made, [F.col(f"`{n}`").alias(c) for c, n in own.items()]
+
+
 def per_text(
     df: DataFrame, column: str, fields: str, make: Callable[[list], list[list]], most: int = 2 << 20
 ) -> DataFrame:

@@ -171,8 +171,9 @@ def shard_documents(
     Give ``shards`` (that many shards of nearly equal bytes) or ``capacity`` (as few shards of that many
     bytes as best-fit-decreasing needs). Size: UTF-8 bytes plus 1. Rows of equal text form a group and
     share a shard; null counts as empty (size 1, checksum 0). Repeated rows and ids get slots of their
-    own; null ids stay. Slots run from 0 without gaps in each shard. An empty table gives no rows; other
-    columns are ignored.
+    own; null ids stay. Slots run from 0 without gaps in each shard, in order of doc_id within hashed cells.
+    Groups of equal size are taken in order of a hash of their text. A text, however long, is one row; a group
+    above ``capacity`` has a shard of its own. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))

@@ -4,8 +4,11 @@ A shard is one batch of bounded size. Its tree splits at medians of the widest s
 small, and keeps the tight box of each node. For a query q, sum(max(q*low, q*high)) over a box bounds
 every product inside. Traversal takes the box with the highest bound next and stops when that is below
 the query's k-th score so far; each query starts from the k-th score over a bounded sample, a value
-that k real candidates reach, so every shard prunes by it from the outset. Shards give at most k rows a
-query and an aggregate merges them.
+that k real candidates reach, so every shard prunes by it from the outset. A task's shards go on with
+the best found in the shards before and give at most k rows a query in all.
+
+Queries go out in blocks of bounded size, one at a time; what a block finds is merged and written before
+the next, so one block is held at once and every query is in one block only.
 """
 
 from __future__ import annotations
@@ -19,10 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors in one tree; vectors in a leaf; sampled candidates for the first k-th scores; queries in one block.
-SHARD, LEAF, SAMPLE, BLOCK = 32_768, 128, 1024, 20_000
-#: Products are exact in float64 below this.
-_EXACT = float(1 << 53)
+from millrace.session import discard, materialize
+
+#: Vectors in one tree at most; bytes of them; vectors in a leaf; sampled candidates for the first k-th scores; bytes of queries in one block.
+SHARD, SHARD_BYTES, LEAF, SAMPLE, BLOCK = 32_768, 16 << 20, 128, 1024, 8 << 20
+#: Sums of absolute products below this are exact in float64.
+EXACT = float(1 << 53)
+#: The ends of a long, at which scores beyond it are put.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 class KDTree:
@@ -51,12 +58,34 @@ class KDTree:
         self.ids, self.rows = ids[order], rows[order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The highest product that each node's box allows each query."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-
-    def search(self, q: np.ndarray, own: int, bound: np.ndarray, k: int, kth: float) -> list[tuple[float, int]]:
-        """The (score, -id) of up to k best candidates that score ``kth`` or more, other than ``own``."""
-        best: list[tuple[float, int]] = []
+        """The highest product that each node's box allows each query; not below it by rounding either."""
+        top = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        if self.exact(queries):
+            return top
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.high)).T
+            return np.nan_to_num(top + 1e-9 * size, nan=np.inf, posinf=np.inf)
+
+    def exact(self, queries: np.ndarray) -> bool:
+        """Whether products of these queries with any row are exact in float64, in whatever order they are added."""
+        with np.errstate(over="ignore"):
+            return bool((np.abs(queries) @ np.maximum(np.abs(self.low[0]), np.abs(self.high[0])) < EXACT).all()) if len(queries) else True
+
+    def scores(self, a: int, b: int, q: np.ndarray, exact: bool) -> np.ndarray:
+        """Products of a leaf's rows: float64 where exact, else whole numbers put at the ends of a long."""
+        if exact:
+            return self.rows[a:b] @ q
+        whole = [int(x) for x in q]
+        return np.array([min(max(sum(int(x) * y for x, y in zip(r, whole, strict=True)), LOWEST), HIGHEST) for r in self.rows[a:b]], object)
+
+    def search(self, q: np.ndarray, own: int, bound: np.ndarray, k: int, kth, best: list | None = None, exact: bool = True) -> list[tuple]:
+        """The (score, -id) of up to k best candidates that score ``kth`` or more, other than those of id ``own``.
+
+        ``best``, a heap of what was found elsewhere, is gone on with. Rows of equal id all count.
+        """
+        best = [] if best is None else best
+        if len(best) == k:
+            kth = max(kth, best[0][0])
         heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= kth:
             node = heapq.heappop(heap)[1]
@@ -66,14 +95,12 @@ class KDTree:
                         heapq.heappush(heap, (-bound[c], c))
                 continue
             a, b = self.span[node]
-            score, ids = self.rows[a:b] @ q, self.ids[a:b]
-            at = np.flatnonzero(score >= kth)
+            score, ids = self.scores(a, b, q, exact), self.ids[a:b]
+            at = np.flatnonzero((score >= kth) & (ids != own))
             if len(at) > 4 * k:  # ids ascend, so a stable sort keeps the smaller id first among equals
-                at = at[np.argsort(-score[at], kind="stable")[: k + 1]]
+                at = at[np.argsort(-score[at], kind="stable")[:k]]
             for i in at:
-                if ids[i] == own:
-                    continue
-                item = (score[i], -int(ids[i]))
+                item = (int(score[i]), -int(ids[i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -95,60 +122,57 @@ def quantized(df: DataFrame, vector: str, vec_id: str) -> DataFrame:
     )
 
 
-def _blocks(spark, queries: DataFrame, size: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries of one dimension, ``block`` at a time, in order of id."""
-    q = queries.where(F.size("v") == size)
-    n = q.count()
-    if n <= block:
-        cuts = [None, None]
-    else:
-        steps = -(-n // block)
-        at = q.select(F.percentile_approx("vec_id", [i / steps for i in range(1, steps)], 100_000)).head()[0]
-        cuts = [None, *sorted(set(at)), None]
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        part = q if low is None else q.where(F.col("vec_id") > low)
-        rows = (part if high is None else part.where(F.col("vec_id") <= high)).toArrow()
-        if rows.num_rows:
-            ids = rows["vec_id"].to_numpy()
-            yield ids, rows["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), size)
-
-
 def top_k(
     candidates: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", vec_id: str = "vec_id",
     shard: int = SHARD, block: int = BLOCK, sample: int = SAMPLE,
 ) -> DataFrame:
     """Each query's k best candidates: query_id, rank (from 1), vec_id, score; ties to the smaller id.
 
-    Scores are exact while the sum of absolute products stays below 2**53. Queries go out in blocks of
-    bounded size, each against every shard. A row never answers a query of its own id; vectors of other
-    lengths don't meet. Repeated candidate rows count once an id. An empty side gives no rows.
+    Candidates are all rows, also several of one id or repeated ones, but for those of the query's own id.
+    Queries are the different pairs of id and vector: where an id has several vectors, each is answered.
+    Scores are exact whole numbers; those beyond a long are put at its ends. Vectors that are null, hold a
+    null or non-finite component, or have no id take no part; vectors of other lengths don't meet. An empty
+    side gives no rows; other columns are ignored; memory is bounded by bytes, however long the vectors.
     """
     spark = candidates.sparkSession
-    base, asked = quantized(candidates, vector, vec_id), quantized(queries, vector, vec_id).dropDuplicates(["vec_id"])
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for (size,) in sorted(r[0:1] for r in asked.select(F.size("v").alias("n")).distinct().collect()):
-        same = base.where(F.size("v") == size).dropDuplicates(["vec_id"])
-        seed = same.limit(sample).toArrow()
-        seed_ids = seed["vec_id"].to_numpy()
-        seed_rows = seed["v"].combine_chunks().flatten().to_numpy().reshape(len(seed_ids), size)
-        for ids, rows in _blocks(spark, asked, size, block):
-            kth = _first_kth(ids, rows, seed_ids, seed_rows, k)
-            held = spark.sparkContext.broadcast((ids, rows, kth))
-            out = out.union(same.mapInArrow(_searcher(held, size, k, shard), "query_id long, vec_id long, score long"))
-    # A query has at most k rows from each shard, so the merge is bounded and combined before the shuffle.
-    merged = out.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best")
-    )
-    return merged.select("query_id", F.posexplode("best").alias("i", "b")).select(
-        "query_id", (F.col("i") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score")
-    )
+    base = materialize(quantized(candidates, vector, vec_id), "vectors")
+    asked = materialize(quantized(queries, vector, vec_id).distinct(), "queries")
+    found = []
+    for size, n in sorted(map(tuple, asked.groupBy(F.size("v")).agg(F.count(F.lit(1))).collect())):
+        same, mine = base.where(F.size("v") == size), asked.where(F.size("v") == size)
+        seed_ids, seed_rows = _arrays(same.limit(sample).toArrow(), size)
+        blocks = max(1, -(-n * 8 * max(1, size) // block))
+        for i in range(blocks):
+            # A hash deals different queries evenly, so a block is of ``block`` bytes or so.
+            part = mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == i)
+            ids, rows = _arrays(part.toArrow(), size)
+            held = spark.sparkContext.broadcast((ids, rows, _first_kth(ids, rows, seed_ids, seed_rows, k)))
+            got = same.mapInArrow(_searcher(held, size, k, shard), "q int, query_id long, vec_id long, score long")
+            # At most k rows of a query from each task; of those each task passes k on, and they meet by query.
+            place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+            best = got.withColumn("rank", place).where(F.col("rank") <= k)
+            found.append(materialize(best.select("query_id", "rank", "vec_id", "score"), "found"))
+            held.destroy()
+    discard(base, asked)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return out if not found else spark.read.schema(out.schema).parquet(*[t.millrace_path for t in found])
+
+
+def _arrays(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and a matrix of vectors of one length."""
+    n = table.num_rows
+    if not n:
+        return np.zeros(0, np.int64), np.zeros((0, size))
+    return table["vec_id"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy().reshape(n, size)
 
 
 def _first_kth(ids, rows, seed_ids, seed_rows, k: int) -> np.ndarray:
-    """The k-th score over the sample without the query's own id; -inf if the sample is smaller."""
-    if len(seed_ids) <= k:
-        return np.full(len(ids), -np.inf)
-    out = np.empty(len(ids))
+    """The k-th score over the sample without the query's own id; -inf if the sample is too small or large products round."""
+    out = np.full(len(ids), -np.inf)
+    with np.errstate(over="ignore"):
+        rounds = len(ids) and len(seed_ids) and not (np.abs(rows) @ np.abs(seed_rows).max(0) < EXACT).all()
+    if len(seed_ids) <= k or rounds:
+        return out
     for a in range(0, len(ids), 1024):
         s = rows[a : a + 1024] @ seed_rows.T
         s[ids[a : a + 1024, None] == seed_ids[None]] = -np.inf
@@ -159,21 +183,21 @@ def _first_kth(ids, rows, seed_ids, seed_rows, k: int) -> np.ndarray:
 def _searcher(held, size: int, k: int, shard: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, kth = held.value
-        kth = kth.copy()
-        for part_ids, part in _shards(batches, size, shard):
+        best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        for part_ids, part in _shards(batches, size, min(shard, max(1, SHARD_BYTES // (8 * max(1, size))))):
             tree = KDTree(part_ids, part)
-            got: list[tuple[int, int, int]] = []
             for a in range(0, len(ids), 1024):
-                bounds = tree.bounds(rows[a : a + 1024])
-                for i, bound in enumerate(bounds, a):
-                    best = tree.search(rows[i], ids[i], bound, k, kth[i])
-                    if len(best) == k:
-                        kth[i] = max(kth[i], min(best)[0])  # goes on to this task's next shard
-                    got += [(int(ids[i]), -m, int(s)) for s, m in best]
-            if got:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in zip(*got, strict=True)], ["query_id", "vec_id", "score"]
-                )
+                some = rows[a : a + 1024]
+                exact = tree.exact(some)
+                for i, bound in enumerate(tree.bounds(some), a):
+                    tree.search(rows[i], ids[i], bound, k, kth[i], best[i], exact)
+        at = [i for i, found in enumerate(best) for _ in found]
+        if at:
+            rest = [x for found in best for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array(ids[at]), pa.array([-m for _, m in rest], pa.int64()), pa.array([s for s, _ in rest], pa.int64())],
+                ["q", "query_id", "vec_id", "score"],
+            )
 
     return run
 
@@ -181,13 +205,14 @@ def _searcher(held, size: int, k: int, shard: int):
 def _shards(batches: Iterable[pa.RecordBatch], size: int, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
-    for b in batches:
-        ids = b.column("vec_id").to_numpy()
-        held.append((ids, b.column("v").flatten().to_numpy().reshape(len(ids), size)))
-        n += len(ids)
-        if n >= shard:
-            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            held, n = [], 0
+    for whole in batches:
+        for a in range(0, whole.num_rows, shard):
+            b = whole.slice(a, shard)
+            held.append((b.column("vec_id").to_numpy(), b.column("v").flatten().to_numpy().reshape(b.num_rows, size)))
+            n += b.num_rows
+            if n >= shard:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                held, n = [], 0
     if n:
         yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
@@ -199,11 +224,14 @@ def op9_top_k(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (SELECT vec_id, embedding FROM embeddings),
-e AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x
-  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v) t),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH f AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT row_number() OVER () AS at, vec_id, list_transform(x, y -> CAST(floor(256 * y) AS BIGINT)) AS x FROM f
+  WHERE len(x) > 0 AND len(list_filter(x, y -> y IS NULL OR NOT isfinite(y))) = 0),
+w AS (SELECT row_number() OVER () AS at, vec_id, x FROM (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 50 = 0) d),
+c AS (SELECT at, vec_id, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+q AS (SELECT at, vec_id, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM w),
+s AS (SELECT q.at AS q_at, c.at AS at, any_value(q.vec_id) AS query_id, any_value(c.vec_id) AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM q JOIN c ON q.i = c.i AND q.n = c.n AND q.vec_id <> c.vec_id GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_at ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -13,8 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import per_text
+from millrace.llm.common import per_text, unused
 
+#: Bytes of automaton states at once.
+STATES = 16 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -85,7 +87,7 @@ class GlobAutomaton:
 
 def split_url(url) -> tuple[F.Column, F.Column]:
     """Host (A-Z lower-cased) and path of a URL column; both empty for null or where there is no ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(u, instr(u, '://') + 3)"))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _UPPER.lower())
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -94,25 +96,31 @@ def split_url(url) -> tuple[F.Column, F.Column]:
 def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url") -> DataFrame:
     """Append host, path, rule and verdict; the longest fitting rule wins, ``default`` holds where none fits.
 
-    The canonical URL is host plus path. Clashing columns are replaced; null URLs have an empty host and
-    path and get the default. Rules of equal length and text: the first one.
+    The canonical URL is host plus path. Input columns named like an output (in any case) are replaced by it,
+    all others stay; null URLs have an empty host and path and get the default. Of fitting rules of equal
+    length the first one given wins. Whole URLs are matched, however long; repeated rows each get their
+    verdict; an empty table gives no rows; without rules every URL gets the default.
     """
     ranked = sorted(rules, key=lambda r: -len(r.text))
     globs = [g for r in ranked for g in (f"{r.text}**", f"*.{r.text}**")]
     auto = GlobAutomaton(globs)
 
+    #: URLs at once, so that the states of all rules take some STATES bytes at most.
+    at_once = max(1, STATES // (8 * auto.words))
+
     def make(urls):
-        hit = auto.match([(u or "").encode() for u in urls])
+        parts = [auto.match([(u or "").encode() for u in urls[i : i + at_once]]) for i in range(0, len(urls), at_once)]
+        hit = np.concatenate(parts) if parts else np.zeros((0, len(globs)), bool)
         fits = hit[:, 0::2] | hit[:, 1::2] if ranked else np.zeros((len(urls), 1), bool)
         best = [ranked[k] if any_ else None for k, any_ in zip(fits.argmax(1), fits.any(1), strict=True)]
         return [[r and r.text for r in best], [r.verdict if r else default for r in best]]
 
-    ours = {"host", "path", "rule", "verdict", "u", "canonical"}
-    kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in ours or c == url])
-    host, path = split_url(F.col("u"))
-    split = kept.withColumn("u", F.col(url)).withColumns({"host": host, "path": path}).drop("u")
-    split = split.withColumn("canonical", F.concat("host", "path"))
-    return per_text(split, "canonical", "rule string, verdict string", make, 1 << 20).drop("canonical")
+    ours = {"host", "path", "rule", "verdict"}
+    canonical = unused(pages, "canonical")
+    host, path = split_url(F.col(f"`{url}`"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ours]
+    split = pages.select(*kept, host.alias("host"), path.alias("path"), F.concat(host, path).alias(canonical))
+    return per_text(split, canonical, "rule string, verdict string", make, 1 << 20).drop(canonical)
 
 
 #: Fixed values of the query.

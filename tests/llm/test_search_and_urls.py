@@ -8,33 +8,45 @@ from millrace.llm import top_k as T
 from millrace.llm import url_filter as U
 
 
-def brute(rows, queries, k):
+def brute(rows, is_query, k):
+    """Whole-number scores of every pair of rows; rows of one id all count, different queries of one id each."""
+    fine = [(i, tuple(int(np.floor(256 * np.float64(x))) for x in v)) for i, v in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    fine = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            fine.setdefault(i, [int(np.floor(256 * float(x))) for x in v])
-    for q in queries:
-        if q not in fine:
-            continue
-        s = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
+    for q, v in sorted({(i, v) for i, v in fine if is_query(i)}):
+        fit = lambda w: min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(1 << 63)), (1 << 63) - 1)
+        s = sorted((-fit(w), i) for i, w in fine if i != q and len(w) == len(v))
         out += [(q, r, i, -m) for r, (m, i) in enumerate(s[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "block", "sample"), [(40, 7, 20), (T.SHARD, T.BLOCK, T.SAMPLE), (9, 1000, 0)])
+@pytest.mark.parametrize(("shard", "block", "sample"), [(40, 600, 20), (T.SHARD, T.BLOCK, T.SAMPLE)])
 def test_top_k(spark, shard, block, sample):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-1.5, -0.5, 0.0, 0.001, 0.25, 1.0]) for _ in range(6)]) for i in range(300)]
     rows += [(400 + i, [1.0] * 6) for i in range(30)]
     rows += [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, []), (505, [2.0]), (506, [3.0]), (None, [1.0] * 6)]
+    # Ids that several rows bear, and repeated rows.
+    rows += [(2, [3.0] * 6), (3, [2.5] * 6), (3, [2.5] * 6), (3, [-2.0] * 6), (299, [1.5] * 6)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int").repartition(5)
     got = T.top_k(df, df.where("vec_id % 3 = 0 or vec_id > 499"), 5, shard=shard, block=block, sample=sample).collect()
-    assert sorted(map(tuple, got)) == brute(rows, [i for i, _ in rows if i is not None and (i % 3 == 0 or i > 499)], 5)
+    assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 3 == 0 or i > 499, 5)
     assert T.top_k(df.limit(0), df).collect() == []
     assert T.top_k(df, df.limit(0)).collect() == []
 
 
+def test_large_products_are_exact(spark):
+    """Beyond 2**53 sums round in float64, beyond 2**63 they leave a long."""
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([300001.51, 30000007.01, -5e6, 1.0, 7e7]) for _ in range(4)]) for i in range(60)]
+    rows += [(100 + i, [float(1 << 31) + 3 * i, 1.0, -1.0, 0.0]) for i in range(8)] + [(200, [1e30, 0.0, 0.0, 0.0]), (201, [-1e30, 1e30, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = T.top_k(df, df.where("vec_id % 2 = 0"), 5, shard=16).collect()
+    want = brute(rows, lambda i: i % 2 == 0, 5)
+    assert sorted(map(tuple, got)) == want and max(r[3] for r in want) == (1 << 63) - 1
+    assert any((1 << 53) < r[3] < (1 << 62) for r in want)
+
+
 def test_tree_prunes():
     rng = np.random.default_rng(2)
     rows = np.floor(rng.normal(size=(4000, 4)) * 256)
@@ -48,7 +60,7 @@ def test_tree_prunes():
             seen.append(i)
             return super().__getitem__(i)
     tree.span = Count(spans)
-    best = tree.search(rows[7], 7, tree.bounds(rows[7:8])[0], 5, -np.inf)
+    best = tree.search(rows[7], 7, tree.bounds(rows[7:8])[0], 5, -np.inf, exact=tree.exact(rows[7:8]))
     score = rows @ rows[7]
     score[7] = -np.inf
     assert sorted(b[0] for b in best) == sorted(score)[-5:]
@@ -68,7 +80,8 @@ def test_globs():
 
 def test_urls(spark):
     urls = [None, "", "nothing", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://com/en/", "x://notcom/en/", "x://a.com/EN/", "x://example.net/de/8/z", "x://example.net/de/9", "x://b.org#/es/", "x://ORG/es/?", "x://o.org/a.net/de/", "x://é.org/es/ü" + "y" * 70000, "a://b://c.com/en/"]
-    df = spark.createDataFrame([(i, u, "w") for i, u in enumerate(urls)], "page_id long, url string, Rule string")
+    df = spark.createDataFrame([(i, u, "w", f"u{i}", i) for i, u in enumerate(urls)], "page_id long, url string, Rule string, u string, canonical int")
+    assert sorted(U.filter_urls(df, U.RULES).select("page_id", "u", "canonical").collect()) == [(i, f"u{i}", i) for i in range(len(urls))]
     got = [tuple(r) for r in U.filter_urls(df, U.RULES).select("host", "path", "rule", "verdict").orderBy("page_id").collect()]
     def want(u):
         rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
@@ -81,3 +94,13 @@ def test_urls(spark):
     assert got == [want(u) for u in urls]
     assert U.filter_urls(df.limit(0), U.RULES).collect() == []
     assert {r.verdict for r in U.filter_urls(df, []).collect()} == {"allow"}
+    twice = U.filter_urls(df.union(df), U.RULES).select("host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, twice))) == sorted(map(str, got + got))
+
+
+def test_many_rules_go_in_small_batches(spark, monkeypatch):
+    rules = [U.Rule(f"host{i}.com/a", "block" if i % 2 else "allow") for i in range(300)]
+    df = spark.createDataFrame([(i, f"http://x.host{i}.com/ab") for i in range(350)], "page_id long, url string")
+    monkeypatch.setattr(U, "STATES", 4096)
+    got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(df, rules, "none").collect()}
+    assert got == {i: (rules[i].text, rules[i].verdict) if i < 300 else (None, "none") for i in range(350)}
