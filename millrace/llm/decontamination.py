@@ -11,18 +11,20 @@ Documents don't move: only the phrases go to the tasks, in blocks of bounded siz
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import per_text, words
+from millrace.llm.common import per_text, slices, with_outputs, words
 
 #: Words in a window; distance of sampled suffix positions; text bytes in a shard; phrase bytes in a block.
-WINDOW, STEP, SHARD, BLOCK = 13, 8, 4 << 20, 32 << 20
+WINDOW, STEP, SHARD, BLOCK = 13, 8, 4 << 20, 4 << 20
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -112,6 +114,7 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of suffixes that start with each phrase; rows of ``phrases`` are padded behind."""
+        phrases, length = phrases.astype(np.int64), length.astype(np.int64)
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.bwt.n, np.int64)
         live = np.arange(len(phrases))
@@ -139,12 +142,17 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct windows as rows of word numbers, with the items (by place in ``items``) that hold each."""
+    """Distinct windows as rows of word numbers, with the items (by place in ``items``) that hold each.
+
+    The owners of row k are owner[first[k] : first[k + 1]]. All is of 32 bits, so a block of BLOCK bytes of
+    phrases takes some 10 times that, and 26 times in the worst case (words of one letter).
+    """
 
     numbers: dict[bytes, int]
     rows: np.ndarray
     length: np.ndarray
-    owners: list[list[int]]
+    first: np.ndarray
+    owner: np.ndarray
     items: list[str]
 
 
@@ -160,11 +168,13 @@ def phrases_of(benchmark: list[tuple[object, str | None]], window: int = WINDOW)
             held = owners.setdefault(tuple(n[i : i + window]), [])
             if not held or held[-1] != k:
                 held.append(k)
-    length = np.array([len(w) for w in owners], np.int64)
-    rows = np.zeros((len(owners), window), np.int64)
+    length = np.array([len(w) for w in owners], np.int32)
+    rows = np.zeros((len(owners), window), np.int32)
     for i, w in enumerate(owners):
         rows[i, : len(w)] = w
-    return Phrases(numbers, rows, length, [sorted(set(v)) for v in owners.values()], list(names))
+    held = [sorted(set(v)) for v in owners.values()]
+    first = np.concatenate([[0], np.cumsum([len(v) for v in held], dtype=np.int64)]).astype(np.int32)
+    return Phrases(numbers, rows, length, first, np.array([k for v in held for k in v], np.int32), list(names))
 
 
 def scan_shard(phrases: Phrases, texts: list[str | None]) -> tuple[list[int], list[list[int]], list[list[str]]]:
@@ -207,7 +217,7 @@ def scan_shard(phrases: Phrases, texts: list[str | None]) -> tuple[list[int], li
         spans[d] += [int(a - first[d]), int(b - first[d])]
     pairs = np.unique(doc * len(hits) + which)
     for d, w in zip(pairs // len(hits), pairs % len(hits), strict=True):
-        found[d] += [phrases.items[k] for k in phrases.owners[w]]
+        found[d] += [phrases.items[k] for k in phrases.owner[phrases.first[w] : phrases.first[w + 1]]]
     return counts, spans, [sorted(set(f)) for f in found]
 
 
@@ -218,44 +228,43 @@ def find_contamination(
     """Append to every row: n_words long, spans array<long>, item_ids array<string>.
 
     Spans are merged word ranges, flattened (from, to, from, to ...), of the words inside any occurrence of
-    a window. Null and empty texts have no words. Null item ids or texts match nothing. Benchmarks above
-    ``block`` bytes are handled block by block, each by a pass over the documents whose finds are merged.
-    Repeated rows each get their result; clashing columns are replaced.
+    a window. Null and empty texts have no words. Null item ids or texts match nothing; items of equal id
+    count as one. Benchmarks above ``block`` bytes are handled block by block in one pass over the documents,
+    and the finds of all blocks are merged. Whole texts are searched, however long: one of more than SHARD
+    bytes is a shard by itself. Repeated rows each get their result; an empty table gives no rows. Input
+    columns named like an output are replaced by it, all others stay.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).head()[0]
     blocks = max(1, -(-total // block))
-    fields = "n_words long, spans array<long>, item_ids array<string>"
-    out = docs
+    held = []
     for k in range(blocks):
-        # At most ``block`` bytes on average are collected, whatever the benchmark's size.
+        # At most ``block`` bytes on average are collected at once, whatever the benchmark's size.
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        p = docs.sparkSession.sparkContext.broadcast(phrases_of(sorted(map(tuple, part.collect())), window))
-        if k == 0:
-            out = per_text(out, text, fields, lambda texts, p=p: list(scan_shard(p.value, texts)), SHARD)
-            continue
-        held = ["_spans", "_items"]
-        out = out.withColumnsRenamed({"spans": "_spans", "item_ids": "_items"})
-        out = per_text(out, text, fields, lambda texts, p=p: list(scan_shard(p.value, texts)), SHARD)
-        out = out.withColumn("item_ids", F.array_sort(F.array_union("_items", "item_ids")))
-        out = per_text(out.withColumn("_both", F.concat("_spans", "spans")), "_both", "spans array<long>", _merge)
-        out = out.drop(*held, "_both")
+        held.append(docs.sparkSession.sparkContext.broadcast(phrases_of(sorted(map(tuple, part.collect())), window)))
+
+    def scan(texts: list[str | None]) -> list[list]:
+        counts, spans, found = scan_shard(held[0].value, texts)
+        for p in held[1:]:
+            _, more, items_of = scan_shard(p.value, texts)
+            spans = [merged(a + b) if b else a for a, b in zip(spans, more, strict=True)]
+            found = [sorted({*a, *b}) if b else a for a, b in zip(found, items_of, strict=True)]
+        return [counts, spans, found]
+
+    return per_text(docs, text, "n_words long, spans array<long>, item_ids array<string>", scan, SHARD)
+
+
+def merged(flat: list[int]) -> list[int]:
+    """Ranges (from, to, from, to ...) in order, those that meet made one."""
+    out: list[int] = []
+    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
     return out
 
 
-def _merge(rows: list[list[int]]) -> list[list[list[int]]]:
-    made = []
-    for flat in rows:
-        out: list[int] = []
-        for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
-            if out and a <= out[-1]:
-                out[-1] = max(out[-1], b)
-            else:
-                out += [a, b]
-        made.append(out)
-    return [made]
-
-
 def verdicts(found: DataFrame) -> DataFrame:
     """Append n_hit and contaminated: at least one word in twenty inside a window."""
     n_hit = F.aggregate(
@@ -267,6 +276,29 @@ def verdicts(found: DataFrame) -> DataFrame:
     )
 
 
+def remove_contamination(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+) -> DataFrame:
+    """``docs`` with every merged span cut out of the texts: all columns, all rows; other texts stay as they are."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        found = find_contamination(df, benchmark, text, item_id, item_text, window)
+        return _cut(found, text)
+
+    made, own = with_outputs(docs, [text], cut)
+    return made.select(*own)
+
+
+def _cut(df: DataFrame, text: str) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            both = zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True)
+            new = pa.array([remove_spans(t, s) for t, s in both], pa.string())
+            yield b.set_column(b.schema.get_field_index(text), text, new)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def remove_spans(text: str | None, spans: list[int]) -> str | None:
     """The text without the words of ``spans`` and what stands between them."""
     if not text or not spans:

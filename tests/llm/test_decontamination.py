@@ -116,6 +116,17 @@ def test_spans_are_removed():
     assert D.remove_spans(None, [0, 1]) is None and D.remove_spans("x y", []) == "x y"
 
 
+def test_contamination_is_cut_out(spark, planted):
+    docs, items = frames(spark, planted)
+    extra = docs.withColumnsRenamed({"n_words": "spans"})
+    before, hit = dict(planted[0]), {d: w[1] for d, w in brute(*planted).items()}
+    got = D.remove_contamination(extra, items).collect()
+    assert len(got) == len(before) and all(r.spans == "kept" for r in got)
+    for r in got:
+        left = len(WORD.findall(lower(r.text)))
+        assert r.text == before[r.doc_id] if not hit[r.doc_id] else left == len(WORD.findall(lower(before[r.doc_id]))) - hit[r.doc_id]
+
+
 def test_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
