@@ -1,13 +1,14 @@
 """Token ids in Parquet list columns, in ascending document order, with selective reads.
 
-Documents are encoded where they are read and only their ids, two or four bytes each, are shuffled, by
-ranges of doc_id; each range is one sorted file. Ids are dictionary encoded, counters delta encoded
-(format version 2); row groups and pages are small and carry page indexes, so a reader of a few documents
-or of the metadata columns touches only their pages.
+Documents are encoded once and their ids, two or four bytes each, are written; by these sizes they are dealt
+in ranges of doc_id of equal shares, each range one sorted file. Ids are dictionary encoded, counters delta
+encoded (format version 2); row groups and pages are small and carry page indexes, so a reader of a few
+documents or of the metadata columns touches only their pages.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import uuid
@@ -19,21 +20,43 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, small_join
-from millrace.session import materialize, shared_dir
+from millrace.session import discard, materialize, shared_dir
 
-#: Documents in one range; bytes of a row group and of a page.
-RANGE, ROW_GROUP, PAGE = 20_000, 16 << 20, 256 << 10
+#: Bytes of packed ids in one range; bytes of a row group and of a page.
+RANGE, ROW_GROUP, PAGE = 32 << 20, 16 << 20, 256 << 10
 #: Distinct matches kept encoded in each worker.
 CACHE = 1 << 19
 
 
+#: The steps before the model that the cache of matches knows, as a tokenizer file states them.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def known_steps(path: str) -> bool:
+    """Whether a tokenizer file has just these steps and a model that depends on its piece alone."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told.get("model") or {}
+    return all(told.get(k) == v for k, v in KNOWN_STEPS.items()) and model.get("type") == "BPE" and not model.get("dropout")
+
+
 #: In Latin-1 without control characters, normal form, lower-casing and white space are plain; there this
-#: pattern finds the tokenizer's own matches (contractions, letters, single digits, other runs).
+#: pattern finds the matches of those steps (contractions, letters, single digits, other runs).
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 _MATCH = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
@@ -51,11 +74,12 @@ def is_plain(text: str) -> bool:
 class MatchEncoder:
     """The tokenizers library behind a cache of matches.
 
-    The tokenizer drops white space, so a text's ids are those of its matches in turn. In texts of Latin-1
-    each new match goes to the library's model once; other texts go through the whole library, cut at
-    spaces and line feeds, in a batch. A text that holds one of the file's added tokens goes there uncut;
-    ``whole``, or an added token that matches normalized text, sends every text there. Ids are packed in
-    little-endian integers of ``width`` bytes: two where the vocabulary allows, else four.
+    The cache is used only for a file that states KNOWN_STEPS: they drop white space, so a text's ids are
+    those of its matches in turn. In texts of Latin-1 each new match goes to the library's model once; other
+    texts go through the whole library, cut at spaces and line feeds, in a batch. A text that holds one of
+    the file's added tokens goes there uncut. Any other file, an added token that matches normalized text,
+    or ``whole`` sends every whole text through the library as it is loaded. Ids are packed in little-endian
+    integers of ``width`` bytes: two where the vocabulary allows, else four.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -69,7 +93,7 @@ class MatchEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
-        self.whole = whole or any(t.normalized for t in added)
+        self.whole = whole or not known_steps(path) or any(t.normalized for t in added)
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
@@ -120,30 +144,26 @@ def load_encoder(path: str) -> MatchEncoder:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text",
-    rows: int = RANGE,
+    share: int = RANGE,
 ) -> None:
     """Encode every whole text, append ``end_id`` and write ids in ascending order of doc_id at ``path``.
 
     Columns: range int, doc_id, local_start long (ids before it in its range), n_tokens long, ids
-    array<int>. Null texts have the end id alone. Null doc_ids come first; rows of one doc_id are ordered
-    by their ids. Other columns of ``docs`` are not stored. A range holds about ``rows`` documents,
-    whole doc_ids only.
+    array<int>. Null and empty texts have the end id alone; a text, however long, is one row. Null doc_ids
+    come first; rows of one doc_id are ordered by their number of ids, then by a hash of them, and may lie
+    in several ranges. An empty table gives an empty store. Other columns of ``docs`` are not stored. A range
+    holds about ``share`` bytes of ids.
     """
-    n = docs.count()
-    parts = max(1, -(-n // rows))
-    cuts: list[int] = []
-    if parts > 1:
-        at = docs.select(F.percentile_approx(doc_id, [i / parts for i in range(1, parts)], 100 * parts)).head()[0]
-        cuts = sorted(set(at or []))
-    bounds = np.array(cuts, np.int64)
-
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packed = texts.mapInArrow(_pack(bounds, tokenizer, end_id), "range int, doc_id long, width int, raw binary")
-    dealt = packed.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), F.octet_length("raw"), "raw"
-    )
+    packed = materialize(texts.mapInArrow(_pack(tokenizer, end_id), "doc_id long, width int, raw binary"), "packed", compression="zstd")
+    total = packed.agg(F.sum(F.octet_length("raw"))).head()[0] or 0
+    keys = [F.asc_nulls_first("doc_id"), F.octet_length("raw").asc(), F.asc("tie"), F.asc("at")]
+    # Bounds are drawn by Spark from a sample of bounded size; ``at`` parts repeated rows of one id.
+    keyed = packed.withColumns({"tie": F.xxhash64("raw"), "at": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(max(1, -(-total // share)), *keys).sortWithinPartitions(*keys)
     (
-        dealt.mapInArrow(_unpack, "range int, doc_id long, local_start long, n_tokens long, ids array<int>")
+        dealt.select("doc_id", "width", "raw")
+        .mapInArrow(_unpack, "range int, doc_id long, local_start long, n_tokens long, ids array<int>")
         .write.option("parquet.block.size", ROW_GROUP)
         .option("parquet.page.size", PAGE)
         .option("parquet.writer.version", "v2")
@@ -154,43 +174,38 @@ def write_tokens(
         .option("compression", "zstd")
         .parquet(path)
     )
+    discard(packed)
 
 
-def _pack(bounds: np.ndarray, tokenizer: str, end_id: int):
-    """Each row's range and packed ids."""
+def _pack(tokenizer: str, end_id: int):
+    """Each row's packed ids and their width."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(tokenizer)
         end = encoder.pack([end_id])
         for b in slices(batches, "text", 2 << 20):
-            ids = b.column("doc_id")
-            at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
             raw = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), ids, pa.array(np.full(len(at), encoder.width, np.int32)), pa.array(raw, pa.binary())],
-                ["range", "doc_id", "width", "raw"],
-            )
+            width = pa.array(np.full(len(raw), encoder.width, np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), width, pa.array(raw, pa.binary())], ["doc_id", "width", "raw"])
 
     return run
 
 
 def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of ids with their start in the range; a partition is one range or more, each in order."""
-    start: dict[int, int] = {}
+    """Lists of ids with their start in the range, which is the task's partition of the ordered rows."""
+    at, start = TaskContext.get().partitionId(), 0
     for whole in batches:
         for a in range(0, whole.num_rows, 512):
             b = whole.slice(a, 512)
-            at, width, raw = (b.column(c).to_pylist() for c in ("range", "width", "raw"))
-            n = [len(x) // w for x, w in zip(raw, width, strict=True)]
-            first = []
-            for r, k in zip(at, n, strict=True):
-                first.append(start.get(r, 0))
-                start[r] = first[-1] + k
+            width, raw = (b.column(c).to_pylist() for c in ("width", "raw"))
+            n = np.array([len(x) // w for x, w in zip(raw, width, strict=True)], np.int64)
+            first = start + np.cumsum(n) - n
+            start += int(n.sum())
             flat = [np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(raw, width, strict=True)]
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("range"), b.column("doc_id"), pa.array(first, pa.int64()), pa.array(n, pa.int64()), lists],
+                [pa.array(np.full(len(n), at, np.int32)), b.column("doc_id"), pa.array(first), pa.array(n), lists],
                 ["range", "doc_id", "local_start", "n_tokens", "ids"],
             )
 
@@ -201,7 +216,7 @@ def read_tokens(spark, path: str) -> DataFrame:
         "range int, doc_id long, local_start long, n_tokens long, ids array<int>"
     ).parquet(path)
     totals = rows.groupBy("range").agg(F.sum("n_tokens").alias("n"))
-    # One row for each file, RANGE documents or more: their running sum is a window over that short table.
+    # One row for each range of RANGE bytes: their running sum is a window over that short table.
     firsts = totals.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("first"))
     firsts = materialize(firsts, "ranges")
     return small_join(rows, firsts, firsts.count(), "range").select(
