@@ -12,18 +12,38 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import ipaddress
+import os
 import re
-from collections.abc import Callable
+import secrets
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from millrace.llm.common import per_text
+from millrace.llm.common import slices
 
-#: Rounds of the network; the default key is for tests and checks, a deployment gives its own.
+#: Rounds of the network.
 ROUNDS = 8
-DEFAULT_KEY = b"millrace-demonstration-key"
+#: Where a deployment names its key: a Spark setting, else a variable of the driver's environment.
+KEY_SETTING, KEY_VARIABLE = "spark.millrace.pii.key", "MILLRACE_PII_KEY"
+_made: dict[str, bytes] = {}
+
+
+def private_key(spark) -> bytes:
+    """The key that KEY_SETTING or KEY_VARIABLE names; without either a random one for this application alone.
+
+    With a named key values stay linked from run to run; with a random one within the run, and nobody can
+    invert them afterwards.
+    """
+    named = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    if named:
+        return named.encode()
+    return _made.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def _round(key: bytes, tweak: bytes, i: int, half: int, size: int) -> int:
@@ -144,22 +164,60 @@ def address(text: str, key: bytes) -> str | None:
     return ".".join(reversed(out))
 
 
+def address6(text: str, key: bytes) -> str | None:
+    """An IPv6 address in groups of hexadecimal digits: groups of zero stay, others keep their number of digits.
+
+    An address gets the same pseudonym with or without leading zeros and ``::``, in either letter case.
+    """
+    if "::" not in text and text.count(":") != 7 or not any(c.isdigit() for c in text):
+        return None
+    try:
+        groups = ipaddress.IPv6Address(text).exploded.split(":")
+    except ValueError:
+        return None
+    spans = [(1 << 4 * (len(f"{int(g, 16):x}") - 1), 1 << 4 * len(f"{int(g, 16):x}")) if int(g, 16) else (0, 1) for g in groups]
+    value = size = 0
+    for g, (low, high) in zip(groups, spans, strict=True):
+        value, size = value * (high - low) + int(g, 16) - low, (size or 1) * (high - low)
+    value = permute(value, size, key, b"ipv6" + bytes(b.bit_length() for _, b in spans))
+    new = []
+    for low, high in reversed(spans):
+        value, k = divmod(value, high - low)
+        new.append(low + k)
+    new.reverse()
+    before, _, after = text.partition("::")
+    head, tail = ([x for x in part.split(":") if x] for part in (before, after))
+    make = lambda old, n: (f"{n:X}" if old.upper() == old and old.lower() != old else f"{n:x}").zfill(len(old))
+    at = len(groups) - len(tail)
+    out = [":".join(map(make, head, new)), ":".join(map(make, tail, new[at:]))]
+    return "::".join(out) if "::" in text else out[0]
+
+
 #: The days that a date may name.
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
 def date(text: str, key: bytes) -> str | None:
-    """A calendar date of 1900 to 2099 as Y-M-D, D.M.Y or M/D/Y; padding stays as it can."""
+    """A calendar date of 1900 to 2099 as Y-M-D, D.M.Y or M/D/Y.
+
+    Dates whose month and day have as many digits are permuted among themselves, so one written without
+    leading zeros keeps its length, and a date gets the same pseudonym however it is written.
+    """
     sep = next(c for c in text if not c.isdigit())
     p = text.split(sep)
     order = (0, 1, 2) if len(p[0]) == 4 else (2, 0, 1) if sep == "/" else (2, 1, 0)
     try:
-        day = datetime.date(*(int(p[i]) for i in order)).toordinal()
+        old = datetime.date(*(int(p[i]) for i in order))
     except ValueError:
         return None
-    if not _FIRST <= day <= _LAST:
+    if not _FIRST <= old.toordinal() <= _LAST:
         return None
-    new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, b"date"))
+    shape = lambda d: (d.month > 9, d.day > 9)
+    new = old
+    while True:
+        new = datetime.date.fromordinal(_FIRST + permute(new.toordinal() - _FIRST, _LAST - _FIRST + 1, key, b"date"))
+        if shape(new) == shape(old):
+            break
     got: list[str] = [""] * 3
     for i, n in zip(order, (new.year, new.month, new.day), strict=True):
         got[i] = str(n).zfill(len(p[i]))
@@ -218,6 +276,7 @@ _KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("iban", r"[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", iban),
     ("date", r"\d{4}-\d\d?-\d\d?(?![\d-])|\d\d?[./-]\d\d?[./-]\d{4}(?!\d)", date),
     ("address", r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
+    ("address6", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])", address6),
     ("social", r"\d{3}-\d\d-\d{4}(?![\d-])", social),
     ("card", r"\d(?:[ -]?\d){12,18}(?![\d])", card),
     ("phone", r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+[1-9]\d{0,14}(?:[ .-]?\(\d{1,5}\)[ .-]?\d{0,12}|(?:\.|[ -](?!\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)))\d{1,12}){0,7}(?<=\d\d)(?!\d)", phone),
@@ -234,7 +293,7 @@ def _pseudonym(kind: str, text: str, key: bytes) -> str | None:
     return _MAKE[kind](text, subkey)
 
 
-def pseudonymize(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, list[tuple[int, int, str]]]:
+def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with pseudonyms in place, and where they are: (from, to, kind) in characters."""
     if not text or not _MAY.search(text):
         return text, []
@@ -279,28 +338,35 @@ def _other(text: str, m: re.Match, key: bytes) -> tuple[str | None, str, int]:
     return None, "", run.end() if run else m.start() + 1
 
 
-def replace_private(
-    docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text"
-) -> DataFrame:
+def replace_private(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """Replace ``text`` by its pseudonymized form and append pii_spans array<struct<from, to, kind>>.
 
     Spans count characters of the new text. Null and empty texts stay and have no spans; values that fail
-    validation stay. A column named pii_spans is replaced; others, and rows repeated, stay as they are.
+    validation stay. Whole texts are searched, however long; repeated rows are treated alike; an empty table
+    gives no rows. An input column named pii_spans is replaced by the output, all others stay.
     """
-    fields = "_new string, pii_spans array<struct<`from`:int,`to`:int,kind:string>>"
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "pii_spans" or c == text])
 
-    def make(texts):
+    def make(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
         got = [pseudonymize(t, key) for t in texts]
-        return [[t for t, _ in got], [[{"from": a, "to": b, "kind": k} for a, b, k in s] for _, s in got]]
+        spans = [[{"from": a, "to": b, "kind": k} for a, b, k in s] for _, s in got]
+        return pa.array([t for t, _ in got], pa.string()), pa.array(spans, _SPANS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            i = b.schema.get_field_index(text)
+            new, spans = make(b.column(i).to_pylist())
+            yield b.set_column(i, text, new).append_column("pii_spans", spans)
+
+    fields = T.StructType([*kept.schema.fields, T.StructField("pii_spans", from_arrow_type(_SPANS))])
+    return kept.mapInArrow(run, fields)
+
 
-    done = per_text(docs, text, fields, make)
-    names = [c for c in docs.columns if c.lower() not in ("_new", "pii_spans")]
-    return done.select(
-        *[F.col("_new").alias(c) if c == text else F.col(f"`{c}`") for c in names], F.col("pii_spans")
-    )
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("kind", pa.string())]))
 
 
 def op7_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
+    """Every document with its personal data replaced, under the application's key."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace_private(docs).select("doc_id", "text", F.size("pii_spans").alias("n_replaced"), "pii_spans")
+    done = replace_private(docs, private_key(spark))
+    return done.select("doc_id", "text", F.size("pii_spans").alias("n_replaced"), "pii_spans")
