@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared
 folder and reads it again for the next. All but the last return the columns of ``documents``. Null and
 empty texts pass through every stage (the quality stage judges them as empty pages); an empty table stays
-empty; columns that ``documents`` has besides are kept up to the last stage.
+empty; columns that ``documents`` has besides are kept up to the last stage, whatever their names. Rows
+repeated in full pass alike, but that one of each class of near duplicates stays. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_bpe import public_files, round_trip
+from millrace.llm.byte_bpe import round_trip
+from millrace.llm.common import with_outputs
 from millrace.llm.decontamination import find_contamination, verdicts
 from millrace.llm.near_duplicates import drop_near_duplicates
-from millrace.llm.pseudonyms import replace_private
+from millrace.llm.pseudonyms import private_key, replace_private
 from millrace.llm.quality import judge
 from millrace.session import materialize
 
@@ -22,7 +24,8 @@ from millrace.session import materialize
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(docs, labels).where("keep").select(*docs.columns)
+    judged, own = with_outputs(docs, ["doc_id", "text", "lang", "source", "n_chars"], lambda d: judge(d, labels))
+    return judged.where("keep").select(*own)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +35,15 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies inside benchmark windows go."""
-    found = verdicts(find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return found.where("not contaminated").select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found, own = with_outputs(docs, ["text"], lambda d: verdicts(find_contamination(d, benchmark)))
+    return found.where("not contaminated").select(*own)
 
 
 def pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets pseudonyms of the same format, so n_chars stays right."""
-    return replace_private(docs).select(*docs.columns)
+    """Personal data gets pseudonyms of the same length, so n_chars stays right."""
+    done, own = with_outputs(docs, ["text"], lambda d: replace_private(d, private_key(spark)))
+    return done.select(*own)
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
