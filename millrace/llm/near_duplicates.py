@@ -8,11 +8,14 @@ verified by their exact weighted Jaccard similarity, and the links' components a
 
 Equal texts are one node from the start. Within a bucket no all-pairs list is made: its first member is
 compared with all, components are formed, and only members of different components are compared further,
-a slice of leaders at a time, until every pair of different components has been compared.
+a slice of leaders at a time, until every pair of different components has been compared. Before texts are
+fetched a pair's samples are compared: with 16 bits of each of the 64, a pair similar enough agrees in fewer
+than the least number asked for once in some ten million cases.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -23,16 +26,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import per_text, slices, small_join, words
+from millrace.llm.common import per_text, slices, small_join, unused, words
 from millrace.llm.components import connected_components, merged_components
-from millrace.session import BROADCAST_BYTES, materialize
-
-#: Words in a shingle; least similarity; bands and samples in each; leaders of a bucket in the first further round.
-SHINGLE, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 16, 4, 8
-#: Sums of weights, by a hash of the shingle, that bound a pair's similarity from above.
-BINS = 128
+from millrace.session import BROADCAST_BYTES, discard, materialize
+
+#: Words in a shingle; least similarity; leaders of a bucket in the first further round.
+SHINGLE, LEAST, LEADERS = 5, 0.8, 8
+#: Share of pairs just similar enough that may share no band; samples a band at most.
+LOST, MOST_ROWS = 2.5e-4, 4
+#: Standard deviations below the mean from which on a pair's agreeing samples are too few.
+SLACK = 6.0
 #: Cells of the table of word frequencies (a fixed 2 MB); rows of the table of random variates.
 CELLS, VARIATES = 1 << 18, 1 << 15
+
+
+def banding(least: float) -> tuple[int, int]:
+    """Bands and samples in each: the longest bands that lose at most LOST of the pairs of this similarity."""
+    need = lambda rows: math.ceil(math.log(LOST) / math.log1p(-(least**rows)))
+    rows = max((r for r in range(1, MOST_ROWS + 1) if need(r) * r <= 200), default=1)
+    return need(rows), rows
+
+
+def least_agreement(least: float, samples: int) -> int:
+    """Samples in which a pair of this similarity agrees, but for one in ten million or so."""
+    return max(0, math.floor(samples * least - SLACK * math.sqrt(samples * least * (1 - least))))
+
+
 #: Pairs of id and key (64 bytes each in a hash table) that may be broadcast; more are joined by shuffle.
 PAIRS = BROADCAST_BYTES // 64
 #: Bytes of text handled at once in a task.
@@ -123,16 +142,17 @@ def _variates(samples: int, seed: int = 7) -> np.ndarray:
     return out
 
 
-def band_hashes(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int, bands: int, rows: int) -> np.ndarray:
-    """A row of ``bands`` hashes for each text that has shingles (zeros for the rest).
+def band_hashes(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """``bands`` hashes of each text that has shingles (zeros for the rest), and 16 bits of each sample.
 
     A sample is the shingle with the least ln a = ln c - r (floor(ln w / r + beta) - beta) - r, with that
     floor; variates come from a table by the shingle's hash, so equal shingles of equal weight agree in all
-    documents.
+    documents. Of shingles that share a row of the table the one of greatest id is taken.
     """
     out = np.zeros((texts, bands), np.uint64)
+    short = np.zeros((texts, bands * rows), np.uint16)
     if not len(doc):
-        return out.view(np.int64)
+        return out.view(np.int64), short.view(np.int16)
     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     which = doc[start]
     size = np.diff(np.append(start, len(doc)))
@@ -146,20 +166,11 @@ def band_hashes(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int
         a = v[:, 3] - v[:, 2] * t
         best = np.flatnonzero(a == np.minimum.reduceat(a, start)[group])
         sample = np.zeros(len(start), np.uint64)
-        sample[group[best]] = (row[best].astype(np.uint64) << np.uint64(32)) ^ (t[best].astype(np.int64) & 0xFFFFFFFF).astype(np.uint64)
+        sample[group[best]] = _mix((ids[best] << np.uint64(20)) ^ (t[best].astype(np.int64) & 0xFFFFF).astype(np.uint64))
+        short[which, s] = (sample >> np.uint64(40)).astype(np.uint16)
         b = s // rows
         out[which, b] = _mix(out[which, b] + sample + np.uint64(s + 1))
-    return out.view(np.int64)
-
-
-def weight_bins(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """A row of BINS sums of weights for each text.
-
-    Sums of two texts differ by no more, in all, than the weights themselves do, so their differences bound
-    the weighted symmetric difference from below.
-    """
-    at = doc * BINS + (ids % np.uint64(BINS)).astype(np.int64)
-    return np.bincount(at, weight.astype(np.float64), texts * BINS).reshape(texts, BINS).astype(np.float32)
+    return out.view(np.int64), short.view(np.int16)
 
 
 def similarities(left: list[str | None], right: list[str | None], idf: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -180,45 +191,48 @@ def _members(nodes: DataFrame) -> DataFrame:
         F.xxhash64("band", "h").alias("bucket"), "node", "total", "n"
     )
     first = F.struct((-F.col("n")).alias("copies"), F.xxhash64("node").alias("h"), "node", "total")
-    leads = materialize(
+    leads = (
         spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.min(first).alias("lead")).where("all > 1")
-        .select("bucket", F.struct("lead.node", "lead.total").alias("lead")),
-        "leads",
+        .select("bucket", F.struct("lead.node", "lead.total").alias("lead"))
     )
-    return small_join(spread.drop("n"), leads, leads.count(), "bucket")
+    # Large at any scale worth it, so it is dealt by bucket whatever the size.
+    return materialize(spread.drop("n").join(leads.hint("merge"), "bucket"), "members")
 
 
-def _near_totals(a: str, b: str):
+def _near_totals(a: str, b: str, least: float):
     """Whether total weights allow enough similarity."""
-    return F.least(a, b) >= (LEAST - 1e-5) * F.greatest(a, b)
+    return F.least(a, b) >= (least - 1e-5) * F.greatest(a, b)
 
 
-def _near_bins(a: str, b: str, total):
-    """Whether the sums of weights allow enough similarity: |A - B| is at most (1 - J) / (1 + J) of |A| + |B|."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return apart <= ((1 - LEAST) / (1 + LEAST) + 1e-4) * total
+def _agree(a: str, b: str, least: float, samples: int):
+    """Whether enough samples agree."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return same >= least_agreement(least, samples)
 
 
-def _first_pairs(members: DataFrame) -> DataFrame:
-    """Each bucket's lead against all others."""
-    return (
-        members.where((F.col("node") != F.col("lead.node")) & _near_totals("total", "lead.total"))
+def _first_pairs(members: DataFrame, nodes: DataFrame, least: float, samples: int) -> DataFrame:
+    """Each bucket's lead against all others, where totals and samples allow it."""
+    pairs = (
+        members.where((F.col("node") != F.col("lead.node")) & _near_totals("total", "lead.total", least))
         .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         .distinct()
     )
+    end = lambda e: nodes.select(F.col("node").alias(e), F.col("sketch").alias(f"of_{e}")).hint("merge")
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(_agree("of_a", "of_b", least, samples)).select("a", "b")
 
 
 def _more_pairs(
-    members: DataFrame, comps: DataFrame, progress: DataFrame | None, leaders: int, bins: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+    members: DataFrame, comps: DataFrame, progress: DataFrame | None, leaders: int, nodes: DataFrame, least: float, samples: int
+) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """Pairs still to compare in buckets of several components, those buckets' members and their progress.
 
     A bucket's anchor is the component with most members when its turn first comes. Only members outside
     it lead, ``leaders`` or so at a time in order of their hash (so that the same lead in all buckets),
     against the anchor's members and those of other components behind them. As components only merge,
-    every pair of different components has been compared once the last slice has led.
+    every pair of different components has been compared once the last slice has led. Last come the tables
+    that aren't needed once the pairs are there.
     """
-    m = members.select("bucket", "node", "total").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    m = members.select("bucket", "node", "total").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     m = materialize(m, "labelled")
     sizes = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     if progress is None:
@@ -237,20 +251,20 @@ def _more_pairs(
     )
     rest = materialize(rest, "progress")
     m = m.withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30))
-    active = small_join(m, rest, rest.count(), "bucket")
+    active = materialize(m.join(rest.hint("merge"), "bucket"), "active")
     kept = active.select("bucket", "node", "total")
-    active = materialize(active.join(bins, "node"), "active")
-    lead = active.where("comp <> top and u >= `from` and u < `to`").alias("l")
-    other = active.select("bucket", "node", "total", "bins", "comp", "u").alias("m")
+    signed = active.join(nodes.select("node", "sketch").hint("merge"), "node")
+    lead = signed.where("comp <> top and u >= `from` and u < `to`").alias("l")
+    other = signed.select("bucket", "node", "total", "sketch", "comp", "u").alias("m")
     behind = (F.col("m.comp") == F.col("l.top")) | (F.col("m.u") > F.col("l.u"))
     pairs = (
-        other.join(lead, F.col("m.bucket") == F.col("l.bucket"))
-        .where(behind & (F.col("m.comp") != F.col("l.comp")) & _near_totals("m.total", "l.total"))
-        .where(_near_bins("m.bins", "l.bins", F.col("m.total") + F.col("l.total")))
+        other.join(lead.hint("merge"), F.col("m.bucket") == F.col("l.bucket"))
+        .where(behind & (F.col("m.comp") != F.col("l.comp")) & _near_totals("m.total", "l.total", least))
+        .where(_agree("m.sketch", "l.sketch", least, samples))
         .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b"))
         .distinct()
     )
-    return pairs, kept, rest.select("bucket", F.col("to").alias("from"), "anchor")
+    return pairs, kept, rest.select("bucket", F.col("to").alias("from"), "anchor"), [m, rest, active]
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
@@ -263,15 +277,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(asked: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
-    """(node, text) of the asked nodes, read from one row of each."""
-    who = nodes.join(asked, "node", "left_semi")
-    who = materialize(who.select("node", F.col("key").alias("k"), F.col("least.doc_id").alias("who")), "asked")
+def _texts_of(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, text) of the pairs' nodes, read from one row of each."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    who = nodes.join(asked, "node", "left_semi").select("node", F.col("key").alias("k"), F.col("least.doc_id").alias("who"))
+    who = materialize(who, "asked")
     found = small_join(base, who, who.count(), F.col("doc_id").eqNullSafe(F.col("who"))).where("k = key")
-    return materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    discard(who)
+    return texts
 
 
 def near_duplicates(
@@ -279,15 +296,19 @@ def near_duplicates(
 ) -> DataFrame:
     """A row for every document: doc_id, key (of its text), class_id, class_size, first.
 
-    class_id is the least doc_id of the class. ``first`` marks the rows that stay when one of each class
-    is kept: those of least (doc_id, key); rows that repeat both are marked alike. Texts without words
-    (null, empty, punctuation) are nobody's duplicates: each is a class of its own id, of size 1. Null ids
-    sort last. An empty table gives no rows; other columns are ignored.
+    Two texts of a similarity of ``least`` or more are linked, but for one pair in 4,000 of just that
+    similarity, and linked texts share a class. class_id is the least doc_id of the class. ``first`` marks the
+    rows that stay when one of each class is kept: those of least (doc_id, key); rows that repeat both are
+    marked alike. Texts without words (null, empty, punctuation) are nobody's duplicates: each is a class of
+    its own id, of size 1. Whole texts count, however long. Null ids sort last. An empty table gives no rows;
+    other columns are ignored.
     """
     spark = docs.sparkSession
-    body = F.col(text)
+    bands, per_band = banding(least)
+    samples = bands * per_band
+    body = F.col(f"`{text}`")
     base = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.unhex(F.md5(F.coalesce(body, F.lit("")).cast("binary"))).alias("key"),
         body.alias("text"),
     )
@@ -296,43 +317,46 @@ def near_duplicates(
 
     def sign(texts):
         doc, ids, weight, n = weighted_shingles(texts, idf.value)
-        bands = band_hashes(doc, ids, weight, len(texts), BANDS, ROWS)
-        return [n.tolist(), np.bincount(doc, weight.astype(np.float64), len(texts)).tolist(), list(bands)]
+        hashes, short = band_hashes(doc, ids, weight, len(texts), bands, per_band)
+        return [n.tolist(), np.bincount(doc, weight.astype(np.float64), len(texts)).tolist(), list(hashes), list(short)]
 
-    rows = materialize(per_text(base, "text", "n_words long, total float, bands array<long>", sign, BATCH).drop("text"), "signed")
+    signed = per_text(base, "text", "n_words long, total float, bands array<long>, sketch array<short>", sign, BATCH)
+    signed = materialize(signed.drop("text"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    nodes = materialize(
-        rows.where("n_words > 0")
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-        .withColumn("node", F.monotonically_increasing_id()),
-        "nodes",
-    )
-    members = materialize(_members(nodes), "members")
-    texts = _texts_of(members.select("node").distinct(), nodes, base)
-
-    def sums(rows):
-        doc, ids, weight, _ = weighted_shingles(rows, idf.value)
-        return [list(weight_bins(doc, ids, weight, len(rows)))]
-
-    bins = materialize(per_text(texts, "text", "bins array<float>", sums, BATCH).drop("text"), "bins")
-    pairs, progress, tried, comps, leaders = _first_pairs(members), None, None, None, LEADERS
+    of_key = [F.first(c).alias(c) for c in ("total", "bands", "sketch")]
+    nodes = signed.where("n_words > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), *of_key)
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = materialize(signed.select("doc_id", "key", "n_words"), "rows")
+    discard(signed)
+    members = _members(nodes)
+    pairs, progress, tried, comps, leaders, spent = _first_pairs(members, nodes, least, samples), None, None, None, LEADERS, [members]
     while True:
         pairs = materialize(pairs, "pairs")
+        if comps is not None:
+            discard(*spent[:1])  # the labelled members; what is active leads to the next round
+        if comps is None or not pairs.isEmpty():
+            texts = _texts_of(pairs, nodes, base)
+            links = materialize(_verify(pairs, texts, idf, least), "links")
+            discard(texts)
+            old = comps
+            if comps is None:
+                comps = connected_components(links)
+            elif not links.isEmpty():
+                comps = merged_components(comps, links)
+            discard(links, old if old is not comps else None)
         tried = pairs if tried is None else tried.union(pairs)
-        links = materialize(_verify(pairs, texts, idf, least), "links")
-        if comps is None:
-            comps = connected_components(links)
-        elif not links.isEmpty():
-            comps = merged_components(comps, links)
-        pairs, members, progress = _more_pairs(members, comps, progress, leaders, bins)
+        before = spent
+        pairs, members, progress, spent = _more_pairs(members, comps, progress, leaders, nodes, least, samples)
+        discard(*before)
         if progress.isEmpty():
             break
         pairs, leaders = pairs.join(tried, ["a", "b"], "left_anti"), 8 * leaders
+    discard(*spent)
     classes = nodes.select("node", "key", "n", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = classes.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min("least").alias("head"))
     by_key = materialize(classes.select("key", "comp").join(whole, "comp").select("key", "class_size", "head"), "classes")
-    joined = rows.select("doc_id", "key", "n_words").join(by_key, "key", "left")
+    discard(nodes, comps)
+    joined = rows.join(by_key, "key", "left")
     alone = F.col("n_words") == 0
     return joined.select(
         "doc_id",
@@ -343,25 +367,29 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents with one of each class kept (all columns as they were).
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """The documents with one of each class kept (all columns as they were, whatever their names).
 
     Of rows that repeat both id and text one stays; texts without words all stay.
     """
-    classes = materialize(near_duplicates(docs, text, doc_id), "classed")
-    pair = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"))
+    classes = materialize(near_duplicates(docs, text, doc_id, least), "classed")
+    left_id, left_key = unused(docs, "left_id"), unused(docs, "left_key")
+    key = unused(docs, "key")
+    pair = lambda df: df.select(F.col("doc_id").alias(left_id), F.col("key").alias(left_key))
     gone = materialize(pair(classes.where("not first")).distinct(), "gone")
     often = classes.where("first and class_size > 1").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
     often = materialize(pair(often.where("n > 1")), "often")
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    discard(classes)
+    own_id = F.col(f"`{doc_id}`").cast("long")
+    same = own_id.eqNullSafe(F.col(left_id)) & (F.col(key) == F.col(left_key))
 
     def met(df: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
         return df.join(F.broadcast(pairs) if pairs.count() <= PAIRS else pairs, same, how)
 
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))))
     out = met(keyed, gone, "left_anti")
     if not often.isEmpty():
-        once = met(out, often, "left_semi").dropDuplicates([doc_id, "_key"])
+        once = met(out, often, "left_semi").dropDuplicates([doc_id, key])
         out = met(out, often, "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 

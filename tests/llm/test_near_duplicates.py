@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -123,16 +124,74 @@ def test_vectors_equal_plain_similarity():
     assert np.allclose(got, want, atol=1e-5)
 
 
-def test_bins_bound_the_difference():
-    rng = random.Random(4)
-    idf = np.random.default_rng(4).uniform(1, 9, N.CELLS).astype(np.float32)
-    texts = [" ".join(rng.choices("abcdefghijkl", k=rng.randrange(1, 300))) for _ in range(40)]
-    doc, ids, weight, _ = N.weighted_shingles(texts, idf)
-    bins = N.weight_bins(doc, ids, weight, len(texts))
-    total = bins.sum(1)
-    s = N.similarities(texts[:-1], texts[1:], idf)
-    apart = np.abs(bins[1:] - bins[:-1]).sum(1)
-    assert (apart <= (1 - s) / (1 + s) * (total[1:] + total[:-1]) + 1e-2).all()
+def all_pairs(texts, least, idf_of):
+    """Every pair of texts of that similarity, by shared shingles: those without any have none."""
+    sets = [shingles(x, idf_of) for x in texts]
+    sums = [sum(s.values()) for s in sets]
+    at = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            at.setdefault(g, []).append(i)
+    found = {}
+    for i, s in enumerate(sets):
+        low = Counter()
+        for g, w in s.items():
+            for j in at[g]:
+                if j < i:
+                    low[j] += min(w, sets[j][g])
+        for j, both in low.items():
+            if both >= (least - 1e-6) * (sums[i] + sums[j] - both):
+                found[j, i] = both / (sums[i] + sums[j] - both)
+    return found
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_recall_against_all_pairs_of_real_documents(spark, least):
+    """No class of the whole table is torn or joined wrongly, at the usual similarity and at a lower one."""
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    count, n = N.word_frequencies(docs)
+    idf = N.inverse_frequencies(count, n)
+    cell = lambda w: idf[xxhash.xxh3_64_intdigest(w.encode()) & (N.CELLS - 1)]
+    texts = sorted({t for _, t in rows if N.words(t)})
+    links = all_pairs(texts, least, lru_cache(None)(cell))
+    head = list(range(len(texts)))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i, j in links:
+        head[find(i)] = find(j)
+    place = {t: i for i, t in enumerate(texts)}
+    low = {}
+    for d, t in rows:
+        if t in place:
+            c = find(place[t])
+            low[c] = min(low.get(c, d), d)
+    want = {d: low[find(place[t])] if t in place else d for d, t in rows}
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(docs, least=least).collect()}
+    together = [got[a] == got[b] for (i, j) in links for a, b in [(low_id(rows, texts[i]), low_id(rows, texts[j]))]]
+    assert len(links) >= (80 if least < 0.8 else 5) and sum(together) >= 0.999 * len(together)
+    assert got == want
+
+
+def low_id(rows, text):
+    return min(d for d, t in rows if t == text)
+
+
+def test_bands_and_agreement():
+    assert N.banding(0.8) == (16, 4) and N.banding(0.5)[0] * N.banding(0.5)[1] <= 200
+    for least in (0.5, 0.8, 0.95):
+        bands, rows = N.banding(least)
+        assert (1 - least**rows) ** bands <= N.LOST
+        from math import comb
+
+        n, k = bands * rows, N.least_agreement(least, bands * rows)
+        assert sum(comb(n, i) * least**i * (1 - least) ** (n - i) for i in range(k)) < 1e-6
 
 
 def test_samples_agree_as_often_as_weights():
@@ -144,7 +203,8 @@ def test_samples_agree_as_often_as_weights():
     keep = np.isin(a_ids, both)
     b_ids, b_w = a_ids[keep], w[keep] * np.float32(0.9)
     doc = np.repeat([0, 1], [len(a_ids), len(b_ids)])
-    h = N.band_hashes(doc, np.concatenate([a_ids, b_ids]), np.concatenate([w, b_w]), 2, 400, 1)
+    h, short = N.band_hashes(doc, np.concatenate([a_ids, b_ids]), np.concatenate([w, b_w]), 2, 400, 1)
+    assert ((h[0] == h[1]) == (short[0] == short[1])).mean() > 0.99
     want = b_w.sum() / w.sum()
     assert abs((h[0] == h[1]).mean() - want) < 4 * np.sqrt(want * (1 - want) / 400) and n
 
@@ -162,7 +222,3 @@ def test_components(spark):
             head[a] = head[b] = min(head[a], head[b])
     assert got == {x: c for x, c in head.items()}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
-
-
-def test_recall_of_the_bands():
-    assert 1 - (1 - N.LEAST**N.ROWS) ** N.BANDS > 0.999
