@@ -9,8 +9,9 @@ verified by their exact weighted Jaccard similarity, and the links' components a
 Equal texts are one node from the start. Within a bucket no all-pairs list is made: its first member is
 compared with all, components are formed, and only members of different components are compared further,
 a slice of leaders at a time, until every pair of different components has been compared. Before texts are
-fetched a pair's samples are compared: with 16 bits of each of the 64, a pair similar enough agrees in fewer
-than the least number asked for once in some ten million cases.
+fetched a pair is held against two bounds: sums of weights by a hash of the shingle, which are exact and
+sharp for short texts, and the samples themselves, sharp for long ones: a pair similar enough agrees in
+fewer of them than the least number asked for in less than one case in 100,000.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from millrace.session import BROADCAST_BYTES, discard, materialize
 SHINGLE, LEAST, LEADERS = 5, 0.8, 8
 #: Share of pairs just similar enough that may share no band; samples a band at most.
 LOST, MOST_ROWS = 2.5e-4, 4
+#: Sums of weights, by a hash of the shingle, that bound a pair's similarity from above; steps that a total is parted in.
+BINS, STEPS = 64, 32767
 #: Standard deviations below the mean from which on a pair's agreeing samples are too few.
 SLACK = 6.0
 #: Cells of the table of word frequencies (a fixed 2 MB); rows of the table of random variates.
@@ -48,7 +51,7 @@ def banding(least: float) -> tuple[int, int]:
 
 
 def least_agreement(least: float, samples: int) -> int:
-    """Samples in which a pair of this similarity agrees, but for one in ten million or so."""
+    """Samples in which a pair of this similarity agrees, but for less than one case in 100,000."""
     return max(0, math.floor(samples * least - SLACK * math.sqrt(samples * least * (1 - least))))
 
 
@@ -173,6 +176,18 @@ def band_hashes(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int
     return out.view(np.int64), short.view(np.int16)
 
 
+def weight_bins(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """A row of BINS sums of weights for each text, as shares of its total in steps of 1/STEPS.
+
+    Sums of two texts differ by no more, in all, than the weights themselves do, so their differences bound
+    the weighted symmetric difference from below, but for half a step a bin.
+    """
+    at = doc * BINS + (ids % np.uint64(BINS)).astype(np.int64)
+    sums = np.bincount(at, weight.astype(np.float64), texts * BINS).reshape(texts, BINS)
+    total = sums.sum(1, keepdims=True)
+    return np.rint(np.divide(sums, total, out=np.zeros_like(sums), where=total > 0) * STEPS).astype(np.int16)
+
+
 def similarities(left: list[str | None], right: list[str | None], idf: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The weighted Jaccard similarity of each pair of texts: sum of least by sum of greatest weights."""
     n = len(left)
@@ -204,21 +219,28 @@ def _near_totals(a: str, b: str, least: float):
     return F.least(a, b) >= (least - 1e-5) * F.greatest(a, b)
 
 
-def _agree(a: str, b: str, least: float, samples: int):
-    """Whether enough samples agree."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same >= least_agreement(least, samples)
+def _may_be_similar(a: str, b: str, least: float, samples: int):
+    """Whether sums of weights and samples of both sides (structs of total, mass, sketch) allow enough similarity.
+
+    |A - B| is at most (1 - J) / (1 + J) of |A| + |B|.
+    """
+    of = lambda side, field: F.col(f"{side}.{field}")
+    steps = F.zip_with(of(a, "mass"), of(b, "mass"), lambda x, y: F.abs(x * of(a, "total").cast("double") - y * of(b, "total").cast("double")))
+    apart = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / STEPS
+    most = (1 - least) / (1 + least) + 1e-4 + BINS / (2 * STEPS)
+    same = F.aggregate(F.zip_with(of(a, "sketch"), of(b, "sketch"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return (apart <= most * (of(a, "total") + of(b, "total"))) & (same >= least_agreement(least, samples))
 
 
 def _first_pairs(members: DataFrame, nodes: DataFrame, least: float, samples: int) -> DataFrame:
-    """Each bucket's lead against all others, where totals and samples allow it."""
+    """Each bucket's lead against all others, where the bounds allow it."""
     pairs = (
         members.where((F.col("node") != F.col("lead.node")) & _near_totals("total", "lead.total", least))
         .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         .distinct()
     )
-    end = lambda e: nodes.select(F.col("node").alias(e), F.col("sketch").alias(f"of_{e}")).hint("merge")
-    return pairs.join(end("a"), "a").join(end("b"), "b").where(_agree("of_a", "of_b", least, samples)).select("a", "b")
+    end = lambda e: nodes.select(F.col("node").alias(e), F.struct("total", "mass", "sketch").alias(f"of_{e}")).hint("merge")
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(_may_be_similar("of_a", "of_b", least, samples)).select("a", "b")
 
 
 def _more_pairs(
@@ -253,14 +275,14 @@ def _more_pairs(
     m = m.withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30))
     active = materialize(m.join(rest.hint("merge"), "bucket"), "active")
     kept = active.select("bucket", "node", "total")
-    signed = active.join(nodes.select("node", "sketch").hint("merge"), "node")
+    signed = active.drop("total").join(nodes.select("node", F.struct("total", "mass", "sketch").alias("of")).hint("merge"), "node")
     lead = signed.where("comp <> top and u >= `from` and u < `to`").alias("l")
-    other = signed.select("bucket", "node", "total", "sketch", "comp", "u").alias("m")
+    other = signed.select("bucket", "node", "of", "comp", "u").alias("m")
     behind = (F.col("m.comp") == F.col("l.top")) | (F.col("m.u") > F.col("l.u"))
     pairs = (
         other.join(lead.hint("merge"), F.col("m.bucket") == F.col("l.bucket"))
-        .where(behind & (F.col("m.comp") != F.col("l.comp")) & _near_totals("m.total", "l.total", least))
-        .where(_agree("m.sketch", "l.sketch", least, samples))
+        .where(behind & (F.col("m.comp") != F.col("l.comp")) & _near_totals("m.of.total", "l.of.total", least))
+        .where(_may_be_similar("m.of", "l.of", least, samples))
         .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b"))
         .distinct()
     )
@@ -318,12 +340,12 @@ def near_duplicates(
     def sign(texts):
         doc, ids, weight, n = weighted_shingles(texts, idf.value)
         hashes, short = band_hashes(doc, ids, weight, len(texts), bands, per_band)
-        return [n.tolist(), np.bincount(doc, weight.astype(np.float64), len(texts)).tolist(), list(hashes), list(short)]
+        return [n.tolist(), np.bincount(doc, weight.astype(np.float64), len(texts)).tolist(), list(hashes), list(short), list(weight_bins(doc, ids, weight, len(texts)))]
 
-    signed = per_text(base, "text", "n_words long, total float, bands array<long>, sketch array<short>", sign, BATCH)
+    signed = per_text(base, "text", "n_words long, total float, bands array<long>, sketch array<short>, mass array<short>", sign, BATCH)
     signed = materialize(signed.drop("text"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    of_key = [F.first(c).alias(c) for c in ("total", "bands", "sketch")]
+    of_key = [F.first(c).alias(c) for c in ("total", "bands", "sketch", "mass")]
     nodes = signed.where("n_words > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), *of_key)
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = materialize(signed.select("doc_id", "key", "n_words"), "rows")

@@ -175,7 +175,7 @@ def test_recall_against_all_pairs_of_real_documents(spark, least):
     want = {d: low[find(place[t])] if t in place else d for d, t in rows}
     got = {r.doc_id: r.class_id for r in N.near_duplicates(docs, least=least).collect()}
     together = [got[a] == got[b] for (i, j) in links for a, b in [(low_id(rows, texts[i]), low_id(rows, texts[j]))]]
-    assert len(links) >= (80 if least < 0.8 else 5) and sum(together) >= 0.999 * len(together)
+    assert len(links) >= (60 if least < 0.8 else 5) and sum(together) >= 0.999 * len(together)
     assert got == want
 
 
@@ -191,7 +191,20 @@ def test_bands_and_agreement():
         from math import comb
 
         n, k = bands * rows, N.least_agreement(least, bands * rows)
-        assert sum(comb(n, i) * least**i * (1 - least) ** (n - i) for i in range(k)) < 1e-6
+        assert sum(comb(n, i) * least**i * (1 - least) ** (n - i) for i in range(k)) < 1e-5
+
+
+def test_bins_bound_the_difference():
+    rng = random.Random(4)
+    idf = np.random.default_rng(4).uniform(1, 9, N.CELLS).astype(np.float32)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=rng.randrange(1, 300))) for _ in range(40)]
+    doc, ids, weight, _ = N.weighted_shingles(texts, idf)
+    mass, total = N.weight_bins(doc, ids, weight, len(texts)), np.bincount(doc, weight, len(texts))
+    s = N.similarities(texts[:-1], texts[1:], idf)
+    sums = mass * total[:, None] / N.STEPS
+    apart = np.abs(sums[1:] - sums[:-1]).sum(1)
+    assert (apart <= ((1 - s) / (1 + s) + 1e-4 + N.BINS / (2 * N.STEPS)) * (total[1:] + total[:-1])).all()
+    assert N.weight_bins(*N.weighted_shingles([None], idf)[:3], 1).tolist() == [[0] * N.BINS]
 
 
 def test_samples_agree_as_often_as_weights():
