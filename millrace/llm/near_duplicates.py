@@ -11,7 +11,7 @@ compared with all, components are formed, and only members of different componen
 a slice of leaders at a time, until every pair of different components has been compared. Before texts are
 fetched a pair is held against two bounds: sums of weights by a hash of the shingle, which are exact and
 sharp for short texts, and the samples themselves, sharp for long ones: a pair similar enough agrees in
-fewer of them than the least number asked for in less than one case in 100,000.
+fewer of them than the least number asked for in less than one case in 10,000.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ SHINGLE, LEAST, LEADERS = 5, 0.8, 8
 #: Share of pairs just similar enough that may share no band; samples a band at most.
 LOST, MOST_ROWS = 2.5e-4, 4
 #: Sums of weights, by a hash of the shingle, that bound a pair's similarity from above; steps that a total is parted in.
-BINS, STEPS = 64, 32767
+BINS, STEPS = 256, 32767
 #: Standard deviations below the mean from which on a pair's agreeing samples are too few.
-SLACK = 6.0
+SLACK = 5.0
 #: Cells of the table of word frequencies (a fixed 2 MB); rows of the table of random variates.
 CELLS, VARIATES = 1 << 18, 1 << 15
 
@@ -51,7 +51,7 @@ def banding(least: float) -> tuple[int, int]:
 
 
 def least_agreement(least: float, samples: int) -> int:
-    """Samples in which a pair of this similarity agrees, but for less than one case in 100,000."""
+    """Samples in which a pair of this similarity agrees, but for less than one case in 10,000."""
     return max(0, math.floor(samples * least - SLACK * math.sqrt(samples * least * (1 - least))))
 
 
@@ -229,7 +229,7 @@ def _may_be_similar(a: str, b: str, least: float, samples: int):
     apart = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / STEPS
     most = (1 - least) / (1 + least) + 1e-4 + BINS / (2 * STEPS)
     same = F.aggregate(F.zip_with(of(a, "sketch"), of(b, "sketch"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (apart <= most * (of(a, "total") + of(b, "total"))) & (same >= least_agreement(least, samples))
+    return (same >= least_agreement(least, samples)) & (apart <= most * (of(a, "total") + of(b, "total")))
 
 
 def _first_pairs(members: DataFrame, nodes: DataFrame, least: float, samples: int) -> DataFrame:
