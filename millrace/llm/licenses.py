@@ -1,15 +1,18 @@
 """License scans by a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line, or a block of lines up to an empty one that holds a template of which no line alone
-has enough (a wrapped text). Its words and pairs of neighbouring words are hashed into CELLS cells of a
-multinomial logistic regression over licence families, an unknown class and an ordinary one, held as an
-array literal. A temperature calibrates the probabilities. A family that is predicted must be confirmed:
-enough of the word pairs of one of the family's templates must occur in the paragraph; a licence-like
-paragraph that isn't confirmed, or that no family explains well enough, is ``unknown``.
-
-Only lines with an anchor word, or with a word that each template needs to be confirmed, are scored: a line
-without any can't be confirmed and isn't licence-like. One without an anchor word counts only where a
-template is confirmed. Training takes the few fixed paragraphs below and plain Python on the driver.
+Paragraphs are lines, and blocks of lines up to an empty one where a template is found in the block but in
+none of its lines (a wrapped text). A paragraph's words and pairs of neighbouring words are the features of a
+multinomial logistic regression over licence families, an unknown class and an ordinary one; a temperature
+calibrates the probabilities on sentences held out in turn. A predicted family must be confirmed: enough of
+the words and pairs of one of the family's templates must occur in the paragraph; a licence-like paragraph
+that isn't confirmed, or that no family explains well enough, is ``unknown``.
+
+Every line of every text is split and scored. Features are sparse: a line without any word of the
+vocabulary has the score of an empty line, which is that of an ordinary one, and needs no further arithmetic.
+Of a block only one that holds words which every template needs can be confirmed. Both are exact.
+
+The training sentences are made by rule from frames and names, and are others than the templates. Training
+takes plain arithmetic on the driver.
 """
 
 from __future__ import annotations
@@ -17,94 +20,174 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash cells of the model; least confidence in a family; least share of a template's pairs that must occur.
-CELLS, SURE, CONFIRM = 4096, 0.25, 0.7
+#: Hash cells of the features; least confidence in a family; least share of a template's features that must occur.
+CELLS, SURE, CONFIRM = 1 << 14, 0.5, 0.7
 
-#: Paragraphs of each family; also the templates that confirm it.
+#: What confirms a family.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
+        "Apache-2.0",
+        "Apache License 2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
         "Apache License Version 2.0, January 2004",
     ],
     "BSD": [
+        "BSD License",
+        "BSD-3-Clause",
+        "BSD-2-Clause",
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "CC-BY": [
+        "CC BY 4.0",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "CC-BY-NC": [
+        "CC BY-NC 4.0",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "CC-BY-SA": [
+        "CC BY-SA 4.0",
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "CC0": [
+        "CC0 1.0",
+        "CC0",
         "Released under CC0 1.0 Universal.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
         "SPDX-License-Identifier: CC0-1.0",
     ],
     "GPL": [
+        "GPLv3",
+        "GPLv2",
+        "GPL-3.0",
+        "GPL-2.0",
+        "GNU General Public License",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "LGPL": [
+        "LGPLv3",
+        "LGPL-3.0",
+        "LGPL-2.1",
+        "GNU Lesser General Public License",
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "MIT": [
+        "MIT License",
+        "The software is provided \"as is\", without warranty of any kind, express or implied",
+        "The above copyright notice and this permission notice shall be included in all copies",
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
     "MPL": [
+        "MPL-2.0",
+        "Mozilla Public License",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "public-domain": ["This work is in the public domain.", "Released into the public domain.", "The Unlicense"],
     "proprietary": [
+        "Copyright (c)",
         "All rights reserved.",
         "Copyright 2024. All rights reserved. No part may be reproduced without written permission.",
         "This document is confidential and proprietary.",
     ],
 }
-#: Licence-like paragraphs of no family above, and ordinary ones that use the same words.
-UNKNOWN = [
-    "Licensed under the Frobnicate Sharing License, version 7.", "This work is licensed under terms of its own.",
-    "Released under the Elbonian Open License.", "See the license file for terms.", "Licensed under a custom license.",
-    "SPDX-License-Identifier: LicenseRef-Other", "You may use this file under the license of its owner.",
-    "Released under the terms of the Zed Community License 1.2.", "The license of this work is described elsewhere.",
+#: Names of each family, and sentences of its texts, to train on.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0", "Apache License", "ASL 2.0"],
+    "BSD": ["BSD License", "BSD-3-Clause", "BSD-2-Clause", "3-clause BSD license", "New BSD License", "Simplified BSD License", "BSD"],
+    "CC-BY": ["CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0", "CC BY"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA"],
+    "CC0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "CC0-1.0", "Creative Commons Zero", "CC0 Public Domain Dedication"],
+    "GPL": ["GNU General Public License, version 3", "GNU General Public License v2", "GNU GPL", "GPLv3", "GPLv2", "GPL-3.0-only", "GPL-2.0-only", "GPL-3.0-or-later", "GPL"],
+    "LGPL": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "LGPLv3", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL"],
+    "MIT": ["MIT License", "MIT", "Expat License", "MIT licence"],
+    "MPL": ["Mozilla Public License, v. 2.0", "Mozilla Public License", "MPL-2.0", "MPL 2.0"],
+    "public-domain": ["public domain", "Unlicense", "The Unlicense"],
+    "unknown": ["Frobnicate Sharing License", "Elbonian Open License", "Zed Community License 1.2", "Quokka Public License, version 9", "Foo License", "Acme Source License",
+                "license of its owner", "custom license", "LicenseRef-Other", "terms of its own", "Harbour Data Agreement License", "license described elsewhere"],
+}
+SENTENCES = {
+    "Apache-2.0": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law, software distributed under the License is distributed on an AS IS basis",
+                   "you may not use this file except in compliance with the License"],
+    "BSD": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice in the documentation",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse products", "Redistribution and use in source and binary forms are permitted provided that conditions are met"],
+    "CC-BY": ["You are free to share and adapt the material as long as you give attribution under Creative Commons"],
+    "CC-BY-NC": ["You may not use the Creative Commons material for commercial purposes, NonCommercial only"],
+    "CC-BY-SA": ["If you remix the material you must distribute your contributions under the same Creative Commons ShareAlike license"],
+    "CC0": ["To the extent possible under law, the person has waived all copyright and related or neighboring rights"],
+    "GPL": ["either version 3 of the License, or (at your option) any later version, as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program",
+            "you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "LGPL": ["You should have received a copy of the GNU Lesser General Public License along with this library", "under the terms of the GNU Lesser General Public License as published"],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions", "The software is provided as is, without warranty of any kind, express or implied",
+            "in no event shall the authors or copyright holders be liable for any claim, damages or other liability"],
+    "MPL": ["If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org", "subject to the terms of the Mozilla Public License"],
+    "public-domain": ["This is free and unencumbered software released into the public domain", "The author dedicates this work to the public domain", "no copyright, public domain work"],
+    "proprietary": ["All rights reserved.", "Copyright 2021 Acme Inc. All rights reserved.", "(c) 2019 Someone. All rights reserved.", "Copyright (c) 2020 Foo", "Copyright 2018 by the authors", "Copyright (C) 2022 Jane Doe",
+                    "No part of this publication may be reproduced or transmitted without written permission", "This document is confidential and proprietary to the company", "Unauthorized copying of this file is strictly prohibited"],
+    "unknown": ["See the LICENSE file for details", "Use is subject to license terms", "The license of this package is not stated", "You may use this file under its license"],
+}
+#: Frames of a notice, and ordinary sentences and subjects that use the same words.
+FRAMES = [
+    "{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Distributed under {}.", "Available under {}.", "Published under the {}", "This work is licensed under a {}.",
+    "This project is licensed under the terms of the {}", "SPDX-License-Identifier: {}", "License: {}", "The code is released under the {}.", "Offered under {}.",
+]
+PLAIN = [
+    "She renewed her driving license at the office.", "The driver had no license and the permission was refused.", "He released the bird under the bridge.", "They reserved all the seats and the rights of way.",
+    "The Apache people lived in the south west.", "The general public was free to enter.", "Version 2.0 of the plan was worse.", "A table was reserved for all of them.", "The student from MIT spoke about copyright law in general.",
+    "The software was redistributed to the other rooms.", "The creative commons room is on the left.", "Fishing license fees rose again.", "This is a confidential matter.", "The permission of the owner is needed.",
+    "A cc of the letter went by post.", "The software and the program were modified.", "Permission to enter was not given.", "Her license was lost on the road.", "The public library is open.", "The mozilla browser opened.",
+    "The domain of the king was large.", "The notice was published in the paper.", "Copies of the book were sold.", "Source water and binary stars were observed.",
 ]
-ORDINARY = [
-    "She renewed her driving license at the office on Monday.", "The driver had no license and the permission was refused.",
-    "He released the bird under the bridge.", "They reserved all the rights of the road for buses.",
-    "The Apache people lived in the south west.", "The general public was free to enter.", "Version 2.0 of the plan was worse.",
-    "A table was reserved for all of them.", "The student from MIT spoke about copyright in general.",
-    "The software was redistributed to the other rooms.", "The Creative Commons room is on the left.",
-    "Fishing license fees rose again this year.", "This is a confidential matter.", "The permission of the owner is needed.",
+PLAIN_FRAMES = ["The {} was near the river.", "We drove through the {} in the car.", "A {} of the town spoke for an hour.", "He lost the {} on his way."]
+PLAIN_SUBJECTS = [
+    "Apache country", "Apache land", "general", "public", "commons", "domain", "right", "license", "permission", "version", "software", "notice", "copy",
+    "material", "source", "program", "library", "creative room", "attribution", "document", "owner", "author", "form", "institute",
 ]
 CLASSES = [*TEMPLATES, "unknown", "ordinary"]
-#: Every licence-like paragraph that no template confirms holds one of these.
-ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|redistribut|permission|spdx|confidential|\bcc0\b"
+#: Words that are no features by themselves.
+STOP = ["the", "a", "an", "of", "to", "is", "in", "and", "or", "this", "that", "for", "on", "at", "was", "by", "be", "with", "it", "its", "as", "are", "you", "may", "any", "not", "no", "all", "her", "he", "she", "they", "under", "were", "from", "them", "other", "had", "has", "if", "see", "v."]
+
+
+def training_sentences() -> list[tuple[str, str]]:
+    """(class, sentence): every frame with every name, the families' own sentences, and plain ones; no template of several words."""
+    made = [(f, frame.format(n)) for f, names in NAMES.items() for n in names for frame in FRAMES]
+    made += [(f, t) for f, ts in SENTENCES.items() for t in ts for _ in range(4)]
+    made += [("ordinary", t) for t in PLAIN for _ in range(4)]
+    made += [("ordinary", frame.format(x)) for x in PLAIN_SUBJECTS for frame in PLAIN_FRAMES]
+    held_apart = {t for ts in TEMPLATES.values() for t in ts if " " in t}
+    return [(f, t) for f, t in made if t not in held_apart]
 
 
-def _grams(line: Column) -> Column:
-    """Words and pairs of neighbouring words; A-Z lower-cased, signs between words dropped."""
-    words = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}.]+|\.(?=\s|$)|\.$", -1), lambda x: x != "")
-    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-    return _let(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
+def _words(text: Column) -> Column:
+    """A-Z lower-cased words; signs between them are dropped, points within them stay."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\s|$)", -1), lambda x: x != "")
+
+
+def _grams(words: Column) -> Column:
+    """The distinct words and pairs of neighbouring words."""
+    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(words, i), x))
+    return F.array_distinct(F.concat(words, pairs))
 
 
 def _cells(grams: Column) -> Column:
@@ -112,65 +195,76 @@ def _cells(grams: Column) -> Column:
 
 
 class ParagraphModel:
-    """Weights by cell and class, the temperature that calibrates them, and the word pairs of the templates."""
+    """The features and their cells, weights by cell and class, the temperature, and the templates' words and pairs."""
 
-    def __init__(self, weights: list[list[float]], bias: list[float], temperature: float):
-        self.weights, self.bias, self.temperature = weights, bias, temperature
+    def __init__(self, features: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float):
+        self.features, self.weights, self.bias, self.temperature = features, weights, bias, temperature
         self.templates: list[dict] = []
 
-    def log_odds(self, cells: list[int]) -> list[float]:
-        k = 1 / math.sqrt(max(1, len(cells)))
-        return [b + k * sum(self.weights[c][j] for c in cells) for j, b in enumerate(self.bias)]
-
-    def probabilities(self, cells: list[int]) -> list[float]:
-        return _softmax([z / self.temperature for z in self.log_odds(cells)])
-
-
-def _softmax(z: list[float]) -> list[float]:
-    top = max(z)
-    e = [math.exp(x - top) for x in z]
-    return [x / sum(e) for x in e]
-
-
-def train_model(rows: list[tuple[list[int], int]], epochs: int = 60, rate: float = 1.0, l2: float = 1e-3) -> ParagraphModel:
-    """Stochastic gradient descent on (cells, class) rows, then the temperature by each row held out in turn of four folds."""
-
-    def fit(some):
-        weights = [[0.0] * len(CLASSES) for _ in range(CELLS)]
-        model = ParagraphModel(weights, [0.0] * len(CLASSES), 1.0)
-        for e in range(epochs):
-            step = rate / (1 + e / 10)
-            for cells, y in some:
-                p = _softmax(model.log_odds(cells))
-                k = 1 / math.sqrt(max(1, len(cells)))
-                for j, x in enumerate(p):
-                    g = step * (x - (j == y))
-                    if abs(g) > 1e-4:
-                        model.bias[j] -= 0.1 * g
-                        for c in cells:
-                            weights[c][j] -= g * k + step * l2 * weights[c][j]
-        return model
-
-    out = []
-    for fold in range(4):
-        model = fit([r for i, r in enumerate(rows) if i % 4 != fold])
-        out += [(model.log_odds(c), y) for i, (c, y) in enumerate(rows) if i % 4 == fold]
-    loss = lambda t: -sum(math.log(max(1e-12, _softmax([x / t for x in z])[y])) for z, y in out)
-    whole = fit(rows)
-    whole.temperature = min((0.25 * 2 ** (i / 4) for i in range(21)), key=loss)
-    return whole
+    @property
+    def vocabulary(self) -> list[str]:
+        """Words of which a text with any feature holds one at least."""
+        return sorted({w for f in self.features for w in f.split(" ")} - set(STOP))
+
+    def probabilities(self, grams: list[str]) -> list[float]:
+        """Of a paragraph's distinct words and pairs."""
+        held = [self.features[g] for g in set(grams) if g in self.features]
+        return _softmax((self.bias + self.weights[held].sum(0) / math.sqrt(max(1, len(held)))) / self.temperature).tolist()
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def train_model(rows: list[tuple[list[tuple[str, int]], int]], steps: int = 150, rate: float = 0.5, l2: float = 2e-3) -> ParagraphModel:
+    """Gradient descent on (words and pairs with their cells, class) rows, each class of equal weight; then the
+    temperature by rows held out in turn of four folds.
+
+    Features are the words and pairs of the rows but for STOP words and pairs of these. Two with one cell
+    share it. The score of an empty row is that of an ordinary one by its bias.
+    """
+    keep = lambda g: any(w not in STOP for w in g.split(" "))
+    features = {g: c for grams, _ in rows for g, c in grams if keep(g)}
+    cells = sorted(set(features.values()))
+    at = {c: i for i, c in enumerate(cells)}
+    x = np.zeros((len(rows), len(cells)))
+    for i, (grams, _) in enumerate(rows):
+        held = [at[features[g]] for g, _ in grams if g in features]
+        for j in held:
+            x[i, j] += 1 / math.sqrt(max(1, len(held)))
+    y = np.eye(len(CLASSES))[[c for _, c in rows]]
+    weight = (y / np.maximum(y.sum(0), 1)).sum(1, keepdims=True) / len(CLASSES)
+    bias = np.where(np.array(CLASSES) == "ordinary", 3.0, 0.0)
+
+    def fit(some: np.ndarray) -> np.ndarray:
+        w, past = np.zeros((len(cells), len(CLASSES))), np.full((len(cells), len(CLASSES)), 1e-8)
+        for _ in range(steps):
+            g = x[some].T @ (weight[some] * (_softmax(bias + x[some] @ w) - y[some])) + l2 * w / len(cells)
+            past += g**2
+            w -= rate * g / np.sqrt(past)
+        return w
+
+    fold = np.arange(len(rows)) % 4
+    held_out = np.zeros_like(y)
+    for k in range(4):
+        held_out[fold == k] = bias + x[fold == k] @ fit(np.flatnonzero(fold != k))
+    loss = lambda t: -float((weight[:, 0] * np.log(np.maximum(1e-12, (_softmax(held_out / t) * y).sum(1)))).sum())
+    temperature = min((0.25 * 2 ** (i / 4) for i in range(21)), key=loss)
+    full = np.zeros((CELLS, len(CLASSES)))
+    full[cells] = fit(np.arange(len(rows))).round(6)
+    return ParagraphModel(features, full, bias, temperature)
 
 
 def train(spark) -> ParagraphModel:
-    """The model of the fixed paragraphs; Spark splits and hashes their words as it does the documents'."""
-    samples = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
-    samples += [("unknown", t) for t in UNKNOWN] + [("ordinary", t) for t in ORDINARY]
-    given = F.from_json(F.lit(json.dumps([{"f": f, "t": t} for f, t in samples])), "array<struct<f:string,t:string>>")
-    lines = spark.range(1).select(F.explode(given).alias("s")).select("s.f", "s.t")
-    grams = lines.select("f", "t", _grams(F.col("t")).alias("g"))
-    rows = sorted(tuple(r) for r in grams.select("t", "f", "g", _cells(F.col("g"))).collect())
-    model = train_model([(c, CLASSES.index(f)) for _, f, _, c in rows])
-    model.templates = [{"f": f, "g": g} for _, f, g, _ in rows if f in TEMPLATES]
+    """The model of the training sentences; Spark splits and hashes their words as it does the documents'."""
+    samples = [(f, t, False) for f, t in training_sentences()] + [(f, t, True) for f, ts in TEMPLATES.items() for t in ts]
+    given = F.from_json(F.lit(json.dumps([{"i": i, "t": t} for i, (_, t, _) in enumerate(samples)])), "array<struct<i:int,t:string>>")
+    lines = spark.range(1).select(F.explode(given).alias("s")).select("s.i", _words(F.col("s.t")).alias("w"))
+    rows = lines.select("i", _grams(F.col("w")).alias("g")).select("i", "g", _cells(F.col("g")).alias("c")).collect()
+    rows = sorted((r.i, r.g, r.c) for r in rows)
+    model = train_model([(list(zip(g, c, strict=True)), CLASSES.index(samples[i][0])) for i, g, c in rows if not samples[i][2]])
+    model.templates = [{"f": samples[i][0], "g": g} for i, g, _ in rows if samples[i][2]]
     return model
 
 
@@ -187,15 +281,17 @@ def _fixed(value, kind: str) -> Column:
 def _scores(model: ParagraphModel, grams: Column) -> Column:
     """struct(best class, its probability, that of an ordinary paragraph)."""
     k = len(CLASSES)
-    used = [c for c, w in enumerate(model.weights) if any(w)]
+    used = [c for c, w in enumerate(model.weights) if w.any()]
     place = {c: i for i, c in enumerate(used)}
     at = _fixed([place.get(c, len(used)) for c in range(CELLS)], "array<int>")
-    rows = _fixed([model.weights[c] for c in used] + [[0.0] * k], "array<array<double>>")
-    bias, none = _fixed(model.bias, "array<double>"), _fixed([0.0] * k, "array<double>")
-    names = _fixed(CLASSES, "array<string>")
+    rows = _fixed([model.weights[c].tolist() for c in used] + [[0.0] * k], "array<array<double>>")
+    bias, none = _fixed(model.bias.tolist(), "array<double>"), _fixed([0.0] * k, "array<double>")
+    names, features = _fixed(CLASSES, "array<string>"), _fixed(sorted(model.features), "array<string>")
     add = lambda a, c: F.zip_with(a, F.get(rows, F.get(at, c)), lambda x, y: x + y)
-    total = F.aggregate(_cells(grams), none, add)
-    z = F.zip_with(total, bias, lambda x, b: (x / F.sqrt(F.greatest(F.size(grams), F.lit(1))) + b) / model.temperature)
+
+    def logits(held: Column) -> Column:
+        total = F.aggregate(_cells(held), none, add)
+        return F.zip_with(total, bias, lambda x, b: (x / F.sqrt(F.greatest(F.size(held), F.lit(1))) + b) / model.temperature)
 
     def normal(e: Column) -> Column:
         return _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.struct(
@@ -203,6 +299,7 @@ def _scores(model: ParagraphModel, grams: Column) -> Column:
             (F.array_max(e) / s).alias("p"), (F.get(e, F.lit(k - 1)) / s).alias("ordinary"),
         ))
 
+    z = _let(F.array_intersect(grams, features), logits)
     return _let(z, lambda z: _let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), normal))
 
 
@@ -243,27 +340,28 @@ def scan_paragraphs(docs: DataFrame, model: ParagraphModel | None = None, doc_id
 
     ``family`` is a confirmed family or ``unknown``; the probability is that of the family, or of being a
     licence at all. A family that only the lines of a block together confirm has a row of the block's first
-    line and all its text, besides those of its lines. Null and empty texts have no paragraphs; repeated rows
-    give repeated rows. Whole texts are read. Other columns are ignored.
+    line and all its text, besides those of its lines. Of classes equally probable the first of CLASSES is
+    taken. Null and empty texts have no paragraphs, an empty table gives no rows; repeated rows give repeated
+    rows. Whole texts are read, however long. Other columns are ignored.
     """
     model = model or train(docs.sparkSession)
-    words = "|".join(w.replace(".", r"\.") for w in needed_words(model.templates))
-    worth = rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
     templates = _fixed(model.templates, "array<struct<f:string,g:array<string>>>")
+    vocabulary = _fixed(model.vocabulary, "array<string>")
     share = lambda grams, t: F.size(F.array_intersect(grams, t["g"])) / F.size(t["g"])
-    known = _fixed(sorted({g for t in model.templates for g in t["g"]}), "array<string>")
     confirmed = lambda held: F.filter(templates, lambda t: share(held, t) >= CONFIRM)
+    known = _fixed(sorted({g for t in model.templates for g in t["g"]}), "array<string>")
     held = lambda grams: F.array_intersect(grams, known)
     # One value or none as an exploded array: a filter behind a projection would compute the value again.
     only = lambda value, test: F.explode(_let(value, lambda v: F.filter(F.array(v), test)))
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(worth))
+    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text <> ''")
 
+    # A line without a word of the vocabulary has no feature: the model calls it ordinary by its bias.
     lines = ids.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    score = _let(_grams(F.col("paragraph")), lambda g: F.struct(held(g).alias("held"), _scores(model, g).alias("s")))
-    scored = lines.where(F.col("paragraph").rlike(worth)).select("doc_id", "line", "paragraph", only(score, lambda x: x["s"]["best"] != "ordinary").alias("x"))
+    lines = lines.select("*", only(_words(F.col("paragraph")), lambda w: F.arrays_overlap(w, vocabulary)).alias("w"))
+    score = _let(_grams(F.col("w")), lambda g: F.struct(held(g).alias("held"), _scores(model, g).alias("s")))
+    scored = lines.select("doc_id", "line", "paragraph", only(score, lambda x: x["s"]["best"] != "ordinary").alias("x"))
     fits = F.transform(confirmed(F.col("x.held")), lambda t: t["f"])
     scored = scored.select("doc_id", "line", "paragraph", "x", F.explode(F.array(fits)).alias("fits"))
-    scored = scored.where(F.col("paragraph").rlike(ANCHORS) | (F.size("fits") > 0))
     sure = F.array_contains("fits", F.col("x.s.best")) & (F.col("x.s.p") >= SURE)
     of_lines = scored.select(
         "doc_id", "line", "paragraph", F.when(sure, F.col("x.s.best")).otherwise("unknown").alias("family"),
@@ -271,11 +369,14 @@ def scan_paragraphs(docs: DataFrame, model: ParagraphModel | None = None, doc_id
     )
 
     # The template that fits a block best, of families that none of its lines confirms; what both share is scored.
-    blocks = ids.select("doc_id", F.explode(_let(F.split("text", "\n"), _blocks)).alias("b")).where(F.size("b.lines") > 1)
+    needed = "|".join(w.replace(".", r"\.") for w in needed_words(model.templates))
+    worth = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{needed})(?![\p{{L}}\p{{N}}])"
+    grams_of = lambda x: _let(_words(x), _grams)
+    blocks = ids.where(F.col("text").rlike(worth)).select("doc_id", F.explode(_let(F.split("text", "\n"), _blocks)).alias("b")).where(F.size("b.lines") > 1)
     blocks = blocks.select("doc_id", "b", F.explode(F.array(F.concat_ws("\n", "b.lines"))).alias("paragraph")).where(F.col("paragraph").rlike(worth))
-    fit = _let(held(_grams(F.col("paragraph"))), lambda h: F.struct(h.alias("held"), confirmed(h).alias("fits")))
+    fit = _let(held(grams_of(F.col("paragraph"))), lambda h: F.struct(h.alias("held"), confirmed(h).alias("fits")))
     blocks = blocks.select("doc_id", "b", "paragraph", only(fit, lambda x: F.size(x["fits"]) > 0).alias("x"))
-    by_line = F.flatten(F.transform("b.lines", lambda x: _let(held(_grams(x)), lambda h: F.transform(confirmed(h), lambda t: t["f"]))))
+    by_line = F.flatten(F.transform("b.lines", lambda x: _let(held(grams_of(x)), lambda h: F.transform(confirmed(h), lambda t: t["f"]))))
     blocks = blocks.select("*", F.explode(F.array(by_line)).alias("by_line"))
     free = F.filter("x.fits", lambda t: ~F.array_contains("by_line", t["f"]))
     best = F.array_max(F.transform(free, lambda t: F.struct(share(F.col("x.held"), t), F.size(t["g"]), t["f"].alias("f"), F.array_intersect("x.held", t["g"]).alias("g"))))
