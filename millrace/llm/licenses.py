@@ -165,8 +165,8 @@ PLAIN_SUBJECTS = [
     "material", "source", "program", "library", "creative room", "attribution", "document", "owner", "author", "form", "institute",
 ]
 CLASSES = [*TEMPLATES, "unknown", "ordinary"]
-#: Words that are no features by themselves.
-STOP = ["the", "a", "an", "of", "to", "is", "in", "and", "or", "this", "that", "for", "on", "at", "was", "by", "be", "with", "it", "its", "as", "are", "you", "may", "any", "not", "no", "all", "her", "he", "she", "they", "under", "were", "from", "them", "other", "had", "has", "if", "see", "v."]
+#: Words that are no features by themselves; mit is a common word of German.
+STOP = ["the", "a", "an", "of", "to", "is", "in", "and", "or", "this", "that", "for", "on", "at", "was", "by", "be", "with", "it", "its", "as", "are", "you", "may", "any", "not", "no", "all", "her", "he", "she", "they", "under", "were", "from", "them", "other", "had", "has", "if", "see", "v.", "only", "mit"]
 
 
 def training_sentences() -> list[tuple[str, str]]:
@@ -225,6 +225,7 @@ def train_model(rows: list[tuple[list[tuple[str, int]], int]], steps: int = 150,
     share it. The score of an empty row is that of an ordinary one by its bias.
     """
     keep = lambda g: any(w not in STOP for w in g.split(" "))
+    rows = [r for r in rows if any(keep(g) for g, _ in r[0])]
     features = {g: c for grams, _ in rows for g, c in grams if keep(g)}
     cells = sorted(set(features.values()))
     at = {c: i for i, c in enumerate(cells)}

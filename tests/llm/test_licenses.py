@@ -63,7 +63,7 @@ def test_templates_confirm_their_family(spark, model):
 
 def test_ordinary_lines_stay(spark, model):
     lines = ["Her fishing license was lost on the road.", "plain words", "", None, "Permission to enter was not given.", "The general manager of the public pool was kind.",
-             "We drove through the Apache country in version two of the car.", "He copied the notice and sold the software."]
+             "We drove through the Apache country in version two of the car.", "He copied the notice and sold the software.", "Er ging mit ihr nach Hause.", "Only one of them came."]
     assert families(spark, model, lines) == {}
 
 
@@ -74,6 +74,8 @@ def test_every_line_against_brute_force(spark, model):
     rows = L.scan_paragraphs(both, model).where("not contains(paragraph, '\n')").collect()
     want = sorted((r.doc_id, i, f) for r in both.collect() for i, f in brute(model, r.text))
     assert sorted((r.doc_id, r.line, r.family) for r in rows) == want and len(want) > 40
+    # Of the documents' own lines only notices are found.
+    assert all(re.search("licen[cs]e|rights reserved|public domain", r.paragraph, re.I) for r in rows if r.doc_id < 10**6)
 
 
 def test_plan_is_native_and_odd_rows(spark, model, odd_docs, no_docs):
