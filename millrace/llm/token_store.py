@@ -155,7 +155,7 @@ def write_tokens(
     holds about ``share`` bytes of ids.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packed = materialize(texts.mapInArrow(_pack(tokenizer, end_id), "doc_id long, width int, raw binary"), "packed", compression="zstd")
+    packed = materialize(texts.mapInArrow(_pack(tokenizer, end_id), "doc_id long, width int, raw binary"), "packed", **{"parquet.enable.dictionary": "false"})
     total = packed.agg(F.sum(F.octet_length("raw"))).head()[0] or 0
     keys = [F.asc_nulls_first("doc_id"), F.octet_length("raw").asc(), F.asc("tie"), F.asc("at")]
     # Bounds are drawn by Spark from a sample of bounded size; ``at`` parts repeated rows of one id.
