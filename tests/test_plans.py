@@ -5,7 +5,7 @@ import pytest
 from fixtures import rows, simple
 from pyspark.sql import functions as F
 
-from millrace.metrics import MatchOptions, api_cost, gpu_cost, partial_similarity, table_match
+from millrace.metrics import MatchOptions, Price, api_cost, gpu_cost, partial_similarity, table_match
 from millrace.model import TableSet, make_table
 from millrace.plans.environment import Environment, Limits, ReasoningTree, canonical, render_feedback
 from millrace.plans.sql import TranslationError, execute_pipeline, join_keys, search_pipeline, translate
@@ -171,4 +171,4 @@ def test_similarity_and_costs(spark):
     half = partial_similarity(a.withColumnRenamed("b", "c"), a)
     assert half == pytest.approx((1 / 3 + 1 + 1) / 3)
     assert 0 <= partial_similarity(a.limit(0), a) < 0.8
-    assert gpu_cost(3600) == 0.91 and api_cost(10**6, 10**6, 1.0, 2.0) == 3.0 and api_cost(10, 0, 1e6, 0, 10, 0.0) == 0
+    assert gpu_cost(3600) == 0.91 and api_cost(10**6, 10**6, Price(1.0, 2.0)) == 3.0 and api_cost(10, 0, Price(1e6, 0, 0.0), 10) == 0
