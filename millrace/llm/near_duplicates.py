@@ -183,7 +183,7 @@ def weight_bins(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int
     the weighted symmetric difference from below, but for half a step a bin.
     """
     at = doc * BINS + (ids % np.uint64(BINS)).astype(np.int64)
-    sums = np.bincount(at, weight.astype(np.float64), texts * BINS).reshape(texts, BINS)
+    sums = np.bincount(at, weight.astype(np.float64), texts * BINS).astype(np.float64).reshape(texts, BINS)
     total = sums.sum(1, keepdims=True)
     return np.rint(np.divide(sums, total, out=np.zeros_like(sums), where=total > 0) * STEPS).astype(np.int16)
 
