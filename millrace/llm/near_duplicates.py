@@ -8,7 +8,8 @@ verified by their exact weighted Jaccard similarity, and the links' components a
 
 Equal texts are one node from the start. Within a bucket no all-pairs list is made: its first member is
 compared with all, components are formed, and only members of different components are compared further,
-a slice of leaders at a time, until every pair of different components has been compared. Before texts are
+a slice of leaders at a time and in blocks of bounded size, each pair in the first band that it shares, until
+every pair of different components has been compared. Before texts are
 fetched a pair is held against two bounds: sums of weights by a hash of the shingle, which are exact and
 sharp for short texts, and the samples themselves, sharp for long ones: a pair similar enough agrees in
 fewer of them than the least number asked for in less than one case in 10,000.
@@ -201,9 +202,9 @@ def similarities(left: list[str | None], right: list[str | None], idf: np.ndarra
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """bucket, node, total and lead (the bucket's node of most copies, then of least hash), of shared buckets."""
+    """bucket, band, node, total and lead (the bucket's node of most copies, then of least hash), of shared buckets."""
     spread = nodes.select("node", "total", "n", F.posexplode("bands").alias("band", "h")).select(
-        F.xxhash64("band", "h").alias("bucket"), "node", "total", "n"
+        F.xxhash64("band", "h").alias("bucket"), "band", "node", "total", "n"
     )
     first = F.struct((-F.col("n")).alias("copies"), F.xxhash64("node").alias("h"), "node", "total")
     leads = (
@@ -220,16 +221,88 @@ def _near_totals(a: str, b: str, least: float):
 
 
 def _may_be_similar(a: str, b: str, least: float, samples: int):
-    """Whether sums of weights and samples of both sides (structs of total, mass, sketch) allow enough similarity.
-
-    |A - B| is at most (1 - J) / (1 + J) of |A| + |B|.
-    """
+    """Whether sums of weights and samples of both sides (structs of total, mass, sketch) allow enough similarity."""
     of = lambda side, field: F.col(f"{side}.{field}")
     steps = F.zip_with(of(a, "mass"), of(b, "mass"), lambda x, y: F.abs(x * of(a, "total").cast("double") - y * of(b, "total").cast("double")))
     apart = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / STEPS
-    most = (1 - least) / (1 + least) + 1e-4 + BINS / (2 * STEPS)
     same = F.aggregate(F.zip_with(of(a, "sketch"), of(b, "sketch"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (same >= least_agreement(least, samples)) & (apart <= most * (of(a, "total") + of(b, "total")))
+    return (same >= least_agreement(least, samples)) & (apart <= _most_apart(least) * (of(a, "total") + of(b, "total")))
+
+
+def _most_apart(least: float) -> float:
+    """Share of |A| + |B| that |A - B| may be: (1 - J) / (1 + J), and what rounding of the sums may add."""
+    return (1 - least) / (1 + least) + 1e-4 + BINS / (2 * STEPS)
+
+
+#: Fields of a row of a block; members and leaders of a block, about; pairs that are compared at once.
+_BLOCK = ("bucket", "part", "slice", "leads", "band", "node", "comp", "top", "u", "total", "mass", "sketch", "bands")
+MEMBERS_A_BLOCK, LEADERS_A_BLOCK, PAIRS_AT_ONCE = 1024, 256, 1 << 13
+
+
+def block_pairs(rows: pa.RecordBatch, least: float, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of whole blocks, each block's leaders first, that the bounds allow.
+
+    A leader meets the members of its bucket's top component and of other components behind it. A pair is
+    taken in the first band that both share, where it meets as well, so it isn't compared once a band.
+    """
+    col = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in ("bucket", "part", "slice", "leads", "band", "node", "comp", "top", "u", "total")}
+    table = lambda n: rows.column(n).flatten().to_numpy().reshape(rows.num_rows, -1)
+    mass, sketch, bands = table("mass"), table("sketch"), table("bands")
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = np.any([col[n][1:] != col[n][:-1] for n in ("bucket", "part", "slice")], axis=0)
+    block = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    led = np.bincount(block, col["leads"], len(start)).astype(np.int64)
+    size = np.diff(np.append(start, rows.num_rows)) - led
+    leader = np.flatnonzero(col["leads"])
+    upto = np.cumsum(size[block[leader]])
+    fewest, most = least_agreement(least, samples), _most_apart(least)
+    out, i = [], 0
+    while i < len(leader):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
+        some = leader[i:j]
+        i = j
+        times = size[block[some]]
+        a = np.repeat(some, times)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + (start + led)[block[a]]
+
+        def keep(ok, a, b):
+            return a[ok], b[ok]
+
+        a, b = keep((col["comp"][a] != col["comp"][b]) & ((col["comp"][b] == col["top"][a]) | (col["u"][b] > col["u"][a])), a, b)
+        x, y = col["total"][a], col["total"][b]
+        a, b = keep(np.minimum(x, y) >= (least - 1e-5) * np.maximum(x, y), a, b)
+        a, b = keep((bands[a] == bands[b]).argmax(1) == col["band"][a], a, b)
+        a, b = keep((sketch[a] == sketch[b]).sum(1) >= fewest, a, b)
+        x, y = col["total"][a], col["total"][b]
+        a, b = keep(np.abs(mass[a] * x[:, None] - mass[b] * y[:, None]).sum(1) / STEPS <= most * (x + y), a, b)
+        out.append(np.stack([col["node"][a], col["node"][b]]))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return both.min(0), both.max(0)
+
+
+def _compare_blocks(blocks: DataFrame, least: float, samples: int) -> DataFrame:
+    """``block_pairs`` of all blocks: each lies whole in a task, which holds a batch and a block's rows at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows):
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in block_pairs(rows, least, samples)], ["a", "b"])
+
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            if not rows.num_rows:
+                continue
+            keys = np.stack([rows.column(n).to_numpy() for n in ("bucket", "part", "slice")])
+            last = int(np.flatnonzero((keys != keys[:, -1:]).any(0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
+            if last:
+                yield found(rows.slice(0, last))
+            rest = pa.concat_batches([rows.slice(last)])
+        if rest is not None and rest.num_rows:
+            yield found(rest)
+
+    dealt = blocks.repartition("bucket", "part", "slice").sortWithinPartitions("bucket", "part", "slice", F.desc("leads"))
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _first_pairs(members: DataFrame, nodes: DataFrame, least: float, samples: int) -> DataFrame:
@@ -254,7 +327,7 @@ def _more_pairs(
     every pair of different components has been compared once the last slice has led. Last come the tables
     that aren't needed once the pairs are there.
     """
-    m = members.select("bucket", "node", "total").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    m = members.select("bucket", "band", "node").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     m = materialize(m, "labelled")
     sizes = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     if progress is None:
@@ -266,26 +339,24 @@ def _more_pairs(
         anchors = progress.where("`from` < 1").join(now, "anchor", "left").withColumn("top", F.coalesce("top", "anchor"))
     rest = (
         sizes.join(anchors, "bucket")
-        .where("comp <> top")
         .groupBy("bucket", "from", "anchor", "top")
-        .agg(F.sum("n").alias("rest"))
+        .agg(F.sum(F.when(F.col("comp") != F.col("top"), F.col("n"))).alias("rest"), F.sum("n").alias("all"))
+        .where("rest > 0")
         .withColumn("to", F.col("from") + leaders / F.col("rest"))
     )
     rest = materialize(rest, "progress")
     m = m.withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30))
     active = materialize(m.join(rest.hint("merge"), "bucket"), "active")
-    kept = active.select("bucket", "node", "total")
-    signed = active.drop("total").join(nodes.select("node", F.struct("total", "mass", "sketch").alias("of")).hint("merge"), "node")
-    lead = signed.where("comp <> top and u >= `from` and u < `to`").alias("l")
-    other = signed.select("bucket", "node", "of", "comp", "u").alias("m")
-    behind = (F.col("m.comp") == F.col("l.top")) | (F.col("m.u") > F.col("l.u"))
-    pairs = (
-        other.join(lead.hint("merge"), F.col("m.bucket") == F.col("l.bucket"))
-        .where(behind & (F.col("m.comp") != F.col("l.comp")) & _near_totals("m.of.total", "l.of.total", least))
-        .where(_may_be_similar("m.of", "l.of", least, samples))
-        .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b"))
-        .distinct()
-    )
+    kept = active.select("bucket", "band", "node")
+    signed = active.join(nodes.select("node", "total", "mass", "sketch", "bands").hint("merge"), "node")
+    parts = F.ceil(F.col("all") / MEMBERS_A_BLOCK).cast("int")
+    parts_of_lead = F.ceil(F.least(F.col("rest"), F.lit(leaders)) / LEADERS_A_BLOCK).cast("int")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lead = signed.where("comp <> top and u >= `from` and u < `to`").withColumns({"leads": F.lit(True), "slice": dealt(parts_of_lead, 1)})
+    other = signed.withColumns({"leads": F.lit(False), "part": dealt(parts, 2)})
+    blocks = lead.withColumn("part", every(parts)).select(*_BLOCK).union(other.withColumn("slice", every(parts_of_lead)).select(*_BLOCK))
+    pairs = _compare_blocks(blocks, least, samples)
     return pairs, kept, rest.select("bucket", F.col("to").alias("from"), "anchor"), [m, rest, active]
 
 
