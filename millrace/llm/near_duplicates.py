@@ -244,7 +244,10 @@ def block_pairs(rows: pa.RecordBatch, least: float, samples: int) -> tuple[np.nd
 
     A leader meets the members of its bucket's top component and of other components behind it. A pair is
     taken in the first band that both share, where it meets as well, so it isn't compared once a band.
+    No rows give no pairs.
     """
+    if not rows.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     col = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in ("bucket", "part", "slice", "leads", "band", "node", "comp", "top", "u", "total")}
     table = lambda n: rows.column(n).flatten().to_numpy().reshape(rows.num_rows, -1)
     mass, sketch, bands = table("mass"), table("sketch"), table("bands")

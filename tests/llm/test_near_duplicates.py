@@ -3,6 +3,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import near_duplicates as N
@@ -235,3 +236,53 @@ def test_components(spark):
             head[a] = head[b] = min(head[a], head[b])
     assert got == {x: c for x, c in head.items()}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def _plain_block_pairs(rows, least, samples):
+    found = set()
+    for x in rows:
+        for y in rows:
+            if not x["leads"] or y["leads"] or any(x[k] != y[k] for k in ("bucket", "part", "slice")) or x["comp"] == y["comp"]:
+                continue
+            if y["comp"] != x["top"] and y["u"] <= x["u"]:
+                continue
+            if min(x["total"], y["total"]) < (least - 1e-5) * max(x["total"], y["total"]):
+                continue
+            if next(i for i, (p, q) in enumerate(zip(x["bands"], y["bands"], strict=True)) if p == q) != x["band"]:
+                continue
+            if sum(p == q for p, q in zip(x["sketch"], y["sketch"], strict=True)) < N.least_agreement(least, samples):
+                continue
+            apart = sum(abs(p * x["total"] - q * y["total"]) for p, q in zip(x["mass"], y["mass"], strict=True)) / N.STEPS
+            if apart <= N._most_apart(least) * (x["total"] + y["total"]):
+                found.add((min(x["node"], y["node"]), max(x["node"], y["node"])))
+    return found
+
+
+def test_block_pairs_equal_a_plain_loop(monkeypatch):
+    """Blocks of leaders and members, as the operator deals them, at any number of pairs at once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 400, N.BINS)
+    rows, node = [], 0
+    for bucket in range(6):
+        band = bucket % 3
+        kind = []
+        for _ in range(int(rng.integers(1, 25))):
+            node += 1
+            mass = base + rng.integers(0, int(rng.choice([30, 200, 900])), N.BINS)
+            bands = rng.integers(0, 2, 4)
+            bands[band] = 7
+            kind.append({
+                "bucket": bucket, "part": 0, "slice": 0, "band": band, "node": node, "comp": int(rng.integers(0, 4)), "top": 0, "u": float(rng.random()),
+                "total": float(rng.choice([100, 110, 180])), "mass": (mass * N.STEPS // mass.sum()).tolist(),
+                "sketch": rng.integers(0, int(rng.choice([1, 2])) + 1, 16).tolist(), "bands": bands.tolist(),
+            })
+        rows += [{**k, "leads": True} for k in kind if k["comp"] != 0] + [{**k, "leads": False} for k in kind]
+    types = {"part": pa.int32(), "slice": pa.int32(), "band": pa.int32(), "total": pa.float32(), "mass": pa.list_(pa.int16()), "sketch": pa.list_(pa.int16())}
+    batch = pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n)) for n in N._BLOCK], list(N._BLOCK))
+    expected = _plain_block_pairs(rows, 0.6, 16)
+    assert expected
+    for at_once in (1, 7, 1 << 13):
+        monkeypatch.setattr(N, "PAIRS_AT_ONCE", at_once)
+        a, b = N.block_pairs(batch, 0.6, 16)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == expected
+    assert N.block_pairs(batch.slice(0, 0), 0.6, 16)[0].size == 0
