@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import count
 
 import pyarrow as pa
@@ -26,12 +26,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+@cache
+def _libc() -> ctypes.CDLL:
+    """The C library that this process has loaded already."""
+    return ctypes.CDLL(None)
+
+
 def release() -> None:
     """Give freed memory back to the system, so that an idle worker process holds little."""
     pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.byte_bpe import op5_byte_bpe
 from millrace.llm.decontamination import OP2_SQL, op2_decontamination
+from millrace.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
 from millrace.llm.licenses import op4_licenses
 from millrace.llm.near_duplicates import op3_near_duplicates
 from millrace.llm.pseudonyms import op7_pseudonyms
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_shard_by_bytes, op2_decontamination, op3_near_duplicates, op4_licenses, op5_byte_bpe, op6_quality,
-        op7_pseudonyms, op8_url_filter, op9_top_k, op10_token_store,
+        op7_pseudonyms, op8_url_filter, op9_top_k, op10_token_store, op13_fill_in_middle,
     )
 }
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_top_k": OP9_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_top_k": OP9_SQL, "op13_fill_in_middle": OP13_SQL}

@@ -128,8 +128,10 @@ def top_k(
 ) -> DataFrame:
     """Each query's k best candidates: query_id, rank (from 1), vec_id, score; ties to the smaller id.
 
-    Candidates are all rows, also several of one id or repeated ones, but for those of the query's own id.
-    Queries are the different pairs of id and vector: where an id has several vectors, each is answered.
+    Candidates are all rows, also several of one id or repeated ones. "Every row but the query's own" is read by
+    id: no row of the query's id is a candidate of it. Queries are the different pairs of id and vector: where an
+    id has several vectors, each is answered; repeated query rows are one query. Between vectors without a
+    component the score is 0.
     Scores are exact whole numbers; those beyond a long are put at its ends. Vectors that are null, hold a
     null or non-finite component, or have no id take no part; vectors of other lengths don't meet. An empty
     side gives no rows; other columns are ignored; memory is bounded by bytes, however long the vectors.
@@ -224,14 +226,15 @@ def op9_top_k(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH f AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-v AS (SELECT row_number() OVER () AS at, vec_id, list_transform(x, y -> CAST(floor(256 * y) AS BIGINT)) AS x FROM f
-  WHERE len(x) > 0 AND len(list_filter(x, y -> y IS NULL OR NOT isfinite(y))) = 0),
-w AS (SELECT row_number() OVER () AS at, vec_id, x FROM (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 50 = 0) d),
-c AS (SELECT at, vec_id, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
-q AS (SELECT at, vec_id, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM w),
-s AS (SELECT q.at AS q_at, c.at AS at, any_value(q.vec_id) AS query_id, any_value(c.vec_id) AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM q JOIN c ON q.i = c.i AND q.n = c.n AND q.vec_id <> c.vec_id GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_at ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH f AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT row_number() OVER () AS place, vec_id, list_transform(x, lambda c: CAST(floor(256 * c) AS BIGINT)) AS x FROM f
+  WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+w AS (SELECT row_number() OVER () AS place, vec_id, x FROM (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 50 = 0) d),
+c AS (SELECT place, vec_id, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+q AS (SELECT place, vec_id, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM w),
+s AS (SELECT q.place AS q_place, c.place AS place, any_value(q.vec_id) AS query_id, any_value(c.vec_id) AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM q JOIN c ON q.i = c.i AND q.n = c.n AND q.vec_id <> c.vec_id GROUP BY 1, 2
+  UNION ALL SELECT w.place, v.place, w.vec_id, v.vec_id, 0 FROM w JOIN v ON len(w.x) = 0 AND len(v.x) = 0 AND w.vec_id <> v.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_place ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

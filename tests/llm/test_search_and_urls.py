@@ -104,3 +104,22 @@ def test_many_rules_go_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(U, "STATES", 4096)
     got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(df, rules, "none").collect()}
     assert got == {i: (rules[i].text, rules[i].verdict) if i < 300 else (None, "none") for i in range(350)}
+
+
+def test_top_k_sql_on_odd_vectors(spark):
+    """The query's SQL and the operator on vectors that are empty, null, not finite, repeated or of another length."""
+    import duckdb
+    import pyarrow as pa
+
+    from millrace.llm.top_k import OP9_SQL, top_k
+
+    rng = random.Random(4)
+    vectors = [[], [], None, [None, 1.0], [float("nan"), 0.0], [float("inf"), 1.0], [1.0], [2.0]]
+    vectors += [[rng.uniform(-2, 2), rng.uniform(-2, 2)] for _ in range(60)] + [[0.5, 0.5]] * 8
+    rows = [(10 * i, v) for i, v in enumerate(vectors)] + [(100, []), (100, [0.5, 0.5]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows]), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}))
+    got = top_k(df, df.where("vec_id % 50 = 0"), 5)
+    columns = ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({OP9_SQL}) t").fetchall())
