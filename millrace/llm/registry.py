@@ -6,6 +6,7 @@ from millrace.llm.byte_bpe import op5_byte_bpe
 from millrace.llm.decontamination import OP2_SQL, op2_decontamination
 from millrace.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
 from millrace.llm.licenses import op4_licenses
+from millrace.llm.mixing import op12_mix_sources
 from millrace.llm.near_duplicates import op3_near_duplicates
 from millrace.llm.pseudonyms import op7_pseudonyms
 from millrace.llm.quality import op6_quality
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_shard_by_bytes, op2_decontamination, op3_near_duplicates, op4_licenses, op5_byte_bpe, op6_quality,
-        op7_pseudonyms, op8_url_filter, op9_top_k, op10_token_store, op13_fill_in_middle,
+        op7_pseudonyms, op8_url_filter, op9_top_k, op10_token_store, op12_mix_sources, op13_fill_in_middle,
     )
 }
 ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_top_k": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
