@@ -71,15 +71,26 @@ class Solver:
         return ""
 
 
-class TreeAgent(Solver):
+class TreeSolver(Solver):
+    """Works on a tree of states, whose kept tables are given back in the end; subclasses give ``_search``."""
+
+    def _solve(self, task: Task, out: SolveResult) -> None:
+        with ReasoningTree(task.sources) as tree:
+            self._search(task, tree, out)
+
+    def _search(self, task: Task, tree: ReasoningTree, out: SolveResult) -> None:
+        raise NotImplementedError
+
+
+class TreeAgent(TreeSolver):
     """Expands states of a tree, may go back to any of them, and answers with a whole pipeline."""
 
     def __init__(self, model: Model, environment: Environment | None = None, temperature: float = 0.01, turns: int = 5):
         super().__init__(model, environment, temperature)
         self.turns = turns
 
-    def _solve(self, task: Task, out: SolveResult) -> None:
-        tree, last = ReasoningTree(task.sources), None
+    def _search(self, task: Task, tree: ReasoningTree, out: SolveResult) -> None:
+        last = None
         messages = [{"role": "system", "content": system_prompt()}, {"role": "user", "content": serialize_task(task)}]
         for k in range(self.turns + 1):
             if k == self.turns:
@@ -198,7 +209,7 @@ def _parses(call: str) -> bool:
         return False
 
 
-class TreeSearch(Solver):
+class TreeSearch(TreeSolver):
     """Monte Carlo tree search over single operators that the model proposes.
 
     Each iteration goes down by upper confidence bounds, expands a state once, and rolls out from its best
@@ -211,8 +222,7 @@ class TreeSearch(Solver):
         super().__init__(model, environment, temperature)
         self.iterations, self.width, self.depth = iterations, width, depth
 
-    def _solve(self, task: Task, out: SolveResult) -> None:
-        tree = ReasoningTree(task.sources)
+    def _search(self, task: Task, tree: ReasoningTree, out: SolveResult) -> None:
         root = _Visit(tree.root)
         best: tuple[float, TableSet | None, list[str]] = (-1.0, None, [])
         seen = [root]

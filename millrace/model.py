@@ -129,10 +129,12 @@ class Table:
         return self.with_df(self.df.select(*columns, *self.hidden))
 
     def positioned(self) -> Table:
-        """A table whose rows have an order: its own, else that of the partitions as they are read."""
+        """A table whose rows have an order: its own, else that of the partitions as they are read (a stream has none)."""
         if self.order:
             return self
         name = hidden_name()
+        if self.df.isStreaming:
+            return self.with_df(self.df.withColumn(name, F.lit(0)), ((name, True),))
         return self.with_df(self.df.withColumn(name, F.monotonically_increasing_id()), ((name, True),))
 
     def sort_keys(self, backwards: bool = False) -> list[Column]:

@@ -91,7 +91,7 @@ class CastType(Operator):
             x = c.cast("int") if isinstance(own, T.BooleanType) else numeric(t, column)
             if kind.startswith("int") and not isinstance(own, (T.IntegralType, T.BooleanType)):
                 # With any value missing after conversion all are rounded half to even, else truncated.
-                some_missing = one_row(t, F.count(F.lit(1)) > F.count(x))[0]
+                some_missing = not t.df.isStreaming and one_row(t, F.count(F.lit(1)) > F.count(x))[0]
                 x = F.bround(x.cast("double")) if some_missing else x
             new = x.cast({"int": "bigint", "int32": "int", "float": "double", "float32": "float"}[kind])
         if errors == "raise":

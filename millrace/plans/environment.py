@@ -7,6 +7,8 @@ import uuid
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+from pyspark.sql import DataFrame
+
 from millrace.errors import OperatorError
 from millrace.model import Table, TableSet
 from millrace.operators.base import strict
@@ -186,11 +188,23 @@ class Node:
 
 
 class ReasoningTree:
-    """States reached so far. Shared prefixes are shared plans; a state that gets a second child is kept."""
+    """States reached so far. Shared prefixes are shared plans; a state that gets a second child is kept until ``release``."""
 
     def __init__(self, sources: TableSet):
         self.root = Node("n0", state=sources)
         self.nodes = {"n0": self.root}
+        self.kept: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Give back the executors' memory. States stay valid: they are plans, made again when they are asked for."""
+        while self.kept:
+            self.kept.pop().unpersist()
+
+    def __enter__(self) -> ReasoningTree:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
     def expand(self, parent: Node, result: ExecutionResult, turn: int = 0) -> list[Node]:
         """A chain of nodes below ``parent``; steps that are there already are reused."""
@@ -210,7 +224,7 @@ class ReasoningTree:
         if len([c for c in parent.children if c.state is not None]) == 2 and parent.parent is not None and parent.state is not None:
             for name, t in parent.state.items():
                 if parent.parent.state is None or parent.parent.state.get(name) is not t:
-                    t.df.persist()
+                    self.kept.append(t.df.persist())
         return node
 
     def resolve(self, prefix: str | list[str]) -> tuple[Node, str | None]:

@@ -94,28 +94,61 @@ def best_trajectories(candidates: DataFrame, k: int = 1) -> DataFrame:
     return candidates.where("correct").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Weights of the outcome, partial and process rewards, and the price of a bad turn.
-WEIGHTS = (0.7, 0.3, 0.15, 0.05)
-
-
-def reward(result: SolveResult, task: Task, judge=None) -> float:
-    """Outcome, partial similarity and the judge's process score, less a share for bad turns."""
-    from millrace.training.judges import StructuralJudge
-
-    outcome = partial = 0.0
-    if result.table is not None and task.target_table is not None:
-        outcome = float(result.completed and table_match(result.table, task.target_table))
-        partial = 1.0 if outcome else partial_similarity(result.table, task.target_table)
-    process = (judge or StructuralJudge()).score(task, result).value
-    bad = sum(s.turn.error is not None for s in result.steps)
-    a, b, c, d = WEIGHTS
-    return a * outcome + b * partial + c * process - d * bad / max(1, result.turns)
-
-
-def reward_column(outcome: Column, partial: Column, process: Column, bad: Column, turns: Column) -> Column:
-    """The same over columns."""
-    a, b, c, d = WEIGHTS
-    return a * outcome + b * partial + c * process - d * bad / F.greatest(turns, F.lit(1))
+@dataclass(frozen=True)
+class RewardSettings:
+    """Weights of the outcome, the likeness and the process, and what turns without an action cost."""
+
+    outcome: float = 0.7
+    partial: float = 0.3
+    process: float = 0.15
+    format: float = 0.05
+    #: Likeness counts only where the outcome is wrong.
+    partial_only_when_wrong: bool = True
+    #: A table that was never given as the answer earns likeness, if no outcome.
+    score_unanswered: bool = True
+
+
+@dataclass(frozen=True)
+class Reward:
+    """The parts of a reward; ``similarity`` is the likeness whether it counts or not, ``penalty`` what is taken off."""
+
+    outcome: float = 0.0
+    partial: float = 0.0
+    similarity: float = 0.0
+    process: float = 0.0
+    penalty: float = 0.0
+    total: float = 0.0
+
+
+def reward_parts(result: SolveResult, task: Task, judge=None, settings: RewardSettings = RewardSettings()) -> Reward:  # noqa: B008 - immutable
+    """Outcome, likeness where that is wrong, and the process score of a judge if one is given, less a share for
+    turns without an action. Other failures of turns cost nothing."""
+    right, alike = False, 0.0
+    if result.table is not None and task.target_table is not None and (result.completed or settings.score_unanswered):
+        right = bool(result.completed and table_match(result.table, task.target_table))
+        alike = partial_similarity(result.table, task.target_table)
+    partial = 0.0 if right and settings.partial_only_when_wrong else alike
+    process = judge.score(task, result).value if judge is not None and settings.process > 0 else 0.0
+    bad = sum((s.turn.error or "").startswith("MissingAction") for s in result.steps)
+    penalty = settings.format * bad / max(1, result.turns)
+    total = settings.outcome * right + settings.partial * partial + settings.process * process - penalty
+    return Reward(float(right), partial, alike, process, penalty, total)
+
+
+def reward(result: SolveResult, task: Task, judge=None, settings: RewardSettings = RewardSettings()) -> float:  # noqa: B008
+    """The total of ``reward_parts``."""
+    return reward_parts(result, task, judge, settings).total
+
+
+def reward_column(
+    outcome: Column, similarity: Column, process: Column, bad: Column, turns: Column, settings: RewardSettings = RewardSettings()  # noqa: B008
+) -> Column:
+    """The same over columns: outcome 0 or 1, likeness, process score, turns without an action, turns. Missing ones count as 0."""
+    known = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    right = known(outcome)
+    partial = F.when(right > 0, F.lit(0.0)).otherwise(known(similarity)) if settings.partial_only_when_wrong else known(similarity)
+    penalty = settings.format * known(bad) / F.greatest(known(turns), F.lit(1.0))
+    return settings.outcome * right + settings.partial * partial + settings.process * known(process) - penalty
 
 
 def group_advantages(rewards: DataFrame, eps: float = 1e-8) -> DataFrame:
@@ -140,8 +173,8 @@ _LAZY = {
     "MaskedTokens": "masks", "mask_conversation": "masks", "only_actions": "masks",
 }
 __all__ = [
-    *_LAZY, "Example", "best_trajectories", "group_advantages", "materialize_states", "operator_examples", "perturb", "reward",
-    "reward_column", "token_mask", "trajectory_example",
+    *_LAZY, "Example", "Reward", "RewardSettings", "best_trajectories", "group_advantages", "materialize_states", "operator_examples", "perturb", "reward",
+    "reward_column", "reward_parts", "token_mask", "trajectory_example",
 ]
 
 

@@ -133,6 +133,12 @@ def test_tree(spark):
     assert tree.resolve("Deduplicate(people,[id])\nCount(people)")[1].startswith("PrefixMismatch:")
     assert "n2 DropNA" in tree.render() and "FAILED" in tree.render()
     assert canonical("DropNA( people )") == canonical("DropNA(people, how='any')")
+    tree.expand(a[0], env.execute(a[0].state, "Count(people)"))  # a second child: the state is kept
+    assert tree.kept and all(df.storageLevel.useMemory for df in tree.kept)
+    held = list(tree.kept)
+    with tree:
+        pass
+    assert not tree.kept and not any(df.storageLevel.useMemory for df in held) and a[0].state["people"].df.count() == 4
 
 
 def test_table_match(spark):

@@ -108,7 +108,7 @@ def test_solvers(spark, tasks):
     tree = TreeAgent(ScriptedModel([turn(expand="Nope(x)"), turn(expand=task.gold_pipeline[0]), turn(expand="Count(customer)", prefix=""), turn(answer=gold)]))
     r = tree.solve(task)
     assert r.completed and table_match(r.table, task.target_table) and r.turns == 4 and r.backtracks == 1
-    assert 0.9 < reward(r, task) <= 1.15
+    assert reward(r, task) == pytest.approx(0.7)  # the first turn's failure isn't a missing action
     example = trajectory_example(task, r, serialize_task(task))
     assert sum(example.trainable) == 4 and len(example.messages) == len(example.trainable)
     late = TreeAgent(ScriptedModel([turn(expand=task.gold_pipeline[0])]), turns=2).solve(task)

@@ -31,7 +31,8 @@ def test_demo_and_structural_judge(spark, task):
     r = TreeAgent(ScriptedModel(TURNS)).solve(task)
     s = StructuralJudge().score(task, r)
     assert s.feedback_responsiveness == 1.0 and s.backtracking_justification == 1.0 and 0.7 < s.value < 1.0
-    assert training.reward(r, task) > 1.0
+    assert training.reward(r, task) == pytest.approx(0.7)
+    assert training.reward(r, task, StructuralJudge()) == pytest.approx(0.7 + 0.15 * s.value)
     assert StructuralJudge().score(task, SolveResult("x")).value == 0.0
     blind = SolveResult("x", steps=[Step("", Turn(plan="p"), "ERROR MissingColumn: no column 'value'"), Step("", Turn(plan="go on"), "OK A(t)", moved=True)])
     got = StructuralJudge().score(task, blind)
@@ -173,3 +174,23 @@ def test_commands(tmp_path, task, monkeypatch, capsys):
     (tmp_path / "s.json").write_text(json.dumps(TURNS))
     assert cli.main(["distill", str(tmp_path / "t.json"), str(tmp_path / "o.jsonl"), "--script", str(tmp_path / "s.json"), "--candidates", "1"]) == 0
     assert len(read_jsonl(str(tmp_path / "o.jsonl"))) == 1
+
+
+def test_reward_parts(spark, task):
+    """Correct, half right, malformed and unanswered runs; the settings; the same over columns."""
+    right = TreeAgent(ScriptedModel(TURNS)).solve(task)
+    parts = training.reward_parts(right, task, StructuralJudge())
+    assert (parts.outcome, parts.partial, parts.similarity, parts.penalty) == (1.0, 0.0, 1.0, 0.0) and parts.total > 0.7
+    both = training.reward_parts(right, task, None, training.RewardSettings(partial_only_when_wrong=False))
+    assert both.total == pytest.approx(1.0) and both.process == 0.0
+    unanswered = SolveResult("x", table=right.table, steps=[Step("", Turn(plan="p"), "OK A(t)")])
+    parts = training.reward_parts(unanswered, task)
+    assert (parts.outcome, parts.partial) == (0.0, 1.0) and parts.total == pytest.approx(0.3)
+    assert training.reward(unanswered, task, settings=training.RewardSettings(score_unanswered=False)) == 0.0
+    wrong = SolveResult("x", table=next(iter(task.sources.values())), completed=True)
+    assert 0.0 < training.reward_parts(wrong, task).partial < 1.0 and training.reward(wrong, task) < 0.3
+    mute = SolveResult("x", steps=[Step("", Turn(error="MissingAction: none"), ""), Step("", Turn(error="EmptyAnswer: none"), "")])
+    assert training.reward(mute, task) == pytest.approx(-0.05 / 2)
+    df = spark.createDataFrame([(1, 1.0, 0.5, 0, 4), (0, 0.4, None, 2, 4), (0, None, 1.0, 0, 0)], "o int, s double, p double, b int, t int")
+    got = [r[0] for r in df.select(training.reward_column(*[df[c] for c in "ospbt"])).collect()]
+    assert got == pytest.approx([0.7 + 0.075, 0.3 * 0.4 - 0.025, 0.15])
