@@ -10,13 +10,14 @@ from contextlib import closing
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from millrace.model import Table, TableSet, hidden_name, without_nan
+from millrace.model import Table, TableSet, hidden_name, quoted, without_nan
 
-#: Rows of rowid range that one partition reads.
+#: Rows that one partition reads.
 RANGE = 500_000
 _IDENT = re.compile(r'"')
 
@@ -74,34 +75,69 @@ class _Rows(InputPartition):
     high: int | None
 
 
+#: Comparisons of a column with a value (in: with a list) or none, that SQLite makes as Spark does between values of one kind.
+COMPARED = ("=", ">", ">=", "<", "<=", "in", "is null", "is not null")
+
+
 class _Reader(DataSourceReader):
+    """Parts of a table by bounds that each hold RANGE rows, wherever their rowids lie; filters go into SQLite's query.
+
+    Filters are an option, not what Spark would push: it keeps pushed filters with the source, for every later query of
+    the same DataFrame.
+    """
+
     def __init__(self, options, schema: T.StructType):
         self.path, self.table, self.schema = options["path"], options["dbtable"], schema
         self.position = options.get("position")
+        made = [self._condition(*f) for f in json.loads(options.get("filters", "[]"))]
+        self.conditions = [c for c in made if c is not None]
+
+    def _condition(self, name: str, op: str, value=None) -> tuple[str, list] | None:
+        """SQL and its values; Spark makes every test again, so a condition need only not lose a row."""
+        column, text = self._column(name), name in self.schema.fieldNames() and isinstance(self.schema[name].dataType, T.StringType)
+        if op in ("is null", "is not null"):
+            return f"{column} {op.upper()}", []
+        values = list(value) if op == "in" else [value]
+        if not all(isinstance(v, str if text else (int, float)) and not isinstance(v, bool) for v in values):
+            return None
+        if any(isinstance(v, int) and abs(v) >= 1 << 63 for v in values):
+            return None
+        test = f"{column} IN ({', '.join('?' * len(values))})" if op == "in" else f"{column} {op} ?"
+        # A column of text may hold numbers, which become text only when they are read.
+        return (f"(typeof({column}) <> 'text' OR {test})" if text else test), values
 
     def partitions(self) -> list[_Rows]:
+        table = _quote(self.table)
         with closing(connect(self.path)) as db:
             try:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
+                at = db.execute(f"SELECT min(rowid) FROM {table}").fetchone()[0]
             except sqlite3.OperationalError:  # a table without rowid is read in one piece
                 return [_Rows(None, None)]
-        if low is None:
-            return [_Rows(0, 0)]
-        return [_Rows(a, min(a + RANGE, high + 1)) for a in range(low, high + 1, RANGE)]
+            bounds = []
+            while at is not None:  # each step goes on from the last bound, so all steps together pass the index once
+                bounds.append(at)
+                at = next(iter(db.execute(f"SELECT rowid FROM {table} WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET ?", (at, RANGE)).fetchone() or [None]))
+        return [_Rows(a, z) for a, z in zip(bounds, [*bounds[1:], None], strict=True)] if bounds else [_Rows(0, 0)]
+
+    def _column(self, name: str) -> str:
+        return "rowid" if name == self.position else _quote(name)
+
+    def query(self, partition: _Rows) -> tuple[str, list]:
+        """SQLite's query for a part, and its values."""
+        columns = ", ".join("0" if n == self.position and partition.low is None else self._column(n) for n in self.schema.fieldNames())
+        tests = list(self.conditions)
+        if partition.low is not None:
+            tests.append(("rowid >= ?", [partition.low]))
+            if partition.high is not None:
+                tests.append(("rowid < ?", [partition.high]))
+        where = f" WHERE {' AND '.join(t for t, _ in tests)}" if tests else ""
+        return f"SELECT {columns or 1} FROM {_quote(self.table)}{where}", [v for _, vs in tests for v in vs]
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
-        names = [f.name for f in self.schema.fields]
-        columns = ", ".join("rowid" if n == self.position else _quote(n) for n in names)
-        query = f"SELECT {columns} FROM {_quote(self.table)}"
-        args: tuple = ()
-        if partition.low is None:
-            query = query.replace("rowid", "0", 1) if self.position else query
-        else:
-            query, args = f"{query} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)
         make = [_maker(f.dataType) for f in self.schema.fields]
         with closing(connect(self.path)) as db:
-            for row in db.execute(query, args):
-                yield tuple(None if v is None else f(v) for f, v in zip(make, row, strict=True))
+            for row in db.execute(*self.query(partition)):
+                yield tuple(None if v is None else f(v) for f, v in zip(make, row, strict=False))
 
 
 def _maker(t: T.DataType):
@@ -113,7 +149,11 @@ def _maker(t: T.DataType):
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite_ro").options(path=..., dbtable=...)``; partitions are ranges of rowids."""
+    """``spark.read.format("sqlite_ro").options(path=..., dbtable=...)``; partitions hold equally many rows.
+
+    ``columns``, a JSON list, names those to read; others never leave SQLite. ``filters``, a JSON list of [column, one of
+    COMPARED, value], leave out rows by SQLite's own query, as far as it can test as Spark does.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -122,6 +162,8 @@ class SqliteSource(DataSource):
     def schema(self) -> T.StructType:
         with closing(connect(self.options["path"])) as db:
             s = table_schema(db, self.options["dbtable"])
+        if "columns" in self.options:
+            s = T.StructType([s[c] for c in json.loads(self.options["columns"])])
         extra = [T.StructField(self.options["position"], T.LongType())] if "position" in self.options else []
         return T.StructType([*s.fields, *extra])
 
@@ -129,16 +171,36 @@ class SqliteSource(DataSource):
         return _Reader(self.options, schema)
 
 
-def read_table(spark: SparkSession, path: str, table: str) -> Table:
-    """One SQLite table, ordered by rowid."""
+def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, filters: list[tuple] | None = None) -> Table:
+    """One SQLite table, ordered by rowid; of ``columns`` alone, and of rows that pass all ``filters``, if given.
+
+    A filter is (column, one of COMPARED, value), the column one of those read.
+    """
     spark.dataSource.register(SqliteSource)
     at = hidden_name()
     with closing(connect(path)) as db:
         schema = table_schema(db, table)
-    df = spark.read.format("sqlite_ro").options(path=path, dbtable=table, position=at).load()
+    known = schema.fieldNames() if columns is None else columns
+    if wrong := [f for f in filters or [] if f[0] not in known or f[1] not in COMPARED]:
+        raise ValueError(f"filters of unknown columns or comparisons: {wrong}; columns: {known}, comparisons: {COMPARED}")
+    wanted = {} if columns is None else {"columns": json.dumps(columns)}
+    df = spark.read.format("sqlite_ro").options(path=path, dbtable=table, position=at, filters=json.dumps(filters or []), **wanted).load()
     for f in schema.fields:
-        df = df.withMetadata(f.name, f.metadata)
-    return Table(table, without_nan(df), "", ((at, True),))
+        if f.name in df.columns:
+            df = df.withMetadata(f.name, f.metadata)
+    made = Table(table, without_nan(df), "", ((at, True),))
+    for name, op, *value in filters or []:
+        made = made.with_df(made.df.where(_test(quoted(name), op, *value)))
+    return made
+
+
+def _test(c: Column, op: str, value=None) -> Column:
+    if op == "in":
+        return c.isin(*value)
+    if op in ("is null", "is not null"):
+        return c.isNull() if op == "is null" else c.isNotNull()
+    v = F.lit(value)
+    return {"=": c == v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[op]
 
 
 def load_sources(spark: SparkSession, path: str, tables: list[str] | None = None) -> TableSet:

@@ -178,3 +178,42 @@ def test_similarity_and_costs(spark):
     assert half == pytest.approx((1 / 3 + 1 + 1) / 3)
     assert 0 <= partial_similarity(a.limit(0), a) < 0.8
     assert gpu_cost(3600) == 0.91 and api_cost(10**6, 10**6, Price(1.0, 2.0)) == 3.0 and api_cost(10, 0, Price(1e6, 0, 0.0), 10) == 0
+
+
+def test_sqlite_bounds_and_filters(spark, tmp_path, monkeypatch):
+    """Rowids far apart are read in parts of equal size; filters and chosen columns reach SQLite's query."""
+    from millrace.sources import sqlite as S
+
+    path = str(tmp_path / "far.sqlite")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE far (id INTEGER PRIMARY KEY, n INTEGER, x REAL, t TEXT, mixed)")
+        rows = [(i, i % 3, i / 2, f"t{i % 4}", i if i % 2 else f"m{i}") for i in range(25)]
+        rows += [(1 << 62, 7, None, None, None), (-(1 << 61), None, -1.5, "low", 2.5)]
+        db.executemany("INSERT INTO far VALUES (?, ?, ?, ?, ?)", rows)
+        db.execute("CREATE TABLE none (a INTEGER)")
+        db.execute("CREATE TABLE keyed (a TEXT PRIMARY KEY, b INTEGER) WITHOUT ROWID")
+        db.execute("INSERT INTO keyed VALUES ('x', 1), ('y', 2)")
+    db.close()
+    monkeypatch.setattr(S, "RANGE", 10)
+    t = read_table(spark, path, "far")
+    assert sorted(r.id for r in t.visible.collect()) == sorted(r[0] for r in rows)
+    assert [r.id for r in t.ordered().collect()] == sorted(r[0] for r in rows)
+    assert read_table(spark, path, "none").visible.count() == 0 and read_table(spark, path, "keyed").visible.where("b > 1").count() == 1
+    for filters, want in [
+        ([("n", "=", 1), ("x", ">", 3)], lambda r: r[1] == 1 and r[2] is not None and r[2] > 3), ([("t", "in", ["t1", "low"])], lambda r: r[3] in ("t1", "low")),
+        ([("t", ">=", "t2")], lambda r: r[3] is not None and r[3] >= "t2"), ([("mixed", "=", "5")], lambda r: r[4] == 5), ([("mixed", ">", "m")], lambda r: isinstance(r[4], str)),
+        ([("x", "is null")], lambda r: r[2] is None), ([("t", "is not null"), ("n", "<=", 1)], lambda r: r[3] is not None and r[1] is not None and r[1] <= 1),
+        ([("id", ">", 1_000_000)], lambda r: r[0] > 10**6), ([("n", "<", 1.5)], lambda r: r[1] is not None and r[1] < 1.5),
+    ]:
+        assert sorted(r.id for r in read_table(spark, path, "far", filters=filters).visible.collect()) == sorted(r[0] for r in rows if want(r)), filters
+    some = read_table(spark, path, "far", ["t", "id"], [("id", "=", 3)])
+    assert some.columns == ["t", "id"] and some.visible.collect() == [("t3", 3)]
+    with pytest.raises(ValueError, match="unknown columns"):
+        read_table(spark, path, "far", ["t"], [("id", "=", 3)])
+    told = '[["n", "=", 1], ["t", "in", ["a", "b"]], ["t", "is not null"], ["n", ">", 1180591620717411303424]]'
+    reader = S.SqliteSource({"path": path, "dbtable": "far", "columns": '["n", "t"]', "filters": told})
+    reader = reader.reader(reader.schema())
+    assert [p.low for p in reader.partitions()] == [-(1 << 61), 9, 19] and reader.partitions()[-1].high is None
+    sql, values = reader.query(reader.partitions()[0])
+    assert sql.startswith('SELECT "n", "t" FROM "far" WHERE "n" = ? AND (typeof("t") <> \'text\' OR "t" IN (?, ?)) AND "t" IS NOT NULL AND rowid >= ?')
+    assert values[:3] == [1, "a", "b"]
