@@ -6,6 +6,7 @@ import math
 import re
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ from millrace.functions.expressions import strip_text
 from millrace.model import Table, TableSet, hidden_name, quoted
 from millrace.operators.aggregation import ALIASES, grouped
 from millrace.operators.base import Operator, Param, get_table, need_columns, register, strict
-from millrace.operators.ordering import ascending_order
+from millrace.operators.ordering import ascending_order, numbered
 
 
 @register
@@ -154,32 +155,64 @@ class Transpose(Operator):
     """Swap rows and columns; the first column, named column, holds the old names, the others are numbered or named by the header column."""
 
     NAME, CATEGORY = "Transpose", "table reshaping"
-    #: Rows that may become columns.
-    LIMIT = 5_000
+    #: Rows that may become columns; so many of them are put together at once.
+    LIMIT, CHUNK = 50_000, 1_000
     PARAMS = (Param("table"), Param("header", None), Param("limit", LIMIT))
 
     def apply(self, tables: TableSet, /, table, header=None, limit=LIMIT) -> TableSet:
-        t = get_table(tables, table)
+        t = get_table(tables, table).positioned()
         if header is not None:
             need_columns(t, [header])
-        rows = t.df.orderBy(*t.sort_keys()).select(*map(quoted, t.columns)).limit(limit + 1).collect() if t.order else t.visible.limit(limit + 1).collect()
-        if len(rows) > limit:
+        number = hidden_name()
+        rows = numbered(t, number)
+        # Names are a part of the schema: the count of rows, or the header's values, and nothing else reach the driver.
+        n = rows.limit(limit + 1).count()
+        if n > limit:
             raise OperatorError(f"StateTooLarge: over {limit} rows can't become columns")
-        names = [str(r[header]) for r in rows] if header is not None else [str(i) for i in range(len(rows))]
+        names = [str(i) for i in range(n)]
+        if header is not None:
+            names = [str(r[0]) for r in rows.select(quoted(header), quoted(number)).orderBy(number).collect()]
         body = [c for c in t.columns if c != header]
         kind = common_type([t.type_of(c) for c in body] or [T.StringType()])
-        spark = t.df.sparkSession
-        fit = (lambda v: None if v is None else str(v)) if isinstance(kind, T.StringType) else (lambda v: float(v) if isinstance(kind, T.DoubleType) and v is not None else v)
-        data = [(c, i, *[fit(r[c]) for r in rows]) for i, c in enumerate(body)]
-        at = hidden_name()
-        made: list[str] = ["column", at]
-        for n in names:
-            k, own = 2, n
-            while own in made:
-                own, k = f"{n}_{k}", k + 1
-            made.append(own)
-        schema = T.StructType([T.StructField("column", T.StringType()), T.StructField(at, T.IntegerType()), *[T.StructField(n, kind) for n in made[2:]]])
-        return tables.replace(t.with_df(spark.createDataFrame(data, schema), ((at, True),)))
+        at, chunk, place, value = (hidden_name() for _ in range(4))
+        made = unique_names(["column", at, *names])[2:]
+        if not body:
+            fields = [T.StructField("column", T.StringType()), T.StructField(at, T.IntegerType()), *[T.StructField(m, kind) for m in made]]
+            return tables.replace(t.with_df(t.df.sparkSession.createDataFrame([], T.StructType(fields)), ((at, True),)))
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("n"), _cell(t, c, kind).alias("v")) for i, c in enumerate(body)]))
+        of_chunk = F.array_sort(F.collect_list(F.struct(place, value)))
+        df = (
+            rows.select(F.floor((quoted(number) - 1) / self.CHUNK).alias(chunk), quoted(number).alias(place), cells.alias("cell"))
+            .select(chunk, place, F.col("cell.i").alias(at), F.col("cell.n").alias("column"), F.col("cell.v").alias(value))
+            .groupBy(at, "column", chunk).agg(F.transform(of_chunk, lambda x: x[value]).alias(value))
+        )
+        parts = [hidden_name() for _ in range(0, n, self.CHUNK)]
+        df = df.groupBy(at, "column").agg(*[F.first(F.when(quoted(chunk) == i, quoted(value)), ignorenulls=True).alias(p) for i, p in enumerate(parts)]) if parts else (
+            t.df.sparkSession.createDataFrame(list(enumerate(body)), f"{at} int, column string")
+        )
+        df = df.select("column", at, *[F.get(parts[i // self.CHUNK], F.lit(i % self.CHUNK)).alias(m) for i, m in enumerate(made)])
+        return tables.replace(t.with_df(df, ((at, True),)))
+
+
+def _cell(t: Table, column: str, kind: T.DataType) -> Column:
+    """A value as a cell of ``kind``; truth values as text begin with a capital."""
+    c = quoted(column)
+    if isinstance(kind, T.StringType) and isinstance(t.type_of(column), T.BooleanType):
+        return F.initcap(c.cast("string"))
+    return c.cast(kind)
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """``a, a`` as ``a, a_2``."""
+    out: dict[str, None] = {}
+    last: dict[str, int] = {}
+    for n in names:
+        own, k = n, last.get(n, 1)
+        while own in out:
+            k += 1
+            own = f"{n}_{k}"
+        out[own], last[n] = None, k
+    return list(out)
 
 
 @register

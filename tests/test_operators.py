@@ -1,10 +1,11 @@
 import pandas as pd
 import pytest
 from fixtures import rows, simple
+from pyspark.sql import functions as F
 
 from millrace.errors import OperatorError
 from millrace.functions.fallback import allow
-from millrace.model import TableSet
+from millrace.model import TableSet, make_table
 from millrace.operators import OPERATORS, operator_manual, operators_by_category
 from millrace.operators.queries import run_pipeline
 
@@ -187,3 +188,28 @@ def test_errors(tables, call, message):
 def test_answer_mark_is_lost_by_later_operators(tables):
     done = run_pipeline(tables, "Terminate(people)")
     assert done.answer == "people" and run_pipeline(done, "Filter(people, lambda r: r['id'] > 1)").answer is None
+
+
+def test_transpose_of_many_rows(spark, monkeypatch):
+    """Columns put together from several chunks; no row of the table in the plan, and none collected."""
+    from millrace.operators.reshaping import Transpose, unique_names
+
+    monkeypatch.setattr(Transpose, "CHUNK", 100)
+    df = spark.range(0, 250).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE id / 2 END AS half", "'h' || (id % 200) AS name", "id % 2 = 0 AS even").repartition(3)
+    t = TableSet([make_table(spark, "t", df)])
+    made = Transpose().apply(t.replace(t["t"].with_df(t["t"].df.withColumn("__oid", F.col("id")), (("__oid", False),))), table="t", header="name")["t"]
+    first, second, third = made.ordered().collect()
+    assert made.columns[:3] == ["column", "h49", "h48"] and len(made.columns) == 251 and made.columns[-50] == "h49_2"
+    assert (first["column"], second["column"], third["column"]) == ("id", "half", "even")
+    assert list(first)[1:] == [str(i) for i in range(249, -1, -1)] and list(third)[1:3] == ["False", "True"]
+    assert list(second)[1:] == [None if i % 7 == 0 else str(i / 2) for i in range(249, -1, -1)]
+    assert "LocalTableScan" not in made.df._jdf.queryExecution().optimizedPlan().toString()
+    numbers = Transpose().apply(TableSet([make_table(spark, "n", spark.range(300))]), table="n")["n"]
+    assert numbers.columns[1:] == [str(i) for i in range(300)] and sorted(numbers.ordered().first()[1:]) == list(range(300))
+    empty = Transpose().apply(TableSet([make_table(spark, "n", spark.range(0).selectExpr("id", "id AS b"))]), table="n")["n"]
+    assert [tuple(r) for r in empty.ordered().collect()] == [("id",), ("b",)]
+    alone = Transpose().apply(TableSet([make_table(spark, "n", spark.range(2))]), table="n", header="id")["n"]
+    assert sorted(alone.columns) == ["0", "1", "column"] and alone.visible.count() == 0
+    with pytest.raises(OperatorError, match="StateTooLarge"):
+        Transpose().apply(TableSet([make_table(spark, "n", spark.range(30))]), table="n", limit=20)
+    assert unique_names(["a", "a_2", "a", "a"]) == ["a", "a_2", "a_3", "a_4"] and len(set(unique_names(["x"] * 60_000))) == 60_000
