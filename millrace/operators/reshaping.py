@@ -156,7 +156,7 @@ class Transpose(Operator):
 
     NAME, CATEGORY = "Transpose", "table reshaping"
     #: Rows that may become columns; so many of them are put together at once.
-    LIMIT, CHUNK = 50_000, 1_000
+    LIMIT, CHUNK = 5_000, 1_000
     PARAMS = (Param("table"), Param("header", None), Param("limit", LIMIT))
 
     def apply(self, tables: TableSet, /, table, header=None, limit=LIMIT) -> TableSet:
