@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from millrace.errors import OperatorError
 
 _allowed: bool | None = None
-#: Builtins that user code may use, and modules that it may import.
+#: A choice of our own: builtins without side effects that user code may use, and modules that it may import.
 BUILTINS = (
     "abs", "all", "any", "bool", "chr", "dict", "divmod", "enumerate", "filter", "float", "format", "frozenset",
     "hash", "hex", "int", "isinstance", "iter", "len", "list", "map", "max", "min", "next", "oct", "ord", "pow",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.relational.aggregates import Aggregator, aggregate_by
 from millrace.relational.asof import as_of_join
 from millrace.relational.groupings import cube, grouping_sets, rollup
 from millrace.relational.inequality import inequality_join
@@ -196,6 +197,16 @@ def grouping_sets_chosen(lineitem: DataFrame) -> DataFrame:
     return _rounded(got.withColumn("grouping_id", bits.cast("long")))
 
 
+@_query("""SELECT g, round(list_sum(list_slice(list_reverse_sort(list_distinct(list(l_extendedprice))), 1, 3)), 4) AS top, count(*) AS n
+  FROM (SELECT CASE WHEN l_orderkey % 10 < 8 THEN 'hot' WHEN l_returnflag <> 'A' THEN l_returnflag END AS g, l_extendedprice FROM lineitem) t GROUP BY g""")
+def aggregate_by_hot(lineitem: DataFrame) -> DataFrame:
+    """The sum of the three highest different prices, by labels of which one holds eight tenths of the lines."""
+    top = Aggregator(list, lambda s, v: sorted({*s, *(x for x in v if x is not None)})[-3:], lambda a, b: sorted({*a, *b})[-3:], lambda s: float(sum(s)) if s else None, "double")
+    count = Aggregator(int, lambda s, v: s + len(v), lambda a, b: a + b, lambda s: s, "long")
+    lines = lineitem.withColumn("g", F.when(F.col("l_orderkey") % 10 < 8, "hot").when(F.col("l_returnflag") != "A", F.col("l_returnflag")))
+    return aggregate_by(lines, ["g"], {"top": (top, "l_extendedprice"), "n": (count, "l_extendedprice")}).withColumn("top", F.round("top", 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(f):
         names = f.__code__.co_varnames[: f.__code__.co_argcount]
