@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +85,8 @@ class Stack(Operator):
     def apply(self, tables: TableSet, /, table, id_vars, value_vars=None, var_name="variable", value_name="value") -> TableSet:
         t = get_table(tables, table).positioned()
         id_vars = id_vars or []
+        if isinstance(t, Transposed) and t.cells is not None and id_vars == ["column"] and value_vars is None and "column" not in (var_name, value_name):
+            return tables.replace(t.stacked(var_name, value_name))
         rest = [c for c in t.columns if c not in id_vars] if value_vars is None else value_vars
         need_columns(t, [*id_vars, *rest])
         if value_name in t.columns and value_name not in rest:
@@ -150,48 +153,103 @@ class WideToLong(Operator):
         return tables.replace(t.with_df(df, ((at, True), *t.order)))
 
 
+class Transposed(Table):
+    """A transposed table: its cells one a row, from which columns are put together only when something asks for them.
+
+    ``cells`` has the old column's number ``at`` and name ``column``, the row's number ``place`` from 1, its name
+    ``named`` and the value; None where a row's name as a column isn't known without the others'.
+    """
+
+    def __init__(self, name: str, description: str, at: str, place: str, named: str, value: str, cells: DataFrame | None, wide: Callable[[], DataFrame]):
+        for k, v in {"name": name, "description": description, "order": ((at, True),), "at": at, "place": place, "named": named, "value": value, "cells": cells, "wide": wide}.items():
+            object.__setattr__(self, k, v)
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.wide()
+
+    def renamed(self, name: str) -> Table:
+        return Transposed(name, self.description, self.at, self.place, self.named, self.value, self.cells, self.wide)
+
+    def stacked(self, var_name: str, value_name: str) -> Table:
+        """What Stack makes of all columns but ``column``, for any number of them."""
+        if self.cells.isEmpty():
+            raise OperatorError("no columns are left to stack")
+        df = self.cells.select("column", quoted(self.named).alias(var_name), quoted(self.value).alias(value_name), quoted(self.place), quoted(self.at))
+        return Table(self.name, df, self.description, ((self.place, True), (self.at, True)))
+
+
 @register
 class Transpose(Operator):
     """Swap rows and columns; the first column, named column, holds the old names, the others are numbered or named by the header column."""
 
     NAME, CATEGORY = "Transpose", "table reshaping"
-    #: Rows that may become columns; so many of them are put together at once.
+    #: Rows that may become columns of a DataFrame, unless ``limit`` is given; so many of them are put together at once.
     LIMIT, CHUNK = 5_000, 1_000
-    PARAMS = (Param("table"), Param("header", None), Param("limit", LIMIT))
+    PARAMS = (Param("table"), Param("header", None), Param("limit", None))
 
-    def apply(self, tables: TableSet, /, table, header=None, limit=LIMIT) -> TableSet:
+    def apply(self, tables: TableSet, /, table, header=None, limit=None) -> TableSet:
         t = get_table(tables, table).positioned()
         if header is not None:
             need_columns(t, [header])
         number = hidden_name()
         rows = numbered(t, number)
-        # Names are a part of the schema: the count of rows, or the header's values, and nothing else reach the driver.
-        n = rows.limit(limit + 1).count()
-        if n > limit:
-            raise OperatorError(f"StateTooLarge: over {limit} rows can't become columns")
-        names = [str(i) for i in range(n)]
-        if header is not None:
-            names = [str(r[0]) for r in rows.select(quoted(header), quoted(number)).orderBy(number).collect()]
         body = [c for c in t.columns if c != header]
         kind = common_type([t.type_of(c) for c in body] or [T.StringType()])
-        at, chunk, place, value = (hidden_name() for _ in range(4))
-        made = unique_names(["column", at, *names])[2:]
-        if not body:
-            fields = [T.StructField("column", T.StringType()), T.StructField(at, T.IntegerType()), *[T.StructField(m, kind) for m in made]]
-            return tables.replace(t.with_df(t.df.sparkSession.createDataFrame([], T.StructType(fields)), ((at, True),)))
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("n"), _cell(t, c, kind).alias("v")) for i, c in enumerate(body)]))
+        at, place, named, value = (hidden_name() for _ in range(4))
+        cells = None
+        if body:
+            cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("n"), _cell(t, c, kind).alias("v")) for i, c in enumerate(body)]))
+            name = (quoted(number) - 1).cast("string") if header is None else _header(t, header)
+            cells = rows.select(quoted(number).alias(place), name.alias(named), cell.alias("cell")).select(
+                place, named, F.col("cell.i").alias(at), F.col("cell.n").alias("column"), F.col("cell.v").alias(value)
+            )
+        most = self.LIMIT if limit is None else limit
+
+        def wide() -> DataFrame:
+            # Names are a part of the schema: the count of rows, or the header's values, and nothing else reach the driver.
+            n = rows.limit(most + 1).count()
+            if n > most:
+                raise OperatorError(f"StateTooLarge: over {most} rows can't become columns")
+            names = [str(i) for i in range(n)]
+            if header is not None:
+                names = [str(r[0]) for r in rows.select(quoted(header), quoted(number)).orderBy(number).collect()]
+            made = unique_names(["column", at, *names])[2:]
+            if cells is None:
+                fields = [T.StructField("column", T.StringType()), T.StructField(at, T.IntegerType()), *[T.StructField(m, kind) for m in made]]
+                return rows.sparkSession.createDataFrame([], T.StructType(fields))
+            return self._columns(cells, body, at, place, value, made)
+
+        plain = header is None or cells is not None and isinstance(t.type_of(header), (T.StringType, T.IntegralType)) and _different(rows, _header(t, header), [at])
+        made = Transposed(t.name, t.description, at, place, named, value, cells if plain else None, wide)
+        if limit is not None or cells is None:
+            made.df  # noqa: B018 - a limit that is given is kept at once
+        return tables.replace(made)
+
+    def _columns(self, cells: DataFrame, body: list[str], at: str, place: str, value: str, made: list[str]) -> DataFrame:
+        """Cells put together in rows, in chunks of columns."""
+        chunk = hidden_name()
         of_chunk = F.array_sort(F.collect_list(F.struct(place, value)))
         df = (
-            rows.select(F.floor((quoted(number) - 1) / self.CHUNK).alias(chunk), quoted(number).alias(place), cells.alias("cell"))
-            .select(chunk, place, F.col("cell.i").alias(at), F.col("cell.n").alias("column"), F.col("cell.v").alias(value))
+            cells.select(F.floor((quoted(place) - 1) / self.CHUNK).alias(chunk), place, at, "column", value)
             .groupBy(at, "column", chunk).agg(F.transform(of_chunk, lambda x: x[value]).alias(value))
         )
-        parts = [hidden_name() for _ in range(0, n, self.CHUNK)]
+        parts = [hidden_name() for _ in range(0, len(made), self.CHUNK)]
         df = df.groupBy(at, "column").agg(*[F.first(F.when(quoted(chunk) == i, quoted(value)), ignorenulls=True).alias(p) for i, p in enumerate(parts)]) if parts else (
-            t.df.sparkSession.createDataFrame(list(enumerate(body)), f"{at} int, column string")
+            cells.sparkSession.createDataFrame(list(enumerate(body)), f"{at} int, column string")
         )
-        df = df.select("column", at, *[F.get(parts[i // self.CHUNK], F.lit(i % self.CHUNK)).alias(m) for i, m in enumerate(made)])
-        return tables.replace(t.with_df(df, ((at, True),)))
+        return df.select("column", at, *[F.get(parts[i // self.CHUNK], F.lit(i % self.CHUNK)).alias(m) for i, m in enumerate(made)])
+
+
+def _header(t: Table, column: str) -> Column:
+    """A header's value as a column's name; a missing one is None."""
+    return F.coalesce(quoted(column).cast("string"), F.lit("None"))
+
+
+def _different(rows: DataFrame, name: Column, taken: list[str]) -> bool:
+    """Whether each row's name is its column's name as it is: none repeated, none that the table has already."""
+    found = rows.select(name.alias("n")).groupBy("n").count()
+    return found.where((F.col("count") > 1) | F.col("n").isin("column", *taken)).isEmpty()
 
 
 def _cell(t: Table, column: str, kind: T.DataType) -> Column:

@@ -212,4 +212,16 @@ def test_transpose_of_many_rows(spark, monkeypatch):
     assert sorted(alone.columns) == ["0", "1", "column"] and alone.visible.count() == 0
     with pytest.raises(OperatorError, match="StateTooLarge"):
         Transpose().apply(TableSet([make_table(spark, "n", spark.range(30))]), table="n", limit=20)
+    many = TableSet([make_table(spark, "n", spark.range(6_000).selectExpr("id", "'n' || id AS name").repartition(3))])
+    tall = run_pipeline(many, "Sort(n, [id])\nTranspose(n)\nStack(n, [column])")["n"]
+    got = [tuple(r) for r in tall.ordered().collect()]
+    assert got == [x for i in range(6_000) for x in (("id", str(i), str(i)), ("name", str(i), f"n{i}"))]
+    named = run_pipeline(many, "Sort(n, [id], ascending=False)\nTranspose(n, header=name)\nStack(n, [column], value_name=v)")["n"]
+    assert named.columns == ["column", "variable", "v"] and [tuple(r) for r in named.ordered().head(2)] == [("id", "n5999", 5999), ("id", "n5998", 5998)]
+    with pytest.raises(OperatorError, match="StateTooLarge"):
+        run_pipeline(many, "Transpose(n)")["n"].columns  # noqa: B018
+    twice = TableSet([make_table(spark, "n", spark.createDataFrame([("a", 1), ("a", 2), ("column", 3), (None, 4)], "h string, v int").coalesce(1))])
+    assert sorted(tuple(r)[1:] for r in run_pipeline(twice, "Transpose(n, header=h)\nStack(n, [column])")["n"].visible.collect()) == [("None", 4), ("a", 1), ("a_2", 2), ("column_2", 3)]
+    with pytest.raises(OperatorError, match="no columns are left"):
+        run_pipeline(TableSet([make_table(spark, "n", spark.range(0))]), "Transpose(n)\nStack(n, [column])")
     assert unique_names(["a", "a_2", "a", "a"]) == ["a", "a_2", "a_3", "a_4"] and len(set(unique_names(["x"] * 60_000))) == 60_000
