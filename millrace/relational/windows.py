@@ -203,17 +203,39 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Map
     unknown = set(wanted.values()) - {"row_number", "rank", "dense_rank"}
     if unknown:
         raise ValueError(f"unknown kinds {sorted(unknown)}")
-    steps, held = [o.removeprefix("-") for o in order], hidden_name()
-    n, r, d, fresh = (hidden_name() for _ in range(4))
-    rows = shifted(df, keys, order, {held: (F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(steps)]), 1)}, blocks=blocks)
-    new = quoted(held).isNull()
-    for i, c in enumerate(steps):
-        new |= ~quoted(held)[f"c{i}"].eqNullSafe(quoted(c))
-    rows = rows.withColumn(fresh, new)
-    # Rows that tie have one rank, so it doesn't matter which of them is numbered first.
-    rows = running(rows, keys, order, {n: ("count", F.lit(1)), d: ("sum", quoted(fresh).cast("int"))}, blocks=blocks)
-    kinds = {"row_number": quoted(n), "dense_rank": quoted(d)}
-    if "rank" in wanted.values():
-        rows = running(rows, keys, [*order, n], {r: ("last", F.when(quoted(fresh), quoted(n)))}, blocks=blocks)
-        kinds["rank"] = quoted(r)
+    t, _ = in_order(df, keys, order)
+    n, r, d, more, start, value, to, same, joins, at, n0, r0, d0, v0 = (hidden_name() for _ in range(14))
+    whole, ties = t.sort_keys(), t.sort_keys()[:-1]
+    own = W.partitionBy(BLOCK, *map(quoted, keys))
+    # Numbers within the block; the rows of a key in a block are known by their first value.
+    rows = in_blocks(t, False, blocks).withColumn(value, F.struct(*[quoted(o.removeprefix("-")).alias(f"c{i}") for i, o in enumerate(order)]))
+    rows = rows.withColumns({
+        n: F.row_number().over(own.orderBy(*whole)).cast("long"), start: F.first(value).over(own.orderBy(*whole).rowsBetween(W.unboundedPreceding, 0)),
+        more: F.lead(F.lit(1)).over(W.partitionBy(BLOCK).orderBy(*whole)),
+        r: F.rank().over(own.orderBy(*ties)).cast("long"), d: F.dense_rank().over(own.orderBy(*ties)).cast("long"),
+    })
+    # A block's last row holds what the block has of its last key, the only key that later blocks can go on with.
+    sofar = W.partitionBy(*map(quoted, keys)).orderBy(BLOCK)
+    ends = rows.where(quoted(more).isNull()).withColumns({
+        at: F.lead(BLOCK).over(W.orderBy(BLOCK)), same: F.coalesce(F.lag(value).over(sofar).eqNullSafe(quoted(start)), F.lit(False)).cast("long"),
+    })
+    # Its last value's rank is that of an earlier block where the value has gone on since.
+    goes_on = (quoted(same) == 1) & (quoted(r) == 1)
+    sofar_rows = sofar.rowsBetween(W.unboundedPreceding, 0)
+    ends = ends.withColumns({n0: F.sum(n).over(sofar_rows), d0: F.sum(quoted(d) - quoted(same)).over(sofar_rows)})
+    ends = ends.withColumn(r0, F.last(F.when(~goes_on, quoted(n0) - quoted(n) + quoted(r)), ignorenulls=True).over(sofar_rows))
+    named = {k: hidden_name() for k in keys}
+    ends = ends.select(quoted(at).alias(to), *[quoted(k).alias(h) for k, h in named.items()], n0, r0, d0, quoted(value).alias(v0))
+    match = quoted(BLOCK) == quoted(to)
+    for k, h in named.items():
+        match &= quoted(k).eqNullSafe(quoted(h))
+    rows = rows.join(F.broadcast(ends), match, "left")  # one row for each block
+    carried = lambda c: F.coalesce(quoted(c), F.lit(0))
+    held = quoted(to).isNotNull() & quoted(v0).eqNullSafe(quoted(start))
+    rows = rows.withColumn(joins, F.when(held, 1).otherwise(0))
+    kinds = {
+        "row_number": carried(n0) + quoted(n),
+        "rank": F.when((quoted(joins) == 1) & (quoted(r) == 1), quoted(r0)).otherwise(carried(n0) + quoted(r)),
+        "dense_rank": carried(d0) + quoted(d) - quoted(joins),
+    }
     return _with(rows, df.columns, {name: kinds[k] for name, k in wanted.items()})
