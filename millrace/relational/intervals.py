@@ -3,8 +3,8 @@
 Bins are ranges of (key, start) that hold about equally many starts, so their width follows the data. A span
 goes to every bin that it touches; a pair is made only in the bin where the later of its two starts lies. So a
 span that covers everything costs a row a bin, and all but the outermost of those meet partners. In a bin
-starts are sorted and each span takes the run of the other side's starts that lie within it: the work
-grows with the pairs found. Bins with more rows than a cell holds become grids of cells in which every pair
+starts are sorted and each span takes the run of the other side's starts that lie within it; Spark makes rows of
+the runs, so Python's work grows with the rows and only Spark's with the pairs found. Bins with more rows than a cell holds become grids of cells in which every pair
 of rows meets once.
 """
 
@@ -19,11 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from millrace.model import quoted
 from millrace.operators.combination import suffixed
-from millrace.relational.cells import cells, common, named, numbers, pairs, sampled, spread, written
+from millrace.relational.cells import TASKS, cells, columns_of, common, exact, expanded, lists, named, numbers, runs, sampled, written
 from millrace.session import materialize
 
 #: Rows of both sides in a bin, rows of a side in a cell, bins at most (two numbers each go to every task).
@@ -58,7 +57,7 @@ def _ranks(h: list[np.ndarray], x: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of overlapping spans of each cell, by the start that lies in the cell's bin."""
+    """Runs of overlapping spans of each cell, by the start that lies in the cell's bin."""
     for cell in cells(batches, ["bin", "i", "j"]):
         left, right = (cell.filter(pc.equal(cell["side"], n)) for n in (0, 1))
         if not (left.num_rows and right.num_rows):
@@ -68,11 +67,11 @@ def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ls, rs, le, re = _ranks([*h, *h], [*s, *e])
         order = [np.flatnonzero(a)[np.argsort(r[a], kind="stable")] for a, r in zip(here, (ls, rs), strict=True)]
         starts = [r[o] for o, r in zip(order, (ls, rs), strict=True)]
+        rows = [columns_of(t[c]) for t, c in ((left, "l"), (right, "r"))]
+        sorted_ = [[c.take(pa.array(o)) for c in side] for side, o in zip(rows, order, strict=True)]
         # The left start within the right span, or the right start within the left span and behind its start.
-        for r, m in spread(np.searchsorted(starts[0], rs, "left"), np.searchsorted(starts[0], re, "right")):
-            yield pairs(left["l"], right["r"], order[0][m], r)
-        for l, m in spread(np.searchsorted(starts[1], ls, "right"), np.searchsorted(starts[1], le, "right")):  # noqa: E741
-            yield pairs(left["l"], right["r"], l, order[1][m])
+        yield from runs(rows[1], sorted_[0], np.arange(right.num_rows), np.searchsorted(starts[0], rs, "left"), np.searchsorted(starts[0], re, "right"), True)
+        yield from runs(rows[0], sorted_[1], np.arange(left.num_rows), np.searchsorted(starts[1], ls, "right"), np.searchsorted(starts[1], le, "right"))
 
 
 def interval_join(
@@ -120,16 +119,18 @@ def interval_join(
         d = d if n else d.withColumn("r", F.lit(None).cast(sides[1].schema["r"].dataType))
         d = d if not n else d.withColumn("l", F.lit(None).cast(sides[0].schema["l"].dataType))
         laid.append(d.select("bin", "i", "j", "side", "h", "s", "e", "starts", "l", "r"))
-    dealt = laid[0].unionAll(laid[1]).repartition("bin", "i", "j").sortWithinPartitions("bin", "i", "j")
-    out = StructType([StructField("l", sides[0].schema["l"].dataType), StructField("r", sides[1].schema["r"].dataType)])
-    found = dealt.mapInArrow(_overlaps, out)
-    l, r = F.col("l"), F.col("r")  # noqa: E741
+    # So many tasks as there are bins: what a task makes grows with its pairs, not with the bytes that Spark would even out.
+    dealt = laid[0].unionAll(laid[1]).repartition(min(TASKS, bins * (1 if grid is None else 8)), "bin", "i", "j").sortWithinPartitions("bin", "i", "j")
+    types = [d.schema[c].dataType for d, c in zip(sides, "lr", strict=True)]
+    found, l, r = expanded(dealt.mapInArrow(_overlaps, lists(*types)), *types)  # noqa: E741
     a, b = l[left_span[0]], r[right_span[0]]
-    exact = (a <= r[right_span[1]]) & (b <= l[left_span[1]]) if closed else (a < r[right_span[1]]) & (b < l[left_span[1]])
+    kinds = [df.schema[c].dataType for df, span in ((left, left_span), (right, right_span)) for c in span]
+    sure = closed and exact(kinds) and kinds[0].typeName() not in ("float", "double")
+    held = F.lit(True) if sure else (a <= r[right_span[1]]) & (b <= l[left_span[1]]) if closed else (a < r[right_span[1]]) & (b < l[left_span[1]])
     for k, c in on:
-        exact &= l[k] == r[c]
+        held &= l[k] == r[c]
     names = suffixed(list(right.columns), set(left.columns))
-    return found.where(exact).select(*[l[c].alias(c) for c in left.columns], *[r[c].alias(names.get(c, c)) for c in right.columns])
+    return found.where(held).select(*[l[c].alias(c) for c in left.columns], *[r[c].alias(names.get(c, c)) for c in right.columns])
 
 
 def _grid(placed: list[DataFrame], cell: int) -> DataFrame | None:
