@@ -18,12 +18,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from millrace.model import Table, hidden_name, quoted
 from millrace.operators.ordering import BLOCK, in_blocks
+from millrace.session import materialize
 
 #: Positions in a chunk at least, and the longest frame that is cut from chunks.
 CHUNK, WIDE = 1 << 16, 1 << 18
+#: The longest frame whose two running aggregates are made in one chunk.
+HELD = 1 << 20
 
 #: name -> (aggregate, how a carried value and one's own are merged)
 KINDS = {
@@ -119,8 +123,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Wa
 
 def _numbered(t: Table, keys: Sequence[str], name: str, blocks: int | None) -> DataFrame:
     """The rows with their number within the key, from 0."""
-    made, held = _running(t, keys, {"n": ("count", F.lit(1))}, False, blocks)
-    return _with(made, t.df.columns, {name: held["n"] - 1})
+    if keys:
+        made, held = _running(t, keys, {"n": ("count", F.lit(1))}, False, blocks)
+        return _with(made, t.df.columns, {name: held["n"] - 1})
+    # Ranges are sorted before they are written, so a row's number in its range is known there: no second shuffle.
+    order, at, block, upto = t.sort_keys(), hidden_name(), hidden_name(), hidden_name()
+    dealt = (t.df.repartitionByRange(blocks, *order) if blocks else t.df.repartitionByRange(*order)).sortWithinPartitions(*order)
+    names = t.df.columns
+    plain = dealt.select(*[
+        (quoted(n).cast("string") if isinstance(t.df.schema[n].dataType, NullType) else quoted(n)).alias(f"c{i}") for i, n in enumerate(names)
+    ], F.monotonically_increasing_id().alias(at))
+    rows = materialize(plain, "numbered").toDF(*names, at).withColumn(block, F.shiftright(quoted(at), 33))
+    counts = rows.groupBy(block).agg(F.count(F.lit(1)).alias(upto))
+    firsts = counts.select(block, (F.sum(upto).over(W.orderBy(block)) - quoted(upto)).alias(upto))
+    rows = rows.join(F.broadcast(firsts), block)  # one row for each block
+    return rows.select(*map(quoted, names), (quoted(upto) + quoted(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def _chunks(df: DataFrame, at: str, before: int, after: int, chunk: int) -> tuple[DataFrame, str, str]:
@@ -148,6 +165,8 @@ def rolling(
         rows = rows.withColumns({own[n]: KINDS[kind][0](c).over(frame) for n, (kind, c) in plain.items()})
         rows = rows.where(quoted(mine) == quoted(to))
         return _with(rows, df.columns, _finished(wanted, {n: quoted(c) for n, c in own.items()}))
+    if length <= HELD:
+        return _wide(_numbered(t, [], at, blocks), df.columns, keys, wanted, at, before, after, max(chunk, length))
     # Chunks as long as the frame: every frame is the end of one chunk and the start of the next, or one chunk.
     part, own = hidden_name(), {n: (hidden_name(), hidden_name()) for n in plain}
     rows = _numbered(t, keys, at, blocks).withColumn(part, F.floor(quoted(at) / length))
@@ -174,6 +193,33 @@ def rolling(
     return _with(rows, df.columns, _finished(wanted, held))
 
 
+def _wide(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], wanted: Wanted, at: str, before: int, after: int, chunk: int) -> DataFrame:
+    """Frames from two running aggregates of parts as long as a frame, within chunks: rows are dealt once."""
+    plain, length, part = _plain(wanted), before + after + 1, hidden_name()
+    rows, mine, to = _chunks(rows, at, before, after, chunk)
+    rows = rows.repartition(quoted(to)).withColumn(part, F.floor(quoted(at) / length))
+    cell = W.partitionBy(quoted(to), *map(quoted, keys))
+    within = W.partitionBy(quoted(to), *map(quoted, keys), quoted(part))
+    head, tail, low, high, cut = (hidden_name() for _ in range(5))
+    turn = {"first": "last", "last": "first"}
+    upto = [KINDS[kind][0](c).over(within.orderBy(quoted(at)).rowsBetween(W.unboundedPreceding, 0)).alias(f"v{i}") for i, (kind, c) in enumerate(plain.values())]
+    since = [KINDS[turn.get(kind, kind)][0](c).over(within.orderBy(quoted(at).desc()).rowsBetween(W.unboundedPreceding, 0)).alias(f"v{i}") for i, (kind, c) in enumerate(plain.values())]
+    rows = rows.withColumn(head, F.struct(quoted(at).alias("at"), *upto)).withColumn(tail, F.struct(quoted(at).alias("at"), *since))
+    # A frame that is cut begins with the first row of its key, or ends with the last: the cell holds either.
+    line, whole = cell.orderBy(quoted(at)), cell.orderBy(quoted(at)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({
+        low: F.coalesce(F.lag(tail, before).over(line), F.first(tail).over(whole)), cut: F.lag(tail, before).over(line).isNull(), high: F.coalesce(F.lead(head, after).over(line), F.last(head).over(whole)),
+    }).where(quoted(mine) == quoted(to))
+    a, b = quoted(low), quoted(high)
+    one = F.floor(a["at"] / length) == F.floor(b["at"] / length)
+    starts = quoted(cut) | (a["at"] % length == 0)
+    held = {
+        n: F.when(one, F.when(starts, b[f"v{i}"]).otherwise(a[f"v{i}"])).otherwise(KINDS[kind][1](a[f"v{i}"], b[f"v{i}"]))
+        for i, (n, (kind, _)) in enumerate(plain.items())
+    }
+    return _with(rows, columns, _finished(wanted, held))
+
+
 def _joined(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Left join by keys of which NULL is one; the right's keys are dropped."""
     named = {b: hidden_name() for _, b in pairs}
